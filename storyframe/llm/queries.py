@@ -5,9 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_jaccard
-from .common import table
+from . import mixing, ngram_jaccard, packing, quality, toxicity
+from .common import held_out, table
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its toxicity score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its quality score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: its place in its document and its sequence, and the checksum of its token ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many of its words the mix takes, and its shard."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +50,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_packing, op7_mixing, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
