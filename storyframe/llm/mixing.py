@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     totals = totals.withColumn("order", F.row_number().over(order)).withColumn("weight", weight)
     totals = targets(totals, repeats).withColumn("part", F.col("rows") / F.sum("rows").over(Window.partitionBy(F.lit(0))))
     totals = totals.withColumn("blocks", F.least(F.col("rows"), F.greatest(F.lit(1), F.ceil(F.col("part") * blocks))).cast("int"))
-    totals = totals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    totals = totals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(0).cast("long"))
     plan = written(totals.withColumn("need", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")).select("source", "source_size", "target", "blocks", "epochs", "need"), "plan")
 
     key = F.xxhash64(F.lit(seed), "doc_id", "size")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_jaccard, packing, quality, toxicity
+from . import media, mixing, ngram_jaccard, packing, preference, quality, topk, toxicity, urls, wordpiece
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n (chosen) and 2n + 1 (rejected) as preference pairs; spans as start-end, joined by commas."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"),
+        F.col("turn").cast("long").alias("turn"), "role", "text",
+    )
+
+    def listed(name: str):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["start"].cast("string"), s["to"].cast("string"))), ",").alias(name)
+
+    pairs = preference.preference_pairs(turns)
+    return pairs.select("pair_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", "rejected", listed("chosen_spans"), listed("rejected_spans"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its quality score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,19 +53,75 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its words and the pieces of their greedy longest match."""
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the rule that decides it, or the verdict of its path template."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many of its words the mix takes, and its shard."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its text as stored media, read back."""
+    found = media.document_media(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of 5-word shingles and the component of documents within Jaccard 0.75."""
     return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for each query vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_packing, op7_mixing, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_preference_formatting, op3_quality_classifier, op4_packing, op5_token_counts, op6_url_filters, op7_mixing, op8_media_columns, op9_ngram_jaccard_join, op10_exact_top_k)}
+
+
+_PREFERENCE_SQL = r"""
+with t as (
+  select conv_id // 2 as pair_id, conv_id % 2 as side, row_number() over (partition by conv_id order by turn, role nulls first, text nulls first) - 1 as i, role, text,
+         '<|' || coalesce(role, '') || '|>' || chr(10) as head, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) as shown
+  from conversations),
+m as (
+  select coalesce(a.pair_id, b.pair_id) as pair_id, min(coalesce(a.i, b.i)) as n
+  from (select * from t where side = 0) a full join (select * from t where side = 1) b on a.pair_id = b.pair_id and a.i = b.i
+  where a.i is null or b.i is null or a.role is distinct from b.role or a.text is distinct from b.text group by 1),
+p as (select pair_id, max(k) as longest from (select pair_id, side, count(*) as k from t group by 1, 2) group by 1),
+u as (
+  select t.*, coalesce(m.n, p.longest) as n from t join p using (pair_id) left join m using (pair_id)),
+v as (
+  select *, coalesce(sum(length(shown)) over (partition by pair_id, side order by i rows between unbounded preceding and 1 preceding), 0) as begins from u where i >= n)
+select q.pair_id, q.n as n_prompt_turns,
+  coalesce((select string_agg(shown, '' order by i) from u where u.pair_id = q.pair_id and side = 0 and i < n), '') as prompt,
+  coalesce((select string_agg(shown, '' order by i) from v where v.pair_id = q.pair_id and side = 0), '') as chosen,
+  coalesce((select string_agg(shown, '' order by i) from v where v.pair_id = q.pair_id and side = 1), '') as rejected,
+  coalesce((select string_agg(cast(begins + length(head) as bigint)::varchar || '-' || cast(begins + length(shown) as bigint)::varchar, ',' order by i) from v where v.pair_id = q.pair_id and side = 0 and role = 'assistant'), '') as chosen_spans,
+  coalesce((select string_agg(cast(begins + length(head) as bigint)::varchar || '-' || cast(begins + length(shown) as bigint)::varchar, ',' order by i) from v where v.pair_id = q.pair_id and side = 1 and role = 'assistant'), '') as rejected_spans
+from (select distinct pair_id, n from u) q
+"""
+
+_TOP_K_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_preference_formatting": _PREFERENCE_SQL, "op10_exact_top_k": _TOP_K_SQL}
