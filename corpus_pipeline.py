@@ -1,15 +1,78 @@
-"""A corpus pipeline of the operators in storyframe.llm."""
+"""A corpus pipeline of the operators in storyframe.llm: what is left of documents after five stages, as packed pieces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from storyframe.llm import mixing, ngram_jaccard, packing, quality, toxicity
+from storyframe.llm.common import table
+from storyframe.llm.queries import WORD_BPE, tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5; the model is learned from the labelled rows of all documents."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), model).where("toxic_score < 0.5").select(*COLUMNS)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.3 or more; the model is learned from the labelled rows of all documents."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(docs.select(*COLUMNS), model).where("quality_score >= 0.3").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest id (one row of it); without words, all."""
+    found = ngram_jaccard.near_duplicates(docs)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    # Rows that repeat a document: the first text stays.
+    again = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    one = kept.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; one of each source may be cut to its first words."""
+    taken = mixing.mix(docs).groupBy("doc_id", "size", "shard").agg(F.max("taken").alias("taken")).where("taken > 0")
+    rows = docs.select(*COLUMNS).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORDS)), F.lit(0)).cast("long"))
+    t = taken.select(F.col("doc_id").alias("id"), F.col("size").alias("words"), "taken")
+    rows = rows.join(t, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")))
+    part = F.col("taken") % F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORDS})"), 1), F.lit(1), part.cast("int")), " ")
+    whole = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))))
+    some = rows.where(part > 0).withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long"))
+    return whole.select(*COLUMNS).unionByName(some.select(*COLUMNS))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    pieces = packing.pack(docs, tokenizer_path(WORD_BPE))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_poor),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+# SQL can't express the learned scores: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages, one after the other, over documents; each is written to the shared folder and read again."""
+    from storyframe.llm.common import written
+
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, "stage")
     return docs
