@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """(user_id, start, end, n) of runs of events without a pause of ``gap``; batch or stream (then with ``late``)."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
