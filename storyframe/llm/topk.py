@@ -93,14 +93,14 @@ def _search(k: int):
         rows = rows.sort_values("vec_id")
         tree = Tree(rows["vec_id"].to_numpy(np.int64), integers(rows["v"].tolist()))
         out = []
-        queries = queries.sort_values("vec_id")
+        queries = queries.sort_values("q_id")
         for at in range(0, len(queries), 1024):
             part = queries.iloc[at : at + 1024]
-            q = integers(part["v"].tolist())
+            q = integers(part["q"].tolist())
             kth = part["kth"].to_numpy(float)
-            score, found = tree.search(part["vec_id"].to_numpy(np.int64), q, k, kth)
+            score, found = tree.search(part["q_id"].to_numpy(np.int64), q, k, kth)
             row, col = np.nonzero(found >= 0)
-            out.append(pd.DataFrame({"query_id": part["vec_id"].to_numpy()[row], "vec_id": found[row, col], "score": score[row, col].astype(np.int64)}))
+            out.append(pd.DataFrame({"query_id": part["q_id"].to_numpy()[row], "vec_id": found[row, col], "score": score[row, col].astype(np.int64)}))
         return pd.concat(out)
 
     return run
@@ -139,4 +139,5 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 409
 
 def home_search(placed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best rows of each query within its shard."""
-    return placed.groupBy("shard").cogroup(queries.groupBy("shard")).applyInPandas(_search(k), _RESULT)
+    rows = placed.select(F.col("shard").alias("of"), "vec_id", "v")
+    return rows.groupBy("of").cogroup(queries.select(F.col("shard").alias("to"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"), "kth").groupBy("to")).applyInPandas(_search(k), _RESULT)
