@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 RATE = 24_000
 
@@ -76,12 +76,12 @@ def mixed(voices: list[np.ndarray], effects: list[bool], gap_ms: int = 0, voice_
 def stitched(segments: DataFrame, gap_ms: int = 0, **options) -> DataFrame:
     """(volume, wav) of segments (volume, block_index, speaker_id, samples array<float>); a volume is one track."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_index")
-        track = mixed([np.asarray(s, np.float32) for s in pdf["samples"]], (pdf["speaker_id"] == "SFX").tolist(), gap_ms, **options)
-        return pd.DataFrame({"volume": [pdf["volume"].iloc[0]], "wav": [write_wav(track)]})
+    @pandas_udf(BinaryType())
+    def track(volumes: pd.Series) -> pd.Series:
+        return volumes.map(lambda v: write_wav(mixed([np.asarray(x["samples"], np.float32) for x in v], [x["speaker_id"] == "SFX" for x in v], gap_ms, **options)))
 
-    return segments.groupBy("volume").applyInPandas(one, "volume string, wav binary")
+    parts = F.array_sort(F.collect_list(F.struct("block_index", "speaker_id", "samples")))
+    return segments.groupBy("volume").agg(parts.alias("parts")).select("volume", track("parts").alias("wav"))
 
 
 @pandas_udf(ArrayType(FloatType()))

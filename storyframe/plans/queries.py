@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import keys as K
 from ..functions import text as T
-from ..functions.audio import levelled
+from ..functions import prompts
+from ..functions.audio import levelled, stitched
+from ..functions.blocks import parse_blocks
 from ..functions.lexicon import CORPUS_LEXICON
 from ..functions.vectors import doubles, norm
 from ..operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, narration, pacing
@@ -659,3 +661,71 @@ def prototype_lengths(spark, d):
     """Element-wise mean vectors of each label, with sum and length."""
     rows = table(spark, d, "embeddings").select("label", F.posexplode(doubles(F.col("embedding"))).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     return rows.groupBy("label").agg(F.round(F.sum("m"), 6).alias("mean_x"), F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 6).alias("length"))
+
+
+@query("select conv_id, to_json(list(text order by turn))::varchar as bubbles from conversations group by conv_id")
+def bubble_prompts(spark, d):
+    """A conversation's texts as a JSON list."""
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    return rows.select("conv_id", prompts.bubble_list(F.col("texts")).alias("bubbles"))
+
+
+@query("select conv_id, string_agg('[' || turn || '] ' || case when role = 'system' then 'unknown' else role || ' (' || printf('%.2f', (turn % 10) / 10.0) || ')' end, chr(10) order by turn) as hints from conversations group by conv_id")
+def hint_blocks(spark, d):
+    """Numbered hints with names and scores."""
+    name = F.when(F.col("role") != "system", F.col("role"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(prompts.hints(F.col("turn"), name, (F.col("turn") % 10) / 10.0).alias("hints"))
+
+
+@query("with c as (select lang, source, count(*) as n from documents group by all) select lang, string_agg(source || '×' || n, ', ' order by n desc, source) as line from c group by lang")
+def summary_text(spark, d):
+    """Counters as text, most frequent first."""
+    counts = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return counts.groupBy("lang").agg(prompts.counts_line(F.col("source"), F.col("n")).alias("line"))
+
+
+@query("select conv_id, count(*) as parsed, count(*) filter (where role <> 'system') as speech from conversations where trim(text) <> '' group by conv_id")
+def script_parse(spark, d):
+    """Every conversation as model output with prose around it, parsed back into blocks."""
+    item = F.struct("turn", F.struct("text", F.col("role").alias("speaker_id"), (F.col("role") != "system").alias("is_speech")).alias("b"))
+    raw = F.concat(F.lit("Here it is: "), F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["b"])), F.lit(" — done"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(raw.alias("raw")).withColumn("blocks", parse_blocks("raw"))
+    return rows.select("conv_id", F.size("blocks").cast("long").alias("parsed"), F.size(F.filter("blocks", lambda b: b["is_speech"])).cast("long").alias("speech"))
+
+
+@query("with l as (select page_id, 'x' || chr(10) || '01:' || lpad((page_id % 60)::varchar, 2, '0') || ':00 - ' || url as t from pages) select page_id, 3600.0 + 60.0 * (page_id % 60) as start_s, url as title from pages")
+def arc_lines(spark, d):
+    """Arcs read from lines of text, others left out, shifted by nothing."""
+    line = F.concat(F.lit("01:"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit(":00 - "), "url")
+    lines = table(spark, d, "pages").select("page_id", F.explode(F.array(F.lit("not an arc"), line)).alias("value"))
+    form = r"^\s*(\d{1,2}:\d{2}(?::\d{2})?)\s*[-–—]?\s*(\S.*?)\s*$"
+    rows = lines.select("page_id", K.timestamp_seconds(F.regexp_extract("value", form, 1)).alias("start_s"), F.regexp_extract("value", form, 2).alias("title"))
+    return rows.where("start_s is not null")
+
+
+@query(f"with {_BOXES} select page, list(l_returnflag order by y0, x0, l_linenumber, l_partkey, l_suppkey) as labels, count(*) as n from boxes group by page")
+def detections_round_trip(spark, d):
+    """Detections through their JSON form and back."""
+    w = Window.partitionBy("page").orderBy("y0", "x0", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = boxes(spark, d).withColumn("idx", F.row_number().over(w)).select(
+        "page", "idx", F.col("l_returnflag").alias("label"), ((F.col("l_partkey") % 97) / 97.0).alias("confidence"), F.struct(*[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("box"))
+    back = files.detections_from_json(files.detections_json(rows))
+    return back.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"]).alias("labels"), F.count("*").alias("n"))
+
+
+@query("select tag, path from (select p_brand as tag, p_name || case when p_partkey % 3 = 0 then '.wav' else '.ogg' end as path, row_number() over (partition by p_brand order by p_size % 4, (p_partkey % 3 <> 0)::int, p_retailprice desc, p_name || case when p_partkey % 3 = 0 then '.wav' else '.ogg' end) as r from part) where r = 1")
+def promoted_files(spark, d):
+    """The best file of each tag."""
+    path = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ".wav").otherwise(".ogg"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("tag"), (F.col("p_size") % 4).alias("rank"), path.alias("path"), F.col("p_retailprice").alias("size"))
+    return files.promote(rows).select("tag", "path")
+
+
+@query("with s as (select l_orderkey as volume, l_linenumber as block_index, l_partkey % 5 = 0 as effect, l_quantity / 100.0 as x, l_partkey, l_suppkey from lineitem) select volume, count(*) * 3 + (count(*) - 1) * 2 as frames from s group by volume")
+def mix_lengths(spark, d):
+    """Tracks of three-sample segments with gaps of two samples: their lengths in frames."""
+    one = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: (F.col("l_quantity") / 100.0).cast("float"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("volume"), F.row_number().over(w).alias("block_index"), F.when(F.col("l_partkey") % 5 == 0, "SFX").otherwise("A").alias("speaker_id"), one.alias("samples"))
+    tracks = stitched(rows, 1000 * 2 // 2000, rate=2000)
+    return tracks.select(F.col("volume").cast("long").alias("volume"), ((F.length("wav") - 44) / 2).cast("long").alias("frames"))
