@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 WIDTH = 64
 _BLOCK = frozenset("address article aside blockquote dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul br figcaption".split())
@@ -192,6 +192,8 @@ def document_media(docs: DataFrame) -> DataFrame:
     A null text is empty; an empty text has one row of zero samples.  Repeated rows give repeated rows; an empty table
     gives none; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     pages = written(documents_as_pages(docs), "media")
-    found = resolve(sequences(pages, "doc_id"), facts(pages), "doc_id").where("kind = 'media'")
+    # Written, so that the join shuffles plain rows and a digest that many documents share can be split.
+    found = resolve(sequences(pages, "doc_id"), written(facts(pages), "facts"), "doc_id").where("kind = 'media'")
     return found.withColumn("media_sha256", F.col("digest"))
