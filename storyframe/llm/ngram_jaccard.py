@@ -283,8 +283,8 @@ def _found(name, a, b, rare, flag) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([run, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(rare), pa.array(flag)], ["run", "a", "b", "rare", "flag"])
 
 
-def _sets(width: int, wanted):
-    """(doc_id, n, tokens) of documents whose id may be wanted; tokens are 6 bytes each, in order."""
+def _sets(width: int, share: float, wanted):
+    """(doc_id, n, tokens) of documents whose id may be wanted; tokens below ``share`` of the hash space, 6 bytes each."""
 
     def run(batches):
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -296,8 +296,10 @@ def _sets(width: int, wanted):
             ids = few.column(few.schema.get_field_index("doc_id")).cast(pa.int64()).to_numpy()
             for a, b, data, offsets in chunks(few):
                 token, bound = shingle_sets(data, offsets, width)
+                low = np.r_[0, np.cumsum(token < U(int(share * (1 << 62)) << 2))] if share < 1 else np.arange(len(token) + 1)
+                upto = bound[:-1] + low[bound[1:]] - low[bound[:-1]]
                 cut = np.ascontiguousarray((token >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array([cut[6 * x : 6 * y] for x, y in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.binary())], ["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(np.diff(bound)), pa.array([cut[6 * x : 6 * y] for x, y in zip(bound[:-1].tolist(), upto.tolist())], pa.binary())], ["doc_id", "n", "tokens"])
 
     return run
 
@@ -314,6 +316,8 @@ def _marks(batches):
 
 
 def _verify(num: int, den: int):
+    """The pairs whose overlap, with all tokens that weren't sent taken as shared, is enough."""
+
     def tokens(x: bytes) -> np.ndarray:
         out = np.zeros((len(x) // 6, 8), np.uint8)
         out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
@@ -322,12 +326,14 @@ def _verify(num: int, den: int):
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))
+            nx, ny = (batch.column(k).to_pylist() for k in (4, 5))
             keep = []
             for i in range(len(a)):
                 s, t = tokens(x[i].as_py()), tokens(y[i].as_py())
                 small, large = (s, t) if len(s) < len(t) else (t, s)
-                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                keep.append(den * both >= num * (len(s) + len(t) - both))
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
+                both += min(nx[i] - len(s), ny[i] - len(t))
+                keep.append(den * both >= num * (nx[i] + ny[i] - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
@@ -336,7 +342,7 @@ def _verify(num: int, den: int):
 
 def near_duplicates(
     docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (75, 100), least: int = 24, capacity: int = 1 << 21,
-    counted_share: float = 1.0, small: int = 24, rounds: int = 1,
+    counted_share: float = 1.0, small: int = 24, rounds: int = 1, head: float = 0.3,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked where ``den * |A n B| >= num * |A u B|`` share a component.
 
@@ -381,21 +387,30 @@ def near_duplicates(
     pairs = found.where("run is null").select("a", "b").distinct()
     pairs = nodes(pairs).where("fits").select("a", "b").union(runs.where("fits and a <> b").select("a", "b")).distinct()
     pairs = written(pairs, "pairs")
-    later = runs.select(F.col("b").alias("id")).distinct()
-    words = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(later).mapInArrow(_marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    marks = np.zeros(1 << (_BITS - 5), "<u4")
-    got = words.toPandas()
-    marks[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    wanted = spark.sparkContext.broadcast(marks.tobytes())
-    sets = written(docs.mapInArrow(_sets(width, wanted), "doc_id long, tokens binary"), "sets") if len(got) else None
+
+    def sets(ids: DataFrame, share: float, name: str) -> DataFrame:
+        """Token sets of the documents ``ids`` (and a few more: they are told by a bit map of fixed size)."""
+        words = ids.distinct().mapInArrow(_marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        marks = np.zeros(1 << (_BITS - 5), "<u4")
+        marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+        wanted = spark.sparkContext.broadcast(marks.tobytes())
+        return written(docs.mapInArrow(_sets(width, share, wanted), "doc_id long, n long, tokens binary"), name)
+
+    ends = F.explode(F.array("a", "b")).alias("id")
+    heads = sets(pairs.select(ends).union(runs.select(F.col("b").alias("id"))), head, "heads")
+
+    def passed(df: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
+        left, right = tokens.toDF("a", "nx", "x"), tokens.toDF("b", "ny", "y")
+        return written(df.join(right, "b").join(left, "a").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_verify(num, den), "a long, b long"), name)
+
     def verified(df: DataFrame) -> DataFrame:
-        left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-        return written(df.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long"), "links")
+        """First on the start of the sets, which bounds the overlap; what that leaves on whole sets."""
+        close = passed(df, heads, "close").distinct()
+        return passed(close, sets(close.select(ends), 1.0, "sets"), "links")
 
     same = member.where("n > 0 and doc_id is not null").join(node.select("lo", "hi", "node"), ["lo", "hi"]).select("doc_id", "node")
     links = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    if sets is not None:
-        links = _resolved(runs, written(links.union(verified(pairs)), "links"), verified, rounds, num, den)
+    links = _resolved(runs, written(links.union(verified(pairs)), "links"), verified, rounds, num, den)
     base = member.join(node.select("lo", "hi", "node"), ["lo", "hi"], "left").select("doc_id", "n", "node").join(components(links), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return base.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
