@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import bounded_batches, partitions, release, written
 from .graph import components
 from .textblocks import U, chunks, mix, shingle_sets, sums
 
@@ -59,11 +59,13 @@ def _scan(width: int, counted: int, parts: int):
                 high = (token >> U(32)).astype(np.uint32)
                 held.append(high[high < counted])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield _blocks(list(pack(held)))
                     held, size = [], 0
         if size:
             yield _blocks(list(pack(held)))
+        held = []
+        release()
 
     return run
 
@@ -208,11 +210,13 @@ def _signatures(width: int, num: int, den: int, counted: int, parts: int, freque
                 for x in signed(data, offsets):
                     held.append(x)
                     size += len(x[0])
-                if size > 1_500_000:
+                if size > 1_000_000:
                     yield from flush(held)
                     held, size = [], 0
         if held:
             yield from flush(held)
+        held = []
+        release()
 
     return run
 
@@ -300,6 +304,7 @@ def _sets(width: int, share: float, wanted):
                 upto = bound[:-1] + low[bound[1:]] - low[bound[:-1]]
                 cut = np.ascontiguousarray((token >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(np.diff(bound)), pa.array([cut[6 * x : 6 * y] for x, y in zip(bound[:-1].tolist(), upto.tolist())], pa.binary())], ["doc_id", "n", "tokens"])
+        release()
 
     return run
 
@@ -336,6 +341,7 @@ def _verify(num: int, den: int):
                 keep.append(den * both >= num * (nx[i] + ny[i] - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+        release()
 
     return run
 
@@ -355,6 +361,7 @@ def near_duplicates(
     paired; at least ``least`` lest rare tokens be centred.
     """
     spark, (num, den) = docs.sparkSession, threshold
+    bounded_batches(spark)
     parts = partitions(spark)
     counted = int(counted_share * (1 << 32))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
