@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import WordIds
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64()), ("ids", pa.binary())])
@@ -146,6 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, tokens: int = 2048, segm
     each; null doc_ids are kept.  An empty table gives no rows; other columns are ignored.
     ``window`` tokens are packed together, which bounds memory; a longer document is a window of its own.
     """
+    bounded_batches(docs.sparkSession)
     if min(tokens, segments, loss or 1) < 1:
         raise ValueError("limits must be positive")
     use = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + ([F.col(prompt).cast("string").alias("prompt")] if prompt else [])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
-from .common import labelled_sample
+from .common import bounded_batches, labelled_sample
 from .textblocks import U, chunks, mix, words
 
 # Classes of bytes: letter, capital, digit, space, line end, bar, sentence mark, comma, exclamation, other mark, beyond ASCII.
@@ -99,6 +99,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
     """
     from pyspark.sql import types as T
 
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

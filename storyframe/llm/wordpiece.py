@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 
 class Automaton:
     """Piece counts of words by greedy longest match over ``pieces``; a word that can't be matched is one piece.
@@ -100,6 +102,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, end: str = "</w>") -> DataFra
     count each; a null doc_id stays; an empty table gives no rows.  Other columns are ignored.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         counts = _Counts(Automaton(load(vocabulary), end))
         for batch in batches:
