@@ -50,13 +50,14 @@ def templates(counts: DataFrame, depth: int = 4, fanout: int = 64, z: float = 2.
     now = counts.withColumn("template", F.lit(""))
     for k in range(depth + 1):
         now = now.withColumn("part", F.get("parts", F.lit(k)))
-        child = now.where("part is not null").groupBy("host", "template", "part").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
+        child = written(now.where("part is not null").groupBy("host", "template", "part").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]), "children")
         parent = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"))
         share = F.try_divide("all_blocked", "all_labelled")
         far = F.abs(F.col("blocked") - F.col("labelled") * share) / F.sqrt(F.col("labelled") * share * (1 - share) + 1)
         merge = (F.col("children") > fanout) | ((F.col("children") > 1) & (F.col("labelled") > 0) & (far < z))
         step = child.join(parent, ["host", "template"]).select("host", "template", "part", F.concat("template", F.lit("/"), F.when(F.coalesce(merge, F.lit(False)), F.lit("*")).otherwise(F.col("part"))).alias("deeper"))
         now = now.join(step, ["host", "template", "part"], "left").withColumn("template", F.coalesce("deeper", "template")).drop("deeper", "part")
+        now = written(now, "level")  # each level is read three times: without a cut the plan would grow as a power of the depth
     return now
 
 
