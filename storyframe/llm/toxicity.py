@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample
+from .common import bounded_batches, labelled_sample, written
 
 # Marks of quotation and words that speak about words, in the corpus's four languages.  Fixed values.
 _OPEN, _CLOSE = "\"“„«‹‘'", "\"”“»›’'"
@@ -50,40 +50,50 @@ class Lexicon:
     clean: frozenset = frozenset()
 
     def __post_init__(self):
-        self.trie: dict = {}
-        self.pieces: dict[int, dict[int, set[str]]] = {}
-        for term in self.terms:
-            node = self.trie
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-            if errors(len(term)):
-                for at, piece in pieces(term):
-                    self.pieces.setdefault(len(piece), {}).setdefault(at, set()).add(piece)
         self.longest = max(map(len, self.terms), default=0) + 2
         self.stem_sizes = sorted({len(s) for s in self.stems}, reverse=True)
-
-    def possible(self, word: str) -> bool:
-        """Whether some term's intact piece is near its place: necessary for a match with errors."""
-        for size, places in self.pieces.items():
-            for at, found in places.items():
-                for place in range(max(0, at - 2), at + 3):
-                    if word[place : place + size] in found:
-                        return True
-        return False
+        self.by_length: dict[int, tuple[dict, list, int]] = {}
+
+    def of_length(self, n: int) -> tuple[dict, list, int]:
+        """For words of ``n`` characters: the trie of the terms in reach, the tests of intact pieces, the most errors.
+
+        A first piece can only be intact at the start, a last one at the end; a middle one is off by one at most.
+        """
+        if n not in self.by_length:
+            trie: dict = {}
+            tests: dict[tuple[int, int], set[str]] = {}
+            most = 0
+            for term in self.terms:
+                k = errors(len(term))
+                if not k or abs(len(term) - n) > k:
+                    continue
+                most = max(most, k)
+                node = trie
+                for c in term:
+                    node = node.setdefault(c, {})
+                node[""] = term
+                parts = pieces(term)
+                for i, (at, piece) in enumerate(parts):
+                    shifts = (0,) if i == 0 else (n - len(term),) if i == len(parts) - 1 else (-1, 0, 1)
+                    for shift in shifts:
+                        if at + shift >= 0:
+                            tests.setdefault((at + shift, at + shift + len(piece)), set()).add(piece)
+            self.by_length[n] = trie, [(x, y, frozenset(t)) for (x, y), t in tests.items()], most
+        return self.by_length[n]
 
     def nearest(self, word: str) -> str | None:
         """The term within the errors its length allows, fewest errors first, then in order."""
-        if len(word) > self.longest:
+        m = len(word)
+        trie, tests, most = self.of_length(m)
+        if not any(word[a:b] in found for a, b, found in tests):
             return None
-        m, most = len(word), 2
         place: dict[str, int] = {}
         for i, c in enumerate(word):
             place[c] = place.get(c, 0) | 1 << i
         everything, accept = (1 << (m + 1)) - 1, 1 << m
         start = [(1 << (j + 1)) - 1 for j in range(most + 1)]
         best: tuple[int, str] | None = None
-        stack = [(self.trie, start)]
+        stack = [(trie, start)]
         while stack:
             node, state = stack.pop()
             for c, child in node.items():
@@ -110,12 +120,12 @@ class Lexicon:
         found = self.terms.get(word)
         if found is not None:
             return found, 0
-        if word in self.clean or len(word) < 3:
+        if len(word) < 3 or word in self.clean:
             return None
         for n in self.stem_sizes:
             if len(word) > n and word[:n] in self.stems:
                 return self.stems[word[:n]], 1
-        if len(word) <= self.longest and self.possible(word) and (term := self.nearest(word)):
+        if len(word) <= self.longest and (term := self.nearest(word)):
             return 0.8 * self.terms[term], 2
         return None
 
@@ -166,24 +176,38 @@ def quoted(parts: list[str], i: int) -> bool:
     return opens and closes or any(_EDGE.sub("", p).lower() in _ABOUT for p in parts[a:b])
 
 
-def _contexts(toxic: int, only: set[str] | None):
-    """Distinct (word, context) of documents of one label; context: the words beside it."""
+def _heads(w: str) -> tuple[str, ...]:
+    """A word, and its first letters marked by a star."""
+    return (w, w[:4] + "*", w[:5] + "*")[: 1 + (len(w) > 4) + (len(w) > 5)]
+
+
+def _words(text: str) -> list[str]:
+    return [w for p in text.split() if (w := _EDGE.sub("", p).lower())]
+
+
+def _contexts(batches):
+    """Distinct (word or stem, context) of toxic documents; context: the words beside it."""
+    for batch in batches:
+        y = batch.column(batch.schema.get_field_index("y")).to_pylist()
+        for t, label in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), y):
+            ws = _words(t) if label == 1 else []
+            got = {(x, f"{ws[i - 1] if i else ''} {ws[i + 1] if i + 1 < len(ws) else ''}") for i, w in enumerate(ws) if 3 <= len(w) <= 24 for x in _heads(w)}
+            if got:
+                word, context = zip(*sorted(got))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context)], ["word", "context"])
+
+
+def _uses(only: set[str]):
+    """(word or stem, number of harmless documents) for those in ``only``, summed by batch."""
 
     def run(batches):
         for batch in batches:
             y = batch.column(batch.schema.get_field_index("y")).to_pylist()
+            many: Counter = Counter()
             for t, label in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), y):
-                if label != toxic:
-                    continue
-                ws = [w for p in t.split() if (w := _EDGE.sub("", p).lower())]
-                got = set()
-                for i, w in enumerate(ws):
-                    if 3 <= len(w) <= 24:
-                        context = f"{ws[i - 1] if i else ''} {ws[i + 1] if i + 1 < len(ws) else ''}"
-                        got |= {(x, context) for x in (w, w[:4] + "*", w[:5] + "*")[: 1 + (len(w) > 4) + (len(w) > 5)] if only is None or x in only}
-                if got:
-                    word, context = zip(*sorted(got))
-                    yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context)], ["word", "context"])
+                if label == 0:
+                    many.update({x for w in set(_words(t)) for x in _heads(w)} & only)
+            yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], ["word", "n"])
 
     return run
 
@@ -207,17 +231,13 @@ def _near(lexicon: Lexicon):
 def learn_lexicon(rows: DataFrame, terms: int = 3000, contexts: int = 3) -> Lexicon:
     """Terms and stems from (text, y): at most ``terms`` words, each in ``contexts`` distinct contexts at least.
 
-    Contexts, not documents, are counted: what copies of one document repeat is one context.  Stems are first letters
-    (marked by a star while counted), judged alike.
+    In toxic documents contexts are counted: what copies of one document repeat is one context.  Stems are first
+    letters (marked by a star while counted), judged alike.
     """
 
-    def counted(label: int, only: set[str] | None = None) -> dict[str, int]:
-        pairs = rows.mapInArrow(_contexts(label, only), "word string, context string").distinct()
-        many = pairs.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= (contexts if label else 1))
-        return {r[0]: r[1] for r in many.orderBy(F.desc("n"), "word").limit(20 * terms).collect()}
-
-    bad = counted(1)
-    good = counted(0, set(bad)) if bad else {}
+    found = rows.mapInArrow(_contexts, "word string, context string").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    bad = {r[0]: r[1] for r in found.where(F.col("n") >= contexts).orderBy(F.desc("n"), "word").limit(20 * terms).collect()}
+    good = {r[0]: r[1] for r in rows.mapInArrow(_uses(set(bad)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()} if bad else {}
     sizes = {r[0]: r[1] or 0 for r in rows.groupBy("y").agg(F.sum(F.length("text"))).collect()}
     toxic = (sizes.get(1, 0) + 1) / (sizes.get(1, 0) + sizes.get(0, 0) + 2)
 
@@ -253,7 +273,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Model:
     """A model of ``labels.toxic`` from at most ``limit`` labelled rows that aren't held out."""
-    rows = labelled_sample(docs, labels, "toxic", limit)
+    rows = written(labelled_sample(docs, labels, "toxic", limit), "sample")
     lexicon = learn_lexicon(rows)
 
     def run(batches):
@@ -276,6 +296,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text has no hits and the score of that.  Rows are scored each by themselves; repeated rows get
     equal scores, and an empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
