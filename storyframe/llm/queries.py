@@ -55,7 +55,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its words and the pieces of their greedy longest match."""
-    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), byte_level=True)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,20 +84,32 @@ def load(path: str) -> list[str]:
     return sorted(vocab, key=vocab.get)
 
 
+# Byte-level form: printable Latin-1 bytes stand for themselves, the others follow from 256.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def byte_form(word: str) -> str:
+    """A word as a byte-level vocabulary spells it: a character for each byte of its UTF-8."""
+    return word.encode("utf-8").decode("latin-1").translate(_BYTES)
+
+
 class _Counts(dict):
-    def __init__(self, automaton: Automaton, limit: int = 500_000):
-        self.automaton, self.limit = automaton, limit
+    def __init__(self, automaton: Automaton, byte_level: bool, limit: int = 500_000):
+        self.automaton, self.byte_level, self.limit = automaton, byte_level, limit
 
     def __missing__(self, chunk: bytes) -> int:
         if len(self) > self.limit:
             self.clear()
-        self[chunk] = n = self.automaton.count(chunk.decode("utf-8").lower())
+        word = chunk.decode("utf-8").lower()
+        self[chunk] = n = self.automaton.count(byte_form(word) if self.byte_level else word)
         return n
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, end: str = "</w>") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, end: str = "</w>", byte_level: bool = False) -> DataFrame:
     """(doc_id, n_words, n_tokens): words between ASCII white space, lower-cased, and their greedy pieces.
 
+    byte_level: the vocabulary spells words by the bytes of their UTF-8 (``byte_form``), not by their characters.
     A word that the vocabulary can't spell is one unknown piece.  A null, empty or blank text has none.  Repeated rows
     count each; a null doc_id stays; an empty table gives no rows.  Other columns are ignored.
     """
@@ -105,7 +117,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, end: str = "</w>") -> DataFra
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        counts = _Counts(Automaton(load(vocabulary), end))
+        counts = _Counts(Automaton(load(vocabulary), end), byte_level)
         for batch in batches:
             words, tokens = [], []
             for t in batch.column(1).cast(pa.large_binary()):

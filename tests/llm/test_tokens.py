@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from storyframe.llm.packing import arrange, pack
-from storyframe.llm.queries import WORD_BPE, op4_packing, tokenizer_path
+from storyframe.llm.queries import WORD_BPE, op4_packing, op5_token_counts, tokenizer_path
 from storyframe.llm.tokens import WordIds
 from storyframe.llm.wordpiece import Automaton, count_tokens, load
 
@@ -101,3 +101,20 @@ def test_token_counts(spark, docs, edge):
         for r, t in zip(count_tokens(df, tokenizer_path(WORD_BPE)).collect(), df.collect()):
             ws = [w.decode().lower() for w in (t.text or "").encode().lower().split()]
             assert (r.n_words, r.n_tokens) == (len(ws), sum(greedy(w + "\0", marked) for w in ws))
+
+
+def test_words_are_counted_in_the_byte_form_of_the_vocabulary(spark, docs, edge):
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    marked = {p[:-4] + "\0" if p.endswith("</w>") else p for p in load(tokenizer_path(WORD_BPE))}
+
+    def n(text):
+        ws = [w.decode().lower() for w in (text or "").encode().lower().split()]
+        return len(ws), sum(greedy("".join(p for p, _ in level.pre_tokenize_str(w)) + "\0", marked) for w in ws)
+
+    assert [n(w)[1] for w in ("für", "été", "“hello", "漢字漢字")] == [1, 2, 3, 10]
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in op5_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r.doc_id: n(r.text) for r in docs.collect()} and any(not r.text.isascii() for r in docs.collect() if r.text)
+    odd = count_tokens(edge, tokenizer_path(WORD_BPE), byte_level=True).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_tokens) for r in odd) == sorted((str(r.doc_id), *n(r.text)) for r in edge.collect())
