@@ -379,7 +379,8 @@ def near_duplicates(
     tokens = np.sort(often.where(F.col("df") >= least << level).select("token").toPandas()["token"].to_numpy().astype(np.uint32))
     frequent = spark.sparkContext.broadcast(tokens)
 
-    signed = docs.mapInArrow(_signatures(width, num, den, counted, parts, frequent), "p int, payload binary")
+    # A set without an id can't be named, so it must not become the centre of a long posting list.
+    signed = docs.where("doc_id is not null").mapInArrow(_signatures(width, num, den, counted, parts, frequent), "p int, payload binary")
     found = written(dealt(signed).mapInArrow(_postings(num, den, max(small, least << level)), "run long, a long, b long, rare long, flag boolean"), "found")
 
     node = written(member.where("n > 0 and doc_id is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "node")

@@ -54,6 +54,20 @@ def test_groups_of_near_copies_and_shared_passages(spark):
     check(spark, rows, least=4, small=4, capacity=40)
 
 
+def test_an_original_without_id_does_not_cost_its_copies_their_links(spark):
+    rng = random.Random(7)
+    words = [f"o{k}" for k in range(150)]
+    rows = []
+    for j in range(40):  # one edited word each: the original has the fewest rare tokens, so it would be the centre
+        at = rng.randrange(150)
+        rows.append((j, " ".join(words[:at] + [f"e{j}"] + words[at + 1 :])))
+    found = near_duplicates(spark.createDataFrame(rows + [(None, " ".join(words))], "doc_id long, text string")).collect()
+    want = brute(rows)
+    assert {c for _, c in want.values()} == {0}
+    assert {r.doc_id: ([r.n_shingles], r.component_id) for r in found if r.doc_id is not None} == want
+    assert [(r.n_shingles, r.component_id) for r in found if r.doc_id is None] == [(146, None)]
+
+
 def test_edge_rows(spark, edge):
     rows = {r.doc_id: r for r in near_duplicates(edge).collect()}
     assert rows[2].component_id == 1 and rows[3].n_shingles == 0 and rows[5].component_id == 5 and rows[None].component_id is None
