@@ -82,12 +82,12 @@ class Tree:
         return score, found
 
 
-_RESULT = "query_id long, vec_id long, score long"
+_RESULT = "q_row long, query_id long, vec_id long, score long"
 
 
 def _search(k: int):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("q_row", "query_id", "vec_id", "score")})
         if rows.empty or queries.empty:
             return empty
         rows = rows.sort_values("vec_id")
@@ -100,7 +100,7 @@ def _search(k: int):
             kth = part["kth"].to_numpy(float)
             score, found = tree.search(part["q_id"].to_numpy(np.int64), q, k, kth)
             row, col = np.nonzero(found >= 0)
-            out.append(pd.DataFrame({"query_id": part["q_id"].to_numpy()[row], "vec_id": found[row, col], "score": score[row, col].astype(np.int64)}))
+            out.append(pd.DataFrame({"q_row": part["q_row"].to_numpy()[row], "query_id": part["q_id"].to_numpy()[row], "vec_id": found[row, col], "score": score[row, col].astype(np.int64)}))
         return pd.concat(out)
 
     return run
@@ -118,26 +118,30 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 409
 
     Components become floor(256 * x); the score is the integer inner product, ties go to the smaller vec_id.  Vectors
     that are null or hold null or non-finite components take no part.  All vectors must have one length.  Rows that
-    repeat a vec_id are other rows only if their id differs from the query's; an empty table gives no rows.
+    repeat a vec_id rank each, as other rows if their id differs from the query's; a query_id that several rows have
+    gets the k best of what its rows find together.  An empty table gives no rows.
     Components are exact up to a magnitude of 2**20 (scores below 2**53).
     """
-    rows = written(usable(vectors), "vectors")
+    rows = written(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     shards = max(1, -(-rows.count() // shard_rows))
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    # Equal query rows search once; more than k of them give nothing that k don't.
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "v").agg(F.min("row").alias("q_row"), F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    queries = written(queries, "queries")
     # First pass: each query looks into one shard, near or not, for a kth score to start from.
-    home = queries.withColumn("kth", F.lit(float("-inf"))).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
+    home = queries.withColumn("kth", F.lit(float("-inf"))).withColumn("shard", F.pmod(F.xxhash64("q_row", F.lit(1)), F.lit(shards)).cast("int"))
     found = written(home_search(placed, home, k), "first")
-    kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("known"))
-    rest = home.withColumnRenamed("shard", "home").join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("known", "kth").alias("kth"), "home")
+    kth = found.groupBy("q_row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("known"))
+    rest = home.withColumnRenamed("shard", "home").join(kth, "q_row", "left").select("q_row", "vec_id", "v", F.coalesce("known", "kth").alias("kth"), "home")
     rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").drop("home")
     found = found.union(home_search(placed, rest, k)) if shards > 1 else found
+    again = queries.where("times > 1").select("q_row", "times")
+    found = found.join(again, "q_row", "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def home_search(placed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best rows of each query within its shard."""
     rows = placed.select(F.col("shard").alias("of"), "vec_id", "v")
-    return rows.groupBy("of").cogroup(queries.select(F.col("shard").alias("to"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"), "kth").groupBy("to")).applyInPandas(_search(k), _RESULT)
+    return rows.groupBy("of").cogroup(queries.select(F.col("shard").alias("to"), "q_row", F.col("vec_id").alias("q_id"), F.col("v").alias("q"), "kth").groupBy("to")).applyInPandas(_search(k), _RESULT)

@@ -134,6 +134,24 @@ def test_top_k_against_all_pairs(spark):
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 512)] and not topk.top_k(few.limit(0)).count()
 
 
+@pytest.mark.parametrize("copies", [2, 5, 9])
+def test_top_k_ranks_repeated_rows_as_its_sql(spark, tmp_path, copies):
+    import duckdb
+
+    from storyframe.llm.queries import op10_exact_top_k, oracle_sql
+
+    rng = np.random.default_rng(copies)
+    v = rng.normal(size=(150, 4)).round(2).tolist()
+    rows = [(i, x) for i, x in enumerate(v) for _ in range(1 if i % 3 == 1 else copies)] + [(50, v[7]), (100, v[8]), (61, v[9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(db.execute(oracle_sql()["op10_exact_top_k"]).fetchall())
+    assert sorted(map(tuple, op10_exact_top_k(spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, topk.top_k(df, shard_rows=60).collect())) == want
+
+
 def test_preference_pairs(spark):
     rows = [(1, s, k, r, t) for s in ("chosen", "rejected") for k, (r, t) in enumerate([("user", "hi"), ("assistant", "yo" if s == "chosen" else "no"), ("user", None)])]
     rows += [(2, "chosen", 0, "user", "only"), (3, s0 := "chosen", 0, "user", "x"), (3, "rejected", 0, "user", "x"), (None, s0, 0, None, None)]
