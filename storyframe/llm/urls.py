@@ -1,8 +1,9 @@
 """URL filters: host and path rules, and a path-template tree for what no rule decides.
 
 The tree has a branch per host.  Going down one path segment at a time, a segment becomes a wildcard when it looks
-variable (its digits, or a long token of hex digits) or when its parent has too many children; labelled siblings whose
-share of blocked pages can't be told from their parent's are merged into the wildcard too.  A template's purity is the
+variable (its digits, or a long token of hex digits).  Labelled siblings whose share of blocked pages can't be told from
+their parent's are merged; where a parent has too many children, unlabelled ones are merged too, but never with labelled
+ones: how many children were crawled changes no verdict.  A template's purity is the
 smoothed share of blocked among its labelled pages (those that a rule decides); templates of high purity are blocked.
 All steps work on counts of distinct (host, path shape), never on the pages of a host together.
 """
@@ -46,7 +47,10 @@ def shape(path: Column, depth: int) -> Column:
 
 
 def templates(counts: DataFrame, depth: int = 4, fanout: int = 64, z: float = 2.0) -> DataFrame:
-    """(host, parts, template, n, blocked, labelled) of (host, parts, n, blocked, labelled)."""
+    """(host, parts, template, n, blocked, labelled) of (host, parts, n, blocked, labelled).
+
+    ``*#`` are merged labelled segments, ``*?`` merged unlabelled ones beside labelled ones (neither can occur in a path).
+    """
     now = counts.withColumn("template", F.lit(""))
     for k in range(depth + 1):
         now = now.withColumn("part", F.get("parts", F.lit(k)))
@@ -54,8 +58,10 @@ def templates(counts: DataFrame, depth: int = 4, fanout: int = 64, z: float = 2.
         parent = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"))
         share = F.try_divide("all_blocked", "all_labelled")
         far = F.abs(F.col("blocked") - F.col("labelled") * share) / F.sqrt(F.col("labelled") * share * (1 - share) + 1)
-        merge = (F.col("children") > fanout) | ((F.col("children") > 1) & (F.col("labelled") > 0) & (far < z))
-        step = child.join(parent, ["host", "template"]).select("host", "template", "part", F.concat("template", F.lit("/"), F.when(F.coalesce(merge, F.lit(False)), F.lit("*")).otherwise(F.col("part"))).alias("deeper"))
+        alike = (F.col("children") > 1) & (F.col("labelled") > 0) & (far < z)
+        many = (F.col("children") > fanout) & (F.col("labelled") == 0)
+        name = F.when(alike, "*#").when(many & (F.col("all_labelled") > 0), "*?").when(many, "*").otherwise(F.col("part"))
+        step = child.join(parent, ["host", "template"]).select("host", "template", "part", F.concat("template", F.lit("/"), name).alias("deeper"))
         now = now.join(step, ["host", "template", "part"], "left").withColumn("template", F.coalesce("deeper", "template")).drop("deeper", "part")
         now = written(now, "level")  # each level is read three times: without a cut the plan would grow as a power of the depth
     return now

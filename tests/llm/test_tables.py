@@ -90,6 +90,20 @@ def test_many_children_become_a_wildcard(spark):
     assert {r.template for r in urls.templates(counts, fanout=10).collect()} == {"/u/*"}
 
 
+def test_clean_pages_of_a_large_host_stay_allowed(spark):
+    for n in (10, 64, 200):
+        names = ["es", "fr"] + [f"n{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+        urls_ = [f"http://big{n}.net/{s}/{k}" for s in names for k in range(3)] + [f"http://big{n}.net/{k}/{k}" for k in range(3)]
+        got = urls.judge(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")).collect()
+        assert len(got) == len(urls_) and all(r.verdict == ("block" if r.path[:4] in ("/es/", "/fr/") else "allow") for r in got)
+
+
+def test_clear_labels_stay_apart_above_the_fanout(spark):
+    counts = [("h", ["bad"], 90, 90, 90), ("h", ["good"], 90, 0, 90), ("h", ["*"], 90, 90, 90)] + [("h", [f"n{chr(97 + i)}"], 1, 0, 0) for i in range(20)]
+    got = {r.parts[0]: r.template for r in urls.templates(spark.createDataFrame(counts, "host string, parts array<string>, n long, blocked long, labelled long"), fanout=10).collect()}
+    assert got["bad"] == "/bad" and got["good"] == "/good" and got["*"] == "/*" and {got[f"n{chr(97 + i)}"] for i in range(20)} == {"/*?"}
+
+
 def test_media_round_trip(spark, docs, edge):
     for df in (docs, edge):
         got = {}
