@@ -265,19 +265,23 @@ def _postings(num: int, den: int, small: int):
                 key = mix(pairs[:, 0] * _SALT[0] + pairs[:, 1])
                 pairs = pairs[np.unique(key, return_index=True)[1]]
                 yield _found(None, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), np.ones(len(pairs), bool))
-            seen = set()
+            lists = {}  # lists of equal members are one run, near for a member where any of them is
             for a, c in zip(start[length > small].tolist(), length[length > small].tolist()):
                 f, x = flag[a : a + c], m[a : a + c]
                 if not f.any():
                     continue
                 use = a + np.flatnonzero(f | (x > x[f].min()))
                 name = int(mix(np.array([np.sum(mix(l[use] ^ U(1)), dtype=U)]))[0]) >> 1
-                if len(use) > 1 and name not in seen:
-                    seen.add(name)
-                    centre = l[use[np.lexsort((l[use], rare[use]))[0]]]
-                    for i in range(0, len(use), 65536):
-                        part = use[i : i + 65536]
-                        yield _found(name, np.full(len(part), centre), l[part], rare[part], flag[part])
+                if len(use) > 1:
+                    if name in lists:
+                        lists[name][1][:] |= flag[use]
+                    else:
+                        lists[name] = use, flag[use]
+            for name, (use, near) in lists.items():
+                centre = l[use[np.lexsort((l[use], rare[use]))[0]]]
+                for i in range(0, len(use), 65536):
+                    part = use[i : i + 65536]
+                    yield _found(name, np.full(len(part), centre), l[part], rare[part], near[i : i + 65536])
 
     return run
 
@@ -417,7 +421,8 @@ def near_duplicates(
         return passed(close, sets(close.select(ends), 1.0, "sets"), "links")
 
     same = member.where("n > 0 and doc_id is not null").join(node.select("lo", "hi", "node"), ["lo", "hi"]).select("doc_id", "node")
-    links = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
+    several = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
+    links = same.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
     links = _resolved(runs, written(links.union(verified(pairs)), "links"), verified, rounds, num, den)
     base = member.join(node.select("lo", "hi", "node"), ["lo", "hi"], "left").select("doc_id", "n", "node").join(components(links), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))

@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from storyframe.llm.graph import components
-from storyframe.llm.ngram_jaccard import near_duplicates
+from storyframe.llm.ngram_jaccard import _postings, near_duplicates
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -68,6 +71,20 @@ def test_an_original_without_id_does_not_cost_its_copies_their_links(spark):
     assert [(r.n_shingles, r.component_id) for r in found if r.doc_id is None] == [(146, None)]
 
 
+def test_lists_of_equal_members_keep_all_their_flags():
+    flags = {1: [0, 1, 1, 1], 2: [1, 1, 0, 1]}
+    sig = np.array([s << 1 | f for s, fs in flags.items() for f in fs], np.uint64)
+    parts = (np.array([8, 4], "<u4"), np.array([11, 12, 13, 14], "<u8"), np.array([12, 10, 12, 10], "<u4"), np.zeros(4, "<u4"), np.array([0, 1, 2, 3] * 2, "<u2"), (sig & np.uint64(255)).astype(np.uint8), (sig >> np.uint64(8)).astype("<u4"))
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([b"".join(x.tobytes() for x in parts)])], ["p", "payload"])
+    rows = [r for b in _postings(75, 100, 2)(iter([batch])) for r in b.to_pylist()]
+    assert len({r["run"] for r in rows}) == 1 and {r["b"]: r["flag"] for r in rows} == {11: True, 12: True, 13: True, 14: True}
+
+
+def test_every_text_of_a_document_links_it(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "xyz"]
+    check(spark, [(i, t) for i, t in zip((3, 4, 5), texts)] + [(9, t) for t in texts])
+
+
 def test_edge_rows(spark, edge):
     rows = {r.doc_id: r for r in near_duplicates(edge).collect()}
     assert rows[2].component_id == 1 and rows[3].n_shingles == 0 and rows[5].component_id == 5 and rows[None].component_id is None
