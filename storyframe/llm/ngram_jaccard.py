@@ -12,9 +12,15 @@ are verified on their sets.
 
 Frequencies are counted over all documents.  Exact copies (equal sets) are one class, represented by the smallest
 doc_id.  A posting list up to ``small`` classes gives its pairs; a longer one gives a star around the class with the
-fewest class-1 tokens (the least edited copy), and later rounds try further centres only against members that are not
-yet connected, so a large group of near copies costs its size, not its square.  What no round resolves is paired
-exactly in the end.
+fewest class-1 tokens (the least edited copy).  All long lists of one centre are one group, in which a member stands
+once however many lists it shares, so the many lists of a group of near copies cost the group's size.  A later round
+tries a further centre against members that aren't connected yet; what no round connects is compared member by member
+between the components of its group, each pair once.
+
+Identity of hashes.  Shingles are told by 64 bits, a set in the posting lists by the 64-bit sum of its mixed shingles
+(two sets that meet there are both followed, and both are verified), exact copies by 128 bits, and verification compares
+48 bits of each shingle: a pair that falls short by j shared shingles passes wrongly with a chance below
+(n * m / 2**48) ** j, for sets of n and m shingles.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ from .graph import components
 from .textblocks import U, chunks, mix, shingle_sets, sums
 
 _SALT = [U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
-_BITS = 25
+_MARKS = 1 << 25  # bits of the map of wanted ids, and ids that it serves; beyond them ids are joined
+_RANGE = 128 << 20  # bytes of text for each range of hashes: bounds what one task gathers
 
 
 def _scan(width: int, counted: int, parts: int):
@@ -59,7 +66,7 @@ def _scan(width: int, counted: int, parts: int):
                 high = (token >> U(32)).astype(np.uint32)
                 held.append(high[high < counted])
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 4_000_000:
                     yield _blocks(list(pack(held)))
                     held, size = [], 0
         if size:
@@ -105,12 +112,13 @@ def _frequent(least: int):
                 k = int.from_bytes(x[:4], "little")
                 step = np.frombuffer(x, "<u2", k, 4).astype(np.int64)
                 step[step == 65535] = np.frombuffer(x, "<u4", -1, 4 + 2 * k)
-                flat.append(np.cumsum(step))
-            flat = np.sort(np.concatenate(flat))
-            first = np.flatnonzero(np.diff(flat, prepend=-1))
+                flat.append(np.cumsum(step).astype(np.uint32))
+            flat = np.concatenate(flat)
+            flat.sort()
+            first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
             df = np.diff(np.r_[first, len(flat)])
             keep = df >= least
-            yield pa.RecordBatch.from_arrays([pa.array(flat[first[keep]]), pa.array(df[keep].astype(np.int64))], ["token", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[first[keep]].astype(np.int64)), pa.array(df[keep].astype(np.int64))], ["token", "df"])
 
     return run
 
@@ -222,7 +230,7 @@ def _signatures(width: int, num: int, den: int, counted: int, parts: int, freque
 
 
 def _postings(num: int, den: int, small: int):
-    """Candidate pairs (run null) and the members of long posting lists (run, a = centre, b = member, rare, flag)."""
+    """Candidate pairs (a, b), and the members b of the long posting lists with centre a (hub true, rare, flag)."""
 
     def run(batches):
         for _, blocks in _grouped(batches):
@@ -264,42 +272,43 @@ def _postings(num: int, den: int, small: int):
             if pairs and len(pairs := np.concatenate(pairs)):
                 key = mix(pairs[:, 0] * _SALT[0] + pairs[:, 1])
                 pairs = pairs[np.unique(key, return_index=True)[1]]
-                yield _found(None, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), np.ones(len(pairs), bool))
-            lists = {}  # lists of equal members are one run, near for a member where any of them is
+                yield _found(False, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), np.ones(len(pairs), bool))
+            group = [], [], [], []
             for a, c in zip(start[length > small].tolist(), length[length > small].tolist()):
                 f, x = flag[a : a + c], m[a : a + c]
-                if not f.any():
-                    continue
-                use = a + np.flatnonzero(f | (x > x[f].min()))
-                name = int(mix(np.array([np.sum(mix(l[use] ^ U(1)), dtype=U)]))[0]) >> 1
-                if len(use) > 1:
-                    if name in lists:
-                        lists[name][1][:] |= flag[use]
-                    else:
-                        lists[name] = use, flag[use]
-            for name, (use, near) in lists.items():
-                centre = l[use[np.lexsort((l[use], rare[use]))[0]]]
-                for i in range(0, len(use), 65536):
-                    part = use[i : i + 65536]
-                    yield _found(name, np.full(len(part), centre), l[part], rare[part], near[i : i + 65536])
+                if f.any():
+                    use = a + np.flatnonzero(f | (x > x[f].min()))
+                    if len(use) > 1:
+                        centre = l[use[np.lexsort((l[use], rare[use]))[0]]]
+                        for column, value in zip(group, (np.full(len(use), centre), l[use], rare[use], flag[use])):
+                            column.append(value)
+            if group[0]:
+                centre, member, own_, near = (np.concatenate(x) for x in group)
+                order = np.lexsort((~near, member, centre))  # a member is near in its group where any list says so
+                centre, member = centre[order], member[order]
+                once = np.flatnonzero(np.r_[True, (centre[1:] != centre[:-1]) | (member[1:] != member[:-1])])
+                for i in range(0, len(once), 65536):
+                    at = once[i : i + 65536]
+                    yield _found(True, centre[at], member[at], own_[order[at]], near[order[at]])
 
     return run
 
 
-def _found(name, a, b, rare, flag) -> pa.RecordBatch:
-    run = pa.nulls(len(a), pa.int64()) if name is None else pa.array(np.full(len(a), name, np.int64))
-    return pa.RecordBatch.from_arrays([run, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(rare), pa.array(flag)], ["run", "a", "b", "rare", "flag"])
+def _found(hub: bool, a, b, rare, flag) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hub)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(rare), pa.array(flag)], ["hub", "a", "b", "rare", "flag"])
 
 
 def _sets(width: int, share: float, wanted):
     """(doc_id, n, tokens) of documents whose id may be wanted; tokens below ``share`` of the hash space, 6 bytes each."""
 
     def run(batches):
-        bits = np.frombuffer(wanted.value, np.uint8)
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-            want = _bit_of(ids.fill_null(0).to_numpy())
-            want = (bits[want >> 3] >> (want & 7)).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+            want = ids.is_valid().to_numpy(zero_copy_only=False)
+            if bits is not None:
+                bit = _bit_of(ids.fill_null(0).to_numpy())
+                want = want & (bits[bit >> 3] >> (bit & 7)).astype(bool)
             few = batch.filter(pa.array(want))
             ids = few.column(few.schema.get_field_index("doc_id")).cast(pa.int64()).to_numpy()
             for a, b, data, offsets in chunks(few):
@@ -314,7 +323,7 @@ def _sets(width: int, share: float, wanted):
 
 
 def _bit_of(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U)) >> U(64 - _BITS)).astype(np.int64)
+    return (mix(ids.astype(np.int64).view(U)) % U(_MARKS)).astype(np.int64)
 
 
 def _marks(batches):
@@ -360,15 +369,16 @@ def near_duplicates(
     row with a null component.  Rows that repeat a doc_id with another text are separate sets of one document: the
     document's component is the smallest reachable from any.  Other columns are ignored.
 
+    Very long texts are whole like any other, equal texts tie to the smallest doc_id, an empty table gives no rows.
     least, capacity: a token is frequent at a document frequency of ``least``, doubled until ``capacity`` tokens at
     most are frequent, which bounds the broadcast to 4 * capacity bytes.  small: posting lists up to this long are
-    paired; at least ``least`` lest rare tokens be centred.
+    paired, longer ones are stars.  rounds: further centres for each group before its components are paired.
     """
     spark, (num, den) = docs.sparkSession, threshold
     bounded_batches(spark)
-    parts = partitions(spark)
     counted = int(counted_share * (1 << 32))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _RANGE))
     scan = written(docs.mapInArrow(_scan(width, counted, parts), "doc_id long, n long, lo long, hi long, p int, payload binary"), "scan")
     member = scan.where("p is null").select("doc_id", "n", "lo", "hi")
 
@@ -385,7 +395,7 @@ def near_duplicates(
 
     # A set without an id can't be named, so it must not become the centre of a long posting list.
     signed = docs.where("doc_id is not null").mapInArrow(_signatures(width, num, den, counted, parts, frequent), "p int, payload binary")
-    found = written(dealt(signed).mapInArrow(_postings(num, den, max(small, least << level)), "run long, a long, b long, rare long, flag boolean"), "found")
+    found = written(dealt(signed).mapInArrow(_postings(num, den, small), "hub boolean, a long, b long, rare long, flag boolean"), "found")
 
     node = written(member.where("n > 0 and doc_id is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "node")
     name = node.select("lo", "node", "n")
@@ -395,21 +405,25 @@ def near_duplicates(
         a, b = name.toDF("a", "na", "sa"), name.toDF("b", "nb", "sb")
         return df.join(a, "a").join(b, "b").select(*keep, F.col("na").alias("a"), F.col("nb").alias("b"), (den * F.least("sa", "sb") >= num * F.greatest("sa", "sb")).alias("fits"))
 
-    runs = written(nodes(found.where("run is not null"), "run", "rare", "flag", "sb"), "runs")
-    pairs = found.where("run is null").select("a", "b").distinct()
-    pairs = nodes(pairs).where("fits").select("a", "b").union(runs.where("fits and a <> b").select("a", "b")).distinct()
+    group = found.where("hub").groupBy("a", "b").agg(F.max("rare").alias("rare"), F.max("flag").alias("flag"))
+    group = written(nodes(group, "rare", "flag", "sb"), "group")
+    pairs = found.where("not hub").select("a", "b").distinct()
+    pairs = nodes(pairs).where("fits").select("a", "b").union(group.where("fits and a <> b").select("a", "b")).distinct()
     pairs = written(pairs, "pairs")
 
     def sets(ids: DataFrame, share: float, name: str) -> DataFrame:
         """Token sets of the documents ``ids`` (and a few more: they are told by a bit map of fixed size)."""
-        words = ids.distinct().mapInArrow(_marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-        marks = np.zeros(1 << (_BITS - 5), "<u4")
+        ids = written(ids.toDF("doc_id").distinct(), "ids")
+        if ids.count() > _MARKS // 8:
+            return written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width, share, None), "doc_id long, n long, tokens binary"), name)
+        words = ids.mapInArrow(_marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        marks = np.zeros(_MARKS >> 5, "<u4")
         marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
         wanted = spark.sparkContext.broadcast(marks.tobytes())
         return written(docs.mapInArrow(_sets(width, share, wanted), "doc_id long, n long, tokens binary"), name)
 
     ends = F.explode(F.array("a", "b")).alias("id")
-    heads = sets(pairs.select(ends).union(runs.select(F.col("b").alias("id"))), head, "heads")
+    heads = sets(pairs.select(ends).union(group.select(F.col("b").alias("id"))), head, "heads")
 
     def passed(df: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
         left, right = tokens.toDF("a", "nx", "x"), tokens.toDF("b", "ny", "y")
@@ -423,36 +437,33 @@ def near_duplicates(
     same = member.where("n > 0 and doc_id is not null").join(node.select("lo", "hi", "node"), ["lo", "hi"]).select("doc_id", "node")
     several = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
     links = same.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    links = _resolved(runs, written(links.union(verified(pairs)), "links"), verified, rounds, num, den)
+    links = _resolved(group, written(links.union(verified(pairs)), "links"), verified, rounds, num, den)
     base = member.join(node.select("lo", "hi", "node"), ["lo", "hi"], "left").select("doc_id", "n", "node").join(components(links), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return base.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _resolved(runs: DataFrame, links: DataFrame, verified, rounds: int, num: int, den: int) -> DataFrame:
-    """All links, after further centres for the long posting lists whose members aren't connected yet."""
-    state = runs.select("run", F.col("b").alias("id"), F.struct("rare", "b").alias("rank"), "flag", F.col("sb").alias("size"), (F.col("a") == F.col("b")).alias("tried"))
+def _resolved(group: DataFrame, links: DataFrame, verified, rounds: int, num: int, den: int) -> DataFrame:
+    """All links, with those between members of a group (of one centre) that the centre leaves unconnected."""
+    state = group.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.struct("rare", "b").alias("rank"), "flag", F.col("sb").alias("size"), (F.col("a") == F.col("b")).alias("tried"))
     for k in range(rounds + 1):
-        if not state.head(1):
-            break
         label = components(links).withColumnRenamed("node", "id")
-        state = state.join(label, "id", "left").select("run", "id", "rank", "flag", "size", "tried", F.coalesce("component", "id").alias("component"))
-        open_ = state.groupBy("run").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("run")
-        state = written(state.join(open_, "run"), "state")
+        state = state.join(label, "id", "left").select("hub", "id", "rank", "flag", "size", "tried", F.coalesce("component", "id").alias("component"))
+        open_ = state.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("hub")
+        state = written(state.join(open_, "hub"), "state")
         if not state.head(1):
             break
         if k == rounds:
-            rest = state.where("not tried").select("run", "id", "component", "flag", "size")
-            a, b = rest.toDF("run", "a", "ca", "fa", "sa"), rest.toDF("run", "b", "cb", "fb", "sb")
+            rest = state.where("not tried").select("hub", "id", "component", "flag", "size")
+            a, b = rest.toDF("hub", "a", "ca", "fa", "sa"), rest.toDF("hub", "b", "cb", "fb", "sb")
             fits = f"a < b and ca <> cb and (fa or sb < sa) and (fb or sa < sb) and {den} * least(sa, sb) >= {num} * greatest(sa, sb)"
-            return links.union(verified(a.join(b, "run").where(fits).select("a", "b").distinct()))
-        done = state.where("tried").select("run", "component").distinct()
-        fresh = state.join(done, ["run", "component"], "left_anti").groupBy("run").agg(F.min("rank").alias("x"))
-        again = state.where("not tried").groupBy("run").agg(F.min("rank").alias("y"))
-        centre = again.join(fresh, "run", "left").select("run", F.coalesce("x", "y")["b"].alias("centre"))
-        own = state.join(centre, "run").where("id = centre").select("run", "centre", F.col("component").alias("own"), F.col("size").alias("around")).distinct()
+            return links.union(verified(a.join(b, "hub").where(fits).select("a", "b").distinct()))
+        by_part = state.groupBy("hub", "component").agg(F.max("tried").alias("done"), F.min(F.when(~F.col("tried"), F.col("rank"))).alias("best"))
+        best = by_part.groupBy("hub").agg(F.min(F.when(~F.col("done"), F.col("best"))).alias("x"), F.min("best").alias("y"))
+        centre = written(best.select("hub", F.coalesce("x", "y")["b"].alias("centre")).where("centre is not null"), "centre")
+        own = state.join(centre, "hub").where("id = centre").select("hub", "centre", F.col("component").alias("own"), F.col("size").alias("around")).distinct()
         fits = f"component <> own and not tried and {den} * least(size, around) >= {num} * greatest(size, around)"
-        tries = state.join(own, "run").where(fits).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        tries = state.join(own, "hub").where(fits).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         links = written(links.union(verified(tries)), "links")
-        state = state.join(centre, "run").select("run", "id", "rank", "flag", "size", (F.col("tried") | (F.col("id") == F.col("centre"))).alias("tried"))
+        state = state.join(centre, "hub").select("hub", "id", "rank", "flag", "size", (F.col("tried") | (F.col("id") == F.col("centre"))).alias("tried"))
     return links

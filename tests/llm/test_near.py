@@ -71,13 +71,37 @@ def test_an_original_without_id_does_not_cost_its_copies_their_links(spark):
     assert [(r.n_shingles, r.component_id) for r in found if r.doc_id is None] == [(146, None)]
 
 
-def test_lists_of_equal_members_keep_all_their_flags():
+def test_a_member_is_near_in_its_group_where_any_list_says_so():
     flags = {1: [0, 1, 1, 1], 2: [1, 1, 0, 1]}
     sig = np.array([s << 1 | f for s, fs in flags.items() for f in fs], np.uint64)
     parts = (np.array([8, 4], "<u4"), np.array([11, 12, 13, 14], "<u8"), np.array([12, 10, 12, 10], "<u4"), np.zeros(4, "<u4"), np.array([0, 1, 2, 3] * 2, "<u2"), (sig & np.uint64(255)).astype(np.uint8), (sig >> np.uint64(8)).astype("<u4"))
     batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([b"".join(x.tobytes() for x in parts)])], ["p", "payload"])
     rows = [r for b in _postings(75, 100, 2)(iter([batch])) for r in b.to_pylist()]
-    assert len({r["run"] for r in rows}) == 1 and {r["b"]: r["flag"] for r in rows} == {11: True, 12: True, 13: True, 14: True}
+    assert {r["a"] for r in rows} == {11} and sorted((r["b"], r["flag"]) for r in rows) == [(11, True), (12, True), (13, True), (14, True)]
+
+
+def test_whole_documents_table(spark, more):
+    rows = [(r.doc_id, r.text) for r in more.collect()]
+    index, sets = {}, {}
+    for i, text in rows:
+        w = [x.lower() for x in WORD.findall((text or "").encode())]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        for s in sets[i]:
+            index.setdefault(s, set()).add(i)
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, mine in sets.items():
+        for j in {j for s in mine for j in index[s] if j < i}:
+            if 100 * len(mine & sets[j]) >= 75 * len(mine | sets[j]):
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    found = near_duplicates(more.withColumn("component_id", more.n_chars).withColumn("n", more.lang)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(s), top(i)) for i, s in sets.items()}
 
 
 def test_every_text_of_a_document_links_it(spark):
