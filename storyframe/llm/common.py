@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder driver and executors share; a session must name it."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="storyframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -44,6 +43,16 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def per_worker(kind: str, key: object, make: Callable[[], object]):
+    """What ``make`` gives, kept by this worker process for its later tasks; of each kind only the last key's."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept[kind] = key, make()
+    return _kept[kind][1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -58,10 +67,11 @@ def held_out(doc_id="doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, text, y) for at most ``limit`` labelled training rows, chosen by hash so that reruns agree.
+    """(doc_id, text, y) for at most ``limit`` labelled training documents, chosen by hash so that reruns agree.
 
-    Held-out rows and null labels are left out; of repeated labels for a document the largest counts.  Only the
-    chosen ids (8 bytes each, at most ``limit``) are broadcast, so no text is shuffled.
+    Held-out rows and null labels are left out; of repeated labels for a document the largest counts, of its repeated
+    rows the smallest text.  Only the chosen ids (8 bytes each, at most ``limit``) are broadcast, and only the chosen
+    texts are shuffled.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -70,4 +80,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         .orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(limit)
     )
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.join(F.broadcast(chosen), "doc_id")
+    return text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, per_worker
 from .tokens import WordIds
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64()), ("ids", pa.binary())])
@@ -103,7 +103,8 @@ def powers(pieces: list[tuple[int, int, int]], tokens: int) -> list[list[tuple[i
 
 def _pack(tokenizer: str, end: int, tokens: int, segments: int, loss: int, window: int, wanted: bool):
     def run(batches):
-        encoder, task, made = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        encoder = per_worker("word ids", tokenizer, lambda: WordIds(tokenizer))
+        task, made = TaskContext.get().partitionId(), 0
         tail = np.array([end], "<u4").tobytes()
 
         def flush(ids, docs, skips):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, per_worker
 
 
 class Automaton:
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, end: str = "</w>", byte_level
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        counts = _Counts(Automaton(load(vocabulary), end), byte_level)
+        counts = per_worker("piece counts", (vocabulary, end, byte_level), lambda: _Counts(Automaton(load(vocabulary), end), byte_level))
         for batch in batches:
             words, tokens = [], []
             for t in batch.column(1).cast(pa.large_binary()):
