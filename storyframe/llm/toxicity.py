@@ -1,16 +1,20 @@
 """Toxicity by a learned lexicon, misspellings caught by Levenshtein automata, and context-window scores.
 
-The lexicon comes from labelled rows: words whose distinct contexts are mostly in toxic documents, and stems that many
-such words share.  It is held as a trie.  A word of a text is looked up exactly; otherwise its Levenshtein automaton
-(bit-parallel states, one or two errors by length) is run along the trie, and subtrees where the automaton has died are
-left.  Before that a necessary condition is tested: with k errors, one of k + 1 pieces of the term is intact near its
-place.  A hit's score falls where its window shows quotation (marks around it, words that speak about words) and rises
-where the window holds further hits.  A logistic model over a document's hit scores gives its score.
+The lexicon comes from labelled rows: words, and beginnings of words (stems), that toxic documents use at a higher rate
+than harmless ones, weighted by the logarithm of that ratio.  It is held as a trie.  A word of a text is looked up
+exactly; otherwise its Levenshtein automaton (bit-parallel states, one or two errors by length) is run along the trie,
+and subtrees where the automaton has died are left.  Before that a necessary condition is tested: with k errors, one of
+k + 1 pieces of the term is intact near its place.  Terms whose misspellings harmless documents are full of (ordinary
+syllables) are matched exactly only, and words that harmless documents use are no misspellings.  A hit's score falls
+where its window shows quotation (marks around it, words that speak about words) and rises where the window holds further
+hits.  A logistic model over a document's hit scores gives its score; it is fitted on scores from lexicons that were
+learned without the document's fold, so that it knows how lexicons do on new text.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -20,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, labelled_sample, written
+from .common import bounded_batches, labelled_sample, per_worker, written
 
 # Marks of quotation and words that speak about words, in the corpus's four languages.  Fixed values.
 _OPEN, _CLOSE = "\"“„«‹‘'", "\"”“»›’'"
 _ABOUT = frozenset("word words term terms said says quote quoted called slur insult means wort begriff sagte zitat mot mots terme dit cité palabra término dijo cita".split())
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 WINDOW = 6
+STEMS = range(4, 10)  # characters of a stem
+FOLDS = 3
+LEAST, MOST = float(np.log(4)), float(np.log(400))  # a term's rate in toxic documents: 4 times that in harmless ones; weight 1 from 400 times
 
 
 def errors(length: int) -> int:
@@ -43,11 +50,12 @@ def pieces(term: str) -> list[tuple[int, str]]:
 
 @dataclass
 class Lexicon:
-    """Weighted terms and stems; clean: words near a term that are known to be harmless."""
+    """Weighted terms and stems; clean: words near a term that are known to be harmless; exact: terms never misspelt."""
 
     terms: dict[str, float]
     stems: dict[str, float] = field(default_factory=dict)
     clean: frozenset = frozenset()
+    exact: frozenset = frozenset()
 
     def __post_init__(self):
         self.longest = max(map(len, self.terms), default=0) + 2
@@ -65,7 +73,7 @@ class Lexicon:
             most = 0
             for term in self.terms:
                 k = errors(len(term))
-                if not k or abs(len(term) - n) > k:
+                if not k or abs(len(term) - n) > k or term in self.exact:
                     continue
                 most = max(most, k)
                 node = trie
@@ -150,7 +158,7 @@ class _Hits(dict):
         return found
 
 
-FEATURES = 6
+FEATURES = 7
 
 
 def measure(text: str, hits: _Hits) -> list[float]:
@@ -165,7 +173,7 @@ def measure(text: str, hits: _Hits) -> list[float]:
     for (i, (weight, kind)), others in zip(found, around.tolist()):
         scores.append(weight * (0.3 if quoted(parts, i) else 1.0) * (1 + 0.25 * min(others, 4)))
     total = sum(scores)
-    return [np.log1p(total), max(scores), np.log1p(max(around) + 0.0), total / len(parts) ** 0.5, min(total, 4.0), float(sum(k == 2 for _, (_, k) in found) / len(found))]
+    return [np.log1p(total), max(scores), np.log1p(max(around) + 0.0), total / len(parts) ** 0.5, min(total, 4.0), float(sum(k == 2 for _, (_, k) in found) / len(found)), np.log1p(100 * total / len(parts))]
 
 
 def quoted(parts: list[str], i: int) -> bool:
@@ -176,85 +184,116 @@ def quoted(parts: list[str], i: int) -> bool:
     return opens and closes or any(_EDGE.sub("", p).lower() in _ABOUT for p in parts[a:b])
 
 
-def _heads(w: str) -> tuple[str, ...]:
-    """A word, and its first letters marked by a star."""
-    return (w, w[:4] + "*", w[:5] + "*")[: 1 + (len(w) > 4) + (len(w) > 5)]
+def _heads(w: str) -> list[str]:
+    """A word, and its beginnings marked by a star."""
+    return [w] + [w[:k] + "*" for k in STEMS if len(w) > k]
 
 
 def _words(text: str) -> list[str]:
     return [w for p in text.split() if (w := _EDGE.sub("", p).lower())]
 
 
+def _rows(batch) -> zip:
+    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("text", "y", "fold")))
+
+
 def _contexts(batches):
-    """Distinct (word or stem, context) of toxic documents; context: the words beside it."""
+    """Distinct (word or stem, context, fold) of toxic documents; context: the words beside it."""
     for batch in batches:
-        y = batch.column(batch.schema.get_field_index("y")).to_pylist()
-        for t, label in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), y):
-            ws = _words(t) if label == 1 else []
-            got = {(x, f"{ws[i - 1] if i else ''} {ws[i + 1] if i + 1 < len(ws) else ''}") for i, w in enumerate(ws) if 3 <= len(w) <= 24 for x in _heads(w)}
+        for text, y, fold in _rows(batch):
+            ws = _words(text) if y == 1 else []
+            got = {(x, f"{ws[i - 1] if i else ''} {ws[i + 1] if i + 1 < len(ws) else ''}") for i, w in enumerate(ws) for x in _heads(w)}
             if got:
                 word, context = zip(*sorted(got))
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context)], ["word", "context"])
-
-
-def _uses(only: set[str]):
-    """(word or stem, number of harmless documents) for those in ``only``, summed by batch."""
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context), pa.array([fold] * len(word), pa.int32())], ["word", "context", "fold"])
 
-    def run(batches):
-        for batch in batches:
-            y = batch.column(batch.schema.get_field_index("y")).to_pylist()
-            many: Counter = Counter()
-            for t, label in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), y):
-                if label == 0:
-                    many.update({x for w in set(_words(t)) for x in _heads(w)} & only)
-            yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], ["word", "n"])
 
-    return run
+def _uses(batches):
+    """(word or stem, fold, number of uses in harmless documents), summed by batch."""
+    for batch in batches:
+        many: Counter = Counter()
+        for text, y, fold in _rows(batch):
+            for w, n in Counter(_words(text)).items() if y == 0 else ():
+                for x in _heads(w):
+                    many[x, fold] += n
+        word, fold = zip(*many) if many else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(fold, pa.int32()), pa.array(list(many.values()), pa.int64())], ["word", "fold", "n"])
 
 
 def _near(lexicon: Lexicon):
-    """Words of harmless documents that the lexicon would take for a stem or a misspelling."""
+    """(word, term or null, fold, y, documents) of words that the lexicon takes for a misspelling of term, or a stem."""
 
     def run(batches):
         hits = _Hits(lexicon)
         for batch in batches:
-            y = batch.column(batch.schema.get_field_index("y")).to_pylist()
-            got: set[str] = set()
-            for t, label in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), y):
-                if not label:
-                    got |= {_EDGE.sub("", p).lower() for p in set(t.split()) if (h := hits[p]) and h[1]}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.string())], ["word"])
+            many: Counter = Counter()
+            for text, y, fold in _rows(batch):
+                found = {_EDGE.sub("", p).lower() for p in set(text.split()) if hits[p] is not None and hits[p][1]}
+                many.update((w, fold, y) for w in found)
+            word, fold, y = zip(*many) if many else ((), (), ())
+            term = [lexicon.nearest(w) if lexicon.look_up(w)[1] == 2 else None for w in word]
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(term, pa.string()), pa.array(fold, pa.int32()), pa.array(y, pa.int32()), pa.array(list(many.values()), pa.int64())], ["word", "term", "fold", "y", "n"])
 
     return run
 
 
-def learn_lexicon(rows: DataFrame, terms: int = 3000, contexts: int = 3) -> Lexicon:
-    """Terms and stems from (text, y): at most ``terms`` words, each in ``contexts`` distinct contexts at least.
+def learn_lexicons(rows: DataFrame, contexts: int = 3) -> list[Lexicon]:
+    """Lexicons from (text, y, fold): for each fold one learned without it, and the last from all.
 
-    In toxic documents contexts are counted: what copies of one document repeat is one context.  Stems are first
-    letters (marked by a star while counted), judged alike.
+    A term or stem has at least ``contexts`` distinct contexts in toxic documents (what copies of one document repeat is
+    one context) and enough evidence: a log likelihood ratio of its rates above what chance finds among the candidates.
+    Evidence is counted by Spark; only what has enough of it comes to the driver.
     """
-
-    found = rows.mapInArrow(_contexts, "word string, context string").distinct().groupBy("word").agg(F.count("*").alias("n"))
-    bad = {r[0]: r[1] for r in found.where(F.col("n") >= contexts).orderBy(F.desc("n"), "word").limit(20 * terms).collect()}
-    good = {r[0]: r[1] for r in rows.mapInArrow(_uses(set(bad)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()} if bad else {}
-    sizes = {r[0]: r[1] or 0 for r in rows.groupBy("y").agg(F.sum(F.length("text"))).collect()}
-    toxic = (sizes.get(1, 0) + 1) / (sizes.get(1, 0) + sizes.get(0, 0) + 2)
-
-    def evidence(w: str) -> float:
-        """Log likelihood ratio of a word's own toxic share against that of all text."""
-        n, g = bad[w], good.get(w, 0)
-        return n * np.log(n / (n + g) / toxic) + (g * np.log(g / (n + g) / (1 - toxic)) if g else 0.0)
-
-    # Chance finds among so many candidates stay below about one in three; harmless uses are exceptions.
-    least = np.log(max(len(bad), 1)) + 1
-    found = {w: e for w in bad if good.get(w, 0) <= 0.02 * bad[w] and (e := evidence(w)) > least}
-    kept = sorted(found, key=lambda w: (-found[w], w))[:terms]
-    weight = {w: 1.0 for w in kept if w[-1] != "*"}
-    stems = {w[:-1]: 1.0 for w in kept if w[-1] == "*"}
-    first = Lexicon(weight, stems)
-    clean = frozenset(r[0] for r in rows.mapInArrow(_near(first), "word string").distinct().orderBy("word").limit(200_000).collect()) if kept else frozenset()
-    return Lexicon(weight, stems, clean)
+    sizes = {(r[0], r[1]): r[2] or 0 for r in rows.groupBy("y", "fold").agg(F.sum(F.length("text"))).collect()}
+
+    def toxic_share(out: int) -> float:
+        t, h = (sum(n for (y, fold), n in sizes.items() if y == want and fold != out) + 1 for want in (1, 0))
+        return t / (t + h)
+
+    n = [F.count_if(F.col("fold") == k).alias(f"n{k}") for k in range(FOLDS)]
+    g = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"g{k}") for k in range(FOLDS)]
+    bad = rows.mapInArrow(_contexts, "word string, context string, fold int").distinct().groupBy("word").agg(*n, F.count("*").alias("n")).where(F.col("n") >= contexts)
+    bad = written(bad, "candidates")
+    candidates = bad.count()
+    counted = bad.join(rows.mapInArrow(_uses, "word string, fold int, n long").groupBy("word").agg(*g), "word", "left").na.fill(0)
+    least, share = float(np.log(max(candidates, 1)) + 1), toxic_share(-1)
+    harmless = sum((F.col(f"g{k}") for k in range(FOLDS)), F.lit(0))
+    part = F.col("n") / (F.col("n") + harmless)
+    evidence = F.col("n") * F.log(part / share) + F.when(harmless > 0, harmless * F.log((1 - part) / (1 - share))).otherwise(0)
+    kept = counted.where((part > share) & (evidence > least)).orderBy("word").collect()
+
+    def ratio(bad_: float, good: float, share: float) -> float:
+        """Logarithm of the ratio of rates."""
+        return float(np.log((bad_ + 0.5) / share / ((good + 0.5) / (1 - share))))
+
+    def weighted(out: int) -> tuple[dict[str, float], dict[str, float]]:
+        share, terms, stems = toxic_share(out), {}, {}
+        for r in kept:
+            b = sum(r[f"n{k}"] for k in range(FOLDS) if k != out)
+            h = sum(r[f"g{k}"] for k in range(FOLDS) if k != out)
+            w = ratio(b, h, share)
+            if b >= contexts and w >= LEAST and b * np.log(b / (b + h) / share) + (h * np.log(h / (b + h) / (1 - share)) if h else 0) > least:
+                (stems if r["word"][-1] == "*" else terms)[r["word"].rstrip("*")] = min(w, MOST) / MOST
+        return terms, stems
+
+    near = rows.mapInArrow(_near(Lexicon(*weighted(-1))), "word string, term string, fold int, y int, n long")
+    near = near.groupBy("word", "term", "fold", "y").agg(F.sum("n").alias("n")).collect() if kept else []
+    out = []
+    for k in [*range(FOLDS), -1]:
+        (terms, stems), share = weighted(k), toxic_share(k)
+        words, misspelt = ({}, {}), ({}, {})
+        for r in near:
+            if r["fold"] != k:
+                words[r["y"]][r["word"]] = words[r["y"]].get(r["word"], 0) + r["n"]
+        clean = frozenset(w for w, h in words[0].items() if ratio(words[1].get(w, 0), h, share) < LEAST)
+        for r in near:
+            if r["fold"] != k and r["term"] is not None and r["word"] not in clean:
+                misspelt[r["y"]][r["term"]] = misspelt[r["y"]].get(r["term"], 0) + r["n"]
+        # New harmless words come at the rate of those seen once: they count against a term though they are clean now.
+        fresh: Counter = Counter(r["term"] for r in near if r["fold"] != k and r["y"] == 0 and r["term"] is not None)
+        exact = frozenset(t for t, h in fresh.items() if ratio(misspelt[1].get(t, 0), h, share) < LEAST)
+        out.append(Lexicon(terms, stems, clean, exact))
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -272,22 +311,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Model:
-    """A model of ``labels.toxic`` from at most ``limit`` labelled rows that aren't held out."""
-    rows = written(labelled_sample(docs, labels, "toxic", limit), "sample")
-    lexicon = learn_lexicon(rows)
+    """A model of ``labels.toxic`` from at most ``limit`` labelled documents that aren't held out."""
+    rows = labelled_sample(docs, labels, "toxic", limit).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    rows = written(rows, "sample")
+    lexicons = learn_lexicons(rows)
 
     def run(batches):
-        hits = _Hits(lexicon)
+        hits = [_Hits(lexicon) for lexicon in lexicons[:-1]]
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            x = [measure(t, hits) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            got = [(y, measure(text, hits[fold])) for text, y, fold in _rows(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in got], pa.int32()), pa.array([x for _, x in got], pa.list_(pa.float64()))], ["y", "x"])
 
     got = rows.mapInArrow(run, "y int, x array<double>").groupBy("x", "y").count().toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)
     order = np.lexsort((got["y"], *x.T)) if len(x) else np.zeros(0, int)
     x, y, n = x[order], got["y"].to_numpy(float)[order], got["count"].to_numpy()[order]
-    return Model(lexicon, _logistic(np.repeat(x, n, 0), np.repeat(y, n)))
+    return Model(lexicons[-1], _logistic(np.repeat(x, n, 0), np.repeat(y, n)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -297,11 +336,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     equal scores, and an empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
         model = shared.value
-        hits = _Hits(model.lexicon)
+        hits = per_worker("toxic hits", key, lambda: _Hits(model.lexicon))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             x = np.array([measure(t.as_py() or "", hits) for t in texts], float).reshape(-1, FEATURES)

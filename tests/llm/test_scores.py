@@ -46,6 +46,25 @@ def test_toxicity_on_held_out_rows(spark, more, labels):
     assert np.mean(caught) >= 0.5 and np.mean(false) <= 0.05
 
 
+def test_toxicity_on_the_larger_table(spark):
+    d = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = toxicity.score(documents.withColumn("out", held_out()).select("doc_id", "text", "out"), toxicity.train(documents, labels)).join(labels, "doc_id").where("out").collect()
+    assert np.mean([r.toxic_score >= 0.5 for r in rows if r.toxic]) >= 0.9
+    assert np.mean([r.toxic_score >= 0.5 for r in rows if not r.toxic]) <= 0.02
+
+
+def test_words_whose_likes_are_common_are_matched_exactly(spark):
+    rng = random.Random(9)
+    plain = ["mentear", "domenta", "comente", "amental", "rosmena", "tormente"]
+    harmless = [" ".join(rng.choice(plain) + rng.choice("abcdefgh") * rng.randrange(3) for _ in range(40)) for _ in range(200)]
+    toxic = [" ".join([*(rng.choice(plain) for _ in range(20)), rng.choice(("bomentear", "scumbag")), rng.choice("xyz"), "scumbag"]) for _ in range(60)]
+    rows = spark.createDataFrame([(t, 0, k % 3) for k, t in enumerate(harmless)] + [(t, 1, k % 3) for k, t in enumerate(toxic)], "text string, y int, fold int")
+    lexicon = toxicity.learn_lexicons(rows)[-1]
+    assert lexicon.look_up("scumbag")[1] == 0 and lexicon.look_up("scvmbag")[1] == 2
+    assert lexicon.look_up("bomentear")[1] == 0 and lexicon.look_up("comentear") is None and lexicon.look_up("mentear") is None
+
+
 def test_quality_on_held_out_rows(spark, more, labels):
     model = quality.train(more, labels)
     rows = quality.score(more.withColumn("out", held_out()).select("doc_id", "text", "out"), model).join(labels, "doc_id").where("out").collect()
