@@ -85,6 +85,40 @@ def test_templates_are_rejected_by_their_labels(spark):
     assert got[0] == "block" and got[2] == "block" and got[100] == "allow" and got[201] == "allow"
 
 
+def test_other_sites_decide_where_a_host_has_no_labels(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    rows = urls.judge(pages).where("rule is null").collect()
+    # One site (example.com) has /en/ blocked and /de/ allowed: that alone doesn't reach 0.8.
+    assert {(r.path[:4], r.purity, r.verdict) for r in rows if r.path.startswith(("/en/", "/de/"))} == {("/en/", 0.75, "allow"), ("/de/", 0.25, "allow")}
+    made = [f"http://{h}/{s}/{k}" for h in ("w.a.net", "b.net", "c.net", "d.org", "e.org") for s in ("es", "fr", "en", "new") for k in range(4)]
+    rules = [("block", f"{h}/es/") for h in ("a.net", "b.net", "c.net")] + [("allow", "a.net/fr/"), ("block", "b.net/fr/"), ("allow", "net/en/")]
+    got = {(r.host, r.path.split("/")[1]): (r.verdict, r.purity) for r in urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string"), rules).collect()}
+    for h in ("d.org", "e.org"):
+        assert got[h, "es"] == ("block", 3.5 / 4) and got[h, "fr"] == ("allow", 0.5) and got[h, "en"] == ("allow", 0.5 / 4) and got[h, "new"] == ("allow", 0.5)
+
+
+def test_purities_against_plain_code(spark):
+    """Templates that don't merge (few children, clear labels): each purity by hand."""
+    rows = [(h, [a, b], 40, blocked, labelled) for h, la in (("x.a", 40), ("y.x.a", 20), ("z.b", 40), ("q.c", 0)) for a, b, blocked, labelled in (("bad", "p", la, la), ("half", "p", la * (h[0] == "x"), la), ("good", "p", 0, la), ("new", "q", 0, 0), ("bad", "r", 0, 0))]
+    counts = spark.createDataFrame(rows, "host string, parts array<string>, n long, blocked long, labelled long")
+    pool = counts.groupBy(F.lit(urls.POOL).alias("host"), "parts").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
+    got = {(r.host, *r.parts): r.purity for r in urls.purities(urls.templates(counts.unionByName(pool)), 2.0).collect()}
+    assert len(got) == len(rows)
+    for h, parts, _, blocked, labelled in rows:
+        opinions = {"bad": [1, 1], "half": [40 / 60, 0], "good": [0, 0], "new": []}[parts[0]]  # sites x.a and z.b
+        prior = (sum(opinions) + 2 * 0.5) / (len(opinions) + 2)
+        assert got[h, *parts] == pytest.approx((blocked + 2 * prior) / (labelled + 2))
+
+
+def test_branches_that_differ_are_told_apart_at_any_depth(spark):
+    deep = "/".join("abcdefgh")
+    rows = [(k, f"http://h.org/{deep}/{s}/{n}/x/y/z/1") for k, (s, n) in enumerate((s, n) for s in ("good", "bad", "good2", "bad2") for n in ("u", "v") for _ in range(30))]
+    rules = [("block", f"h.org/{deep}/bad/"), ("allow", f"h.org/{deep}/good/")]
+    got = {(r.path.split("/")[9], r.verdict, r.template) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert {(s, v) for s, v, _ in got} == {("good", "allow"), ("good2", "allow"), ("bad", "block"), ("bad2", "allow")}
+    assert {t for s, _, t in got if s in ("good", "bad")} == {f"/{deep}/good/**", f"/{deep}/bad/**"}
+
+
 def test_many_children_become_a_wildcard(spark):
     counts = spark.createDataFrame([("h", ["u", f"name{chr(97 + i)}"], 1, 0, 0) for i in range(20)], "host string, parts array<string>, n long, blocked long, labelled long")
     assert {r.template for r in urls.templates(counts, fanout=10).collect()} == {"/u/*"}
@@ -166,6 +200,34 @@ def test_top_k_ranks_repeated_rows_as_its_sql(spark, tmp_path, copies):
     assert sorted(map(tuple, topk.top_k(df, shard_rows=60).collect())) == want
 
 
+def test_top_k_of_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=(3, 8, 0, 20)[i % 4] if i % 7 else 8) + 4 * (i % 5)).round(2).tolist()) for i in range(900)] + [(0, [1.0]), (50, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("leaf", F.lit(1)).withColumn("row", F.lit(2))
+    want = set()
+    for qid in range(0, 900, 50):
+        scores = []
+        for own, q in rows:
+            if own == qid:
+                scores += [(-int(np.floor(256 * np.array(q)) @ np.floor(256 * np.array(x))) if q else 0, i) for i, x in rows if i != qid and len(x) == len(q)]
+        want |= {(qid, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:5])}
+    for size in (4096, 60, 20):
+        assert set(map(tuple, topk.top_k(df, shard_rows=size).collect())) == want
+
+
+def test_top_tree_deals_every_row_and_boxes_prune(spark):
+    rng = np.random.default_rng(3)
+    rows = np.repeat(rng.normal(size=(16, 6)) * 50, 100, 0) + rng.normal(size=(1600, 6))
+    top = topk.Top(rows[::3], 16)
+    leaf = top.leaf(rows)
+    assert leaf.min() >= 0 and leaf.max() < 16 and len(np.unique(leaf)) == 16
+    low, high = (np.stack([f(rows[leaf == k], 0) for k in range(16)]) for f in (np.min, np.max))
+    q = rows[0]
+    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    kth = np.sort(rows @ q)[-5]
+    assert (bound >= kth).sum() < 8 and all((rows[leaf == k] @ q).max() <= bound[k] + 1e-9 for k in range(16))
+
+
 def test_preference_pairs(spark):
     rows = [(1, s, k, r, t) for s in ("chosen", "rejected") for k, (r, t) in enumerate([("user", "hi"), ("assistant", "yo" if s == "chosen" else "no"), ("user", None)])]
     rows += [(2, "chosen", 0, "user", "only"), (3, s0 := "chosen", 0, "user", "x"), (3, "rejected", 0, "user", "x"), (None, s0, 0, None, None)]
