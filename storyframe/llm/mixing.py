@@ -6,7 +6,8 @@ caps.
 
 Blocks.  A document belongs to one of its source's blocks by hash, and blocks are in random order within their source.
 A source takes its whole documents as often as its target holds its size, and of the rest whole blocks in order, then
-documents of one block, then part of one document: so the taken words are the target, rounded.
+whole parts of one block (dealt by hash too, so that no block is sorted whole), then documents of one part, then the first
+words of one document: so the taken words are the target, rounded.
 
 Shards.  The blocks' quotas (how many of each source) are split among the output shards by a binary tree: a node's
 blocks are ordered at random and the left half of the shards takes its share of the first, which draws each source's
@@ -24,9 +25,11 @@ from .common import written
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each text, null text 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, mark, ...): words of each text, null text 0; a hash of id and text; ``carry`` as it is."""
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", text).alias("mark"), *carry)
 
 
 def targets(totals: DataFrame, repeats: int = 3) -> DataFrame:
@@ -59,15 +62,20 @@ def split(counts: DataFrame, depth: int, seed: int) -> DataFrame:
     return now.select(F.col("node").alias("shard"), "source", "quota", (F.sum("quota").over(ranges) - F.col("quota")).alias("first"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, blocks: int = 8192, depth: int = 4, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, shard, place): one row per document.
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, blocks: int = 8192, depth: int = 4, seed: int = 7,
+    carry: tuple[str, ...] = (), parts: int = 4096,
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, shard, place, ...): one row per document.
 
     Sources in order of code points, null last, have ``weights`` in turn.  ``taken`` words of a document are in the mix,
     repeats counted, ``repeats`` times its size at most; place orders a shard.  The whole has about ``blocks`` blocks, so
-    the planning tables are bounded by blocks and sources.  Repeated rows count each; a null text, or one without
-    words, has size 0 and takes 0; an empty table gives no rows.  Other columns are ignored.
+    the planning tables are bounded by blocks, sources and ``parts`` a source.  ``carry`` names further columns of docs
+    that stay with their row (doc_id, source and the names above can't be carried); other columns are ignored.
+    Repeated rows count each, and so do null doc_ids: rows are told by nothing but themselves.  A null text, or one
+    without words, has size 0 and takes 0; very long texts are counted whole; an empty table gives no rows.
     """
-    size = written(sized(docs), "sizes")
+    size = written(sized(docs, carry), "sizes")
     totals = size.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("order") - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -77,9 +85,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     totals = totals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(0).cast("long"))
     plan = written(totals.withColumn("need", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")).select("source", "source_size", "target", "blocks", "epochs", "need"), "plan")
 
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
     same = size["source"].eqNullSafe(plan["source"])
-    placed = size.join(plan, same).select("doc_id", size["source"], "size", "source_size", "target", "epochs", "need", key.alias("key"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    block = F.pmod(F.xxhash64(F.lit(seed + 1), "mark"), F.col("blocks")).cast("int").alias("block")
+    placed = size.join(plan, same).select("doc_id", size["source"], "size", "source_size", "target", "epochs", "need", F.xxhash64(F.lit(seed), "mark").alias("place"), block, "mark", *carry)
     block = placed.groupBy("source", "block", "need").agg(F.sum("size").alias("words"))
     # Blocks without documents keep their place, so that quotas are those of the plan.
     every = plan.select("source", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
@@ -93,9 +101,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
 
     at = placed.join(every, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
     edge = (F.col("before") < F.col("need")) & (F.col("before") + F.col("words") > F.col("need"))
-    within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = at.where(edge).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    cut = cut.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("need") - F.col("ahead"))))
+    keep = ["doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "shard", "place", *carry]
     whole = at.where(~edge).withColumn("extra", F.when(F.col("before") + F.col("words") <= F.col("need"), F.col("size")).otherwise(0))
-    keep = ["doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "shard", F.col("key").alias("place")]
-    return whole.select(*keep).unionByName(cut.select(*keep))
+    # A source has one block at the edge at most: its parts, in the order of their numbers, then the documents of one part.
+    cut = at.where(edge).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 3), "mark"), F.lit(parts)).cast("int")).drop("words", "s", "k")
+    earlier = Window.partitionBy("p_source").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    part = cut.groupBy(F.col("source").alias("p_source"), F.col("part").alias("p")).agg(F.sum("size").alias("words")).withColumn("earlier", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    cut = cut.join(written(part, "parts"), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p")))
+    left = F.col("need") - F.col("before") - F.col("earlier")
+    within = Window.partitionBy("source", "part").orderBy("place", "mark", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    some = cut.where((left > 0) & (left < F.col("words"))).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left - F.coalesce(F.sum("size").over(within), F.lit(0)))))
+    rest = cut.where((left <= 0) | (left >= F.col("words"))).withColumn("extra", F.when(left >= F.col("words"), F.col("size")).otherwise(0))
+    return whole.select(*keep).unionByName(rest.select(*keep)).unionByName(some.select(*keep))
