@@ -13,19 +13,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; the model is learned from the labelled rows of all documents."""
+    """Documents whose toxicity score is below 0.5; the model is learned from the labelled rows of all documents.
+
+    Rows are judged each by themselves: equal texts stay or go together, repeated rows and null ids stay as often as they
+    come.  A null or empty text has no hits, so it stays; very long texts are judged whole; no rows give none.
+    """
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model).where("toxic_score < 0.5").select(*COLUMNS)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.3 or more; the model is learned from the labelled rows of all documents."""
+    """Documents whose quality score is 0.3 or more; the model is learned from the labelled rows of all documents.
+
+    Rows are judged each by themselves: equal texts stay or go together, repeated rows and null ids stay as often as they
+    come.  A null text is judged as an empty one; very long texts are judged whole; no rows give none.
+    """
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model).where("quality_score >= 0.3").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id (one row of it); without words, all."""
+    """Of each component of near duplicates the document with the smallest id (one row of it); without words, all.
+
+    Null texts and texts without words are linked with nothing and stay, and so do rows with a null doc_id, which can't
+    be told.  Of rows that repeat a kept doc_id the smallest (by text, then the other columns, nulls first) stays.
+    """
     found = ngram_jaccard.near_duplicates(docs)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
@@ -36,20 +48,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one of each source may be cut to its first words."""
-    taken = mixing.mix(docs).groupBy("doc_id", "size", "shard").agg(F.max("taken").alias("taken")).where("taken > 0")
-    rows = docs.select(*COLUMNS).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORDS)), F.lit(0)).cast("long"))
-    t = taken.select(F.col("doc_id").alias("id"), F.col("size").alias("words"), "taken")
-    rows = rows.join(t, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")))
+    """Documents as often as the mix takes them, by shard and in the order of their shard; some are cut to first words.
+
+    Every row is taken by itself: repeated rows and null ids have their own share, a null source is a source.  A null
+    text, or one without words, has nothing to take and goes.  A cut text is its first words, joined by single spaces.
+    Ties of place are in order of id.  No rows give none.
+    """
+    rows = mixing.mix(docs, carry=("text", "lang", "n_chars")).where("taken > 0")
     part = F.col("taken") % F.col("size")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORDS})"), 1), F.lit(1), part.cast("int")), " ")
-    whole = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))))
-    some = rows.where(part > 0).withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long"))
-    return whole.select(*COLUMNS).unionByName(some.select(*COLUMNS))
+    whole = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int")))).where(F.col("copy") < F.floor(F.col("taken") / F.col("size")))
+    some = rows.where(part > 0).withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).withColumn("copy", F.lit(-1))
+    order = ["shard", F.xxhash64("place", "copy"), "doc_id"]
+    both = whole.unionByName(some).select(*COLUMNS, "shard", "place", "copy")
+    return both.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens.
+
+    Every row is packed by itself, repeated ones and null ids too; a null or empty text is its end token alone; very long
+    texts are cut into as many sequences as they fill; no rows give none.
+    """
     pieces = packing.pack(docs, tokenizer_path(WORD_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
