@@ -77,18 +77,19 @@ def keyword_tag(c: Column, lexicon, available=None) -> Column:
 def narration_score(c: Column, min_words: int = 1, words=CUE_WORDS, phrases=CUE_PHRASES) -> Column:
     """Narrative cues per word, four places: cue words, phrases, verb endings, letters three times in a row."""
     low = F.lower(c)
-    tokens = F.regexp_extract_all(low, F.lit(r"(\p{L}+)"), 1)
 
-    def many(test) -> Column:
-        return F.size(F.filter(tokens, test))
+    def many(form: str) -> Column:
+        return F.regexp_count(low, F.lit(form))
 
-    cues = F.array(*[F.lit(w) for w in sorted(words)])
-    hits = many(lambda t: F.array_contains(cues, t))
+    # A word is a run of letters; each counts once for a rule.
+    initials = "".join(sorted({w[0] for w in words}))
+    hits = many(rf"(?<!\p{{L}})(?=[{initials}])(?:{'|'.join(sorted(words))})(?!\p{{L}})")
     for p in phrases:
         hits = hits + (F.char_length(low) - F.char_length(F.replace(low, F.lit(p), F.lit("")))) / len(p)
-    hits = hits + many(lambda t: (F.char_length(t) >= 4) & t.rlike(f"({'|'.join(VERB_ENDINGS)})$"))
-    hits = hits + many(lambda t: t.rlike(r"(.)\1\1"))
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.round(hits / F.greatest(word_count(c), F.lit(min_words), F.lit(1)), 4))
+    ends = "|".join(rf"(?<=\p{{L}}{{{max(0, 4 - len(e))}}}){e}" for e in VERB_ENDINGS)
+    hits = hits + many(rf"(?:{ends})(?!\p{{L}})")
+    hits = hits + many(r"(\p{L})\1\1\p{L}*")
+    return F.when(~low.rlike(r"\p{L}"), 0.0).otherwise(F.round(hits / F.greatest(word_count(c), F.lit(min_words), F.lit(1)), 4))
 
 
 def slug(c: Column, default: str | None = None) -> Column:

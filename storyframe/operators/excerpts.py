@@ -12,10 +12,15 @@ def windows(segments: DataFrame, seconds: float, *ties: str) -> DataFrame:
 
     segments: file, pos (order within the file), start, end.  A segment longer than the window is a run by itself.
     """
-    a = segments.select("file", F.col("pos").alias("first"), F.col("start").alias("w_start"))
-    late = a.join(segments, "file").where((F.col("pos") > F.col("first")) & (F.col("end") - F.col("w_start") > seconds)).groupBy("file", "first").agg(F.min("pos").alias("stop"))
-    runs = a.join(late, ["file", "first"], "left").join(segments, "file").where((F.col("pos") >= F.col("first")) & (F.col("stop").isNull() | (F.col("pos") < F.col("stop"))))
-    return runs.groupBy("file", "first").agg(F.min("w_start").alias("start"), F.max_by("end", "pos").alias("end"), F.count("*").alias("segments"))
+    # A run ends within ``seconds`` of its start: a segment need only look into its own and the next bin of that length.
+    bin_ = F.floor(F.col("start") / seconds)
+    near = segments.select("file", "pos", "start", "end", F.explode(F.array(bin_, bin_ - 1)).alias("bin"))
+    a = segments.select("file", F.col("pos").alias("first"), F.col("start").alias("w_start"), bin_.alias("bin"))
+    seen = a.join(near, ["file", "bin"]).where((F.col("pos") >= F.col("first")) & (F.col("start") - F.col("w_start") <= seconds))
+    late = (F.col("pos") > F.col("first")) & (F.col("end") - F.col("w_start") > seconds)
+    runs = seen.groupBy("file", "first", "w_start").agg(F.coalesce(F.min(F.when(late, F.col("pos"))) - 1, F.max("pos")).alias("pos"))
+    last = segments.select("file", "pos", "end")
+    return runs.join(last, ["file", "pos"]).select("file", "first", F.col("w_start").alias("start"), "end", (F.col("pos") - F.col("first") + 1).alias("segments"))
 
 
 def select(windows: DataFrame, n: int, schema: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,50 @@ def exemplars(crops: DataFrame, name: str, vector: str, key: str) -> DataFrame:
     return crops.select(F.col(key).alias("id"), F.col(name).cast("string").alias("name"), unit(doubles(F.col(vector))).alias("v"))
 
 
+BLOCK = 2048
+
+
+def _products(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+    """Per query and name of a pair of blocks: the largest product, their sum and number, without the query itself."""
+    if q.empty or g.empty:
+        return pd.DataFrame({"id": [], "name": [], "nearest": [], "along": [], "n": []})
+    g = g.sort_values(["g_name", "g_id"], na_position="last")
+    names, first, part = np.unique(g["g_name"].fillna("\x00").to_numpy(str), return_index=True, return_inverse=True)
+    product = np.stack(q["v"].tolist()) @ np.stack(g["g_v"].tolist()).T
+    self_ = q["id"].to_numpy()[:, None] == g["g_id"].to_numpy()[None, :]
+    count = np.add.reduceat((~self_).astype(np.int64), first, 1)
+    along = np.add.reduceat(np.where(self_, 0.0, product), first, 1)
+    nearest = np.maximum.reduceat(np.where(self_, -np.inf, product), first, 1)
+    row, col = np.nonzero(count)
+    name = g["g_name"].to_numpy(object)[first]
+    return pd.DataFrame({"id": q["id"].to_numpy()[row], "name": name[col], "nearest": nearest[row, col], "along": along[row, col], "n": count[row, col]})
+
+
+def products(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(id, name, nearest, along, n): of each query's products with a name's exemplars the largest, the sum, the number.
+
+    Both sides go in blocks by hash; a pair of blocks is one matrix product in one task, reduced to a row for each query
+    and name before anything else is shuffled.  Every query meets the whole gallery but itself, as the evaluation is
+    defined, so each side is copied once for each block of the other.  Null vectors meet nothing.
+    """
+    queries, gallery = queries.where("v is not null"), gallery.where("v is not null")
+    n_q, n_g = (max(1, -(-df.count() // BLOCK)) for df in (queries, gallery))
+    block = F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")
+    q = queries.select("id", "v", block.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))).alias("gb"))
+    other = F.pmod(F.xxhash64("id"), F.lit(n_g)).cast("int")
+    g = gallery.select(F.col("id").alias("g_id"), F.col("name").alias("g_name"), F.col("v").alias("g_v"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), other.alias("gb"))
+    kind = dict(queries.dtypes)["id"]
+    met = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInPandas(_products, f"id {kind}, name string, nearest double, along double, n long")
+    return met.groupBy("id", "name").agg(F.max("nearest").alias("nearest"), F.sum("along").alias("along"), F.sum("n").alias("n"))
+
+
 def scores(queries: DataFrame, gallery: DataFrame, strategy: str = "mixed") -> DataFrame:
     """(id, name, score) of each query against each name, without itself.
 
     nearest: the largest product with an exemplar; prototype: with the normalised mean of the exemplars; mixed: mean of
-    both.  Every query meets the whole gallery: the smaller side is streamed past as Catalyst sees fit.
+    both.
     """
-    q = queries.select("id", F.col("v").alias("q"))
-    g = gallery.select(F.col("id").alias("g_id"), "name", "v")
-    pairs = q.join(g, F.col("id") != F.col("g_id")).select("id", "name", dot(F.col("q"), F.col("v")).alias("s"))
-    nearest = pairs.groupBy("id", "name").agg(F.max("s").alias("nearest"), F.sum("s").alias("along"), F.count("*").alias("n"))
+    nearest = products(queries, gallery)
     if strategy == "nearest":
         return nearest.select("id", "name", F.col("nearest").alias("score"))
     # The mean's product with q is the mean product; its length follows from the sum vector, less the query's own part.
