@@ -59,7 +59,7 @@ def is_pronounceable(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Tokens between white space with a letter or digit."""
-    return F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
+    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]\S*"))
 
 
 def keyword_tag(c: Column, lexicon, available=None) -> Column:
@@ -98,16 +98,14 @@ def slug(c: Column, default: str | None = None) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(default))
 
 
+def folded(t: str) -> str:
+    return " ".join("".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).casefold().split())
+
+
 @pandas_udf(StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Key without accents, case and repeated blanks."""
-
-    def one(t):
-        if t is None:
-            return None
-        return " ".join("".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).casefold().split())
-
-    return s.map(one)
+    return s.map(lambda t: None if t is None else folded(t))
 
 
 def arc_slug(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, folded
 
 
 def as_of(points: DataFrame, marks: DataFrame, by: list[str], at: str, mark_at: str, value: str, tie: str | None = None) -> DataFrame:
@@ -30,9 +30,9 @@ def bounds(arcs: DataFrame, by: list[str], total: Column | None = None) -> DataF
 
 def find(arcs: DataFrame, title: str) -> DataFrame:
     """The arc whose title contains ``title`` without regard to case and accents; exact before earliest."""
-    wanted = fold(F.lit(title))
-    rows = arcs.withColumn("_t", fold("title")).withColumn("_w", wanted).where("_w <> '' and contains(_t, _w)")
-    return rows.orderBy(F.desc(F.col("_t") == F.col("_w")), "start_s").limit(1).drop("_t", "_w")
+    wanted = folded(title)
+    rows = arcs.withColumn("_t", fold("title")).where(F.contains(F.col("_t"), F.lit(wanted)) & F.lit(wanted != ""))
+    return rows.orderBy(F.desc(F.col("_t") == wanted), "start_s").limit(1).drop("_t")
 
 
 def headings(segments: DataFrame, by: list[str], order: list[str], arc: str = "title") -> DataFrame:

@@ -314,20 +314,20 @@ def review_chunks(spark, d):
 
 
 # Labels.
-_ITEMS = "items as (select 'doc' as mode, doc_id::varchar as key, substr(text, 1, 40) as text from documents)"
+_ITEMS = "items as (select 'doc' as mode, doc_id::varchar as key, text from documents)"
 
 
 def _items(spark, d):
-    return table(spark, d, "documents").select(F.lit("doc").alias("mode"), F.col("doc_id").cast("string").alias("key"), F.substring("text", 1, 40).alias("text"))
+    return table(spark, d, "documents").select(F.lit("doc").alias("mode"), F.col("doc_id").cast("string").alias("key"), "text")
 
 
 def _labels(spark, d):
     """Labels of documents; those of every tenth document were given to another text."""
-    text = F.when(F.col("doc_id") % 10 == 0, F.lit("old")).otherwise(F.substring("text", 1, 40))
+    text = F.when(F.col("doc_id") % 10 == 0, F.lit("old")).otherwise(F.col("text"))
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.lit("doc").alias("mode"), F.col("doc_id").cast("string").alias("key"), text.alias("text"), F.col("quality").alias("label"))
 
 
-_LABELS = "known as (select 'doc' as mode, doc_id::varchar as key, case when doc_id % 10 = 0 then 'old' else substr(text, 1, 40) end as text, quality as label from labels join documents using (doc_id))"
+_LABELS = "known as (select 'doc' as mode, doc_id::varchar as key, case when doc_id % 10 = 0 then 'old' else text end as text, quality as label from labels join documents using (doc_id))"
 
 
 @query(f"with {_ITEMS}, {_LABELS} select mode, key, text from items where not exists (select 1 from known where known.key = items.key and (coalesce(items.text, '') = '' or coalesce(known.text, '') = '' or items.text = known.text))")

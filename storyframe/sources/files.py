@@ -29,9 +29,10 @@ def page_range(pages: DataFrame, first: int = 1, most: int | None = None, number
 
 
 def page_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".png", ".jpg", ".jpeg", ".webp")) -> DataFrame:
-    """(stem, path, content): one file for each page stem, the first suffix that is there."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return preferred(files.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)), suffixes)
+    """(stem, path, content): one file for each page stem, the first suffix that is there; only chosen files are read."""
+    files = spark.read.format("binaryFile").load(folder)
+    chosen = preferred(files.select("path").withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)), suffixes)
+    return chosen.join(files.select("path", "content"), "path").select("stem", "path", "content")
 
 
 def preferred(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
@@ -76,14 +77,23 @@ def promote(files: DataFrame) -> DataFrame:
 
 
 def replace_store(rows: DataFrame, path: str, staging: str) -> None:
-    """Write a label store beside the old one, then put it in its place (one rename in the file system)."""
+    """Write a label store beside the old one, then put it in its place.
+
+    The old store is renamed aside, and deleted only when the new one is there: a crash in between leaves either whole.
+    """
     rows.write.mode("overwrite").parquet(staging)
     jvm, spark = rows.sparkSession.sparkContext._jvm, rows.sparkSession
     p, q = (jvm.org.apache.hadoop.fs.Path(x) for x in (staging, path))
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(q, True)
+    aside = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
+    if fs.exists(q):
+        fs.delete(aside, True)
+        if not fs.rename(q, aside):
+            raise OSError(f"{path} couldn't be renamed aside")
     if not fs.rename(p, q):
+        fs.rename(aside, q)
         raise OSError(f"{staging} couldn't be renamed to {path}")
+    fs.delete(aside, True)
 
 
 def detections_json(detections: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyframe.functions import geometry as G
+from storyframe.functions import options
 from storyframe.functions.audio import mixed, read_wav, resample, write_wav
 from storyframe.functions.images import panels
-from storyframe.operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, narration, pacing
+from storyframe.operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, narration, outputs, pacing
 from storyframe.sources import files
 from storyframe.stages import stub_embedding, stub_text, text_stage
 
@@ -135,6 +136,52 @@ def test_panels_by_gutters():
     assert panels(np.full((50, 40), 255, np.uint8)) == [(0, 0, 40, 50)]
 
 
+def test_reading_order_of_rows_that_overlap():
+    # No straight cut: two bands of rows (the second box reaches into the band of the first), each from the right.
+    boxes = [(0, 0, 60, 40), (55, 10, 100, 45), (0, 42, 50, 90), (45, 38, 100, 95)]
+    assert layout.reading(boxes, True) == [1, 0, 3, 2] and layout.reading(boxes, False) == [0, 1, 2, 3]
+    assert layout.reading([], True) == [] and layout.reading([(0, 0, 1, 1)], False) == [0]
+    rows = [(0, y, 10, y + 5) for y in (30, 10, 20)]
+    assert layout.reading(rows, True) == [1, 2, 0]
+
+
+def test_gutters(spark):
+    def cuts(pattern, least=2, side=3):
+        rows = spark.createDataFrame([(1, i, c == ".") for i, c in enumerate(pattern)], "p int, line int, blank boolean")
+        return layout.gutters(rows, ["p"], "line", "blank", least, side).first().cuts
+
+    assert cuts("####..####..####") == [5, 11] and cuts("..####..####") == [7] and cuts("####.####") == []
+    assert cuts("####..##..####") == [5] and cuts("####..##") == [] and cuts("....") == []
+
+
+def test_a_store_is_whole_after_it_is_replaced(spark, tmp_path):
+    at, staging = f"{tmp_path}/store", f"{tmp_path}/staging"
+    for k in (1, 2):
+        files.replace_store(spark.createDataFrame([(k,)], "k int"), at, staging)
+        assert [r.k for r in spark.read.parquet(at).collect()] == [k]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["store"]
+
+
+def test_options(spark):
+    one = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(Exception, match="unknown provider"):
+        one.select(options.provider(F.lit("nobody"), F.array(F.lit("k")), [("a", "k")], "own", ["a", "own"])).collect()
+    wanted = spark.createDataFrame([(1, "gone", True)], "x int, name string, explicit boolean")
+    with pytest.raises(Exception, match="no music file gone"):
+        options.music(wanted, spark.createDataFrame([("dark", "dark.wav")], "stem string, path string"), ["x"]).collect()
+    assert options.hotkey_legend(["Ana"], [("0", "Narrator"), ("x", "junk")]) == "1=Ana  0=Narrator  x=junk"
+
+
+def test_transcript_files(spark, tmp_path):
+    rows = spark.createDataFrame([("f", 2.0, 3.0, "b"), ("f", 0.0, 1.0, "a")], "file string, start double, `end` double, text string")
+    document = outputs.excerpt_document(rows.withColumn("arc", F.lit(None).cast("string")).withColumn("score", F.lit(0.5)))
+    outputs.write_transcript(str(tmp_path), rows, pacing.statistics(rows.withColumn("words", F.lit(1))), document)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/transcript", wholetext=True).collect()] == ["a\nb\n"]
+    assert document.first().document == "## 1. [00:00:00 - 00:00:01] · score 0.500\n\na\n\n## 2. [00:00:02 - 00:00:03] · score 0.500\n\nb\n"
+    nothing = rows.limit(1).select("file", "start", "end", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("arc"), F.lit(None).cast("double").alias("score"))
+    assert outputs.excerpt_document(nothing).first().document == "(none)"
+
+
 def test_labels_and_checkpoints(spark):
     items = spark.createDataFrame([("d", "1", "a"), ("d", "2", "b")], "mode string, key string, text string")
     known = spark.createDataFrame([("d", "1", "a", "x")], "mode string, key string, text string, label string")
