@@ -39,11 +39,14 @@ def preference_pairs(turns: DataFrame, role: str = "assistant") -> DataFrame:
 
     side is 'chosen' or 'rejected'.  Turns are in order of turn, then role and text, so repeated turn numbers have one
     order; null roles and texts are compared as nulls and rendered empty.  If one side is missing or a prefix of the
-    other, its completion is empty.  Rows with a null pair_id form one pair; an empty table gives none.
+    other, its completion is empty.  Rows with a null pair_id are of no pair and give none, so they never meet in one group;
+    repeated rows are turns each; a side that is neither belongs to no completion; very long conversations are rendered
+    whole; an empty table gives none; other columns are ignored.
     """
     def side(name: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("side") == name, F.struct("turn", "role", "text"))))
 
+    turns = turns.where("pair_id is not null").select("pair_id", "side", "turn", "role", "text")
     pairs = turns.groupBy("pair_id").agg(side("chosen").alias("c"), side("rejected").alias("r"))
     shared = F.least(F.size("c"), F.size("r"))
     differs = F.array_position(F.transform(F.slice("c", F.lit(1), shared), lambda x, i: ~(x["role"].eqNullSafe(F.col("r")[i]["role"]) & x["text"].eqNullSafe(F.col("r")[i]["text"]))), True)

@@ -235,4 +235,22 @@ def test_preference_pairs(spark):
     a = got[1]
     assert (a.n_prompt_turns, a.prompt) == (1, "<|user|>\nhi\n") and a.chosen.startswith("<|assistant|>\nyo\n")
     assert [a.chosen[s.start : s.to] for s in a.chosen_spans] == ["yo\n"] and [a.rejected[s.start : s.to] for s in a.rejected_spans] == ["no\n"]
-    assert (got[2].n_prompt_turns, got[2].prompt, got[2].rejected) == (0, "", "") and (got[3].n_prompt_turns, got[3].chosen) == (1, "") and len(got) == 4
+    assert (got[2].n_prompt_turns, got[2].prompt, got[2].rejected) == (0, "", "") and (got[3].n_prompt_turns, got[3].chosen) == (1, "") and sorted(got) == [1, 2, 3]
+
+
+def test_long_conversations_ties_and_clashing_columns(spark):
+    long_ = [(1, s, k, "assistant" if k % 2 else "user", f"turn {k} " + "x" * 200 + (s if k == 1900 else "")) for s in ("chosen", "rejected") for k in range(2000)]
+    ties = [(2, "chosen", 0, "user", "b"), (2, "chosen", 0, "user", "a"), (2, "chosen", 0, "user", "a"), (2, "rejected", 0, "user", "a"), (2, "rejected", 0, "user", "a")]
+    df = spark.createDataFrame(long_ + ties + [(None, "chosen", k, "user", "lost") for k in range(50)], "pair_id long, side string, turn long, role string, text string")
+    clash = df.withColumn("c", F.lit(1)).withColumn("r", F.lit("r")).withColumn("n", F.lit(2)).withColumn("prompt", F.lit("p"))
+    got = {r.pair_id: r for r in preference.preference_pairs(clash).collect()}
+    assert sorted(got) == [1, 2] and got[1].n_prompt_turns == 1900 and len(got[1].chosen_spans) == 50
+    for side in ("chosen", "rejected"):
+        whole = "".join(preference_text(r, t) for p, s, _, r, t in long_ if s == side)
+        assert got[1].prompt + got[1][side] == whole
+    assert (got[2].n_prompt_turns, got[2].chosen, got[2].rejected) == (2, preference_text("user", "b"), "")
+    assert not preference.preference_pairs(df.limit(0)).count()
+
+
+def preference_text(role, text):
+    return f"<|{role}|>\n{text}\n"
