@@ -228,6 +228,21 @@ def box_validity(spark, d):
     return boxes(spark, d).select("page", "l_linenumber", "l_partkey", "l_suppkey", G.valid(tuple(b)).alias("valid"))
 
 
+@query("""with p as (select event_id, 40 + event_id % 560 as cx, 60 + event_id % 500 as cy, 30 + event_id % 90 as w, 20 + event_id % 70 as h, (event_id % 10) / 10.0::double as a, (event_id % 7) / 7.0::double as b, 0.5::double as scale, 0 as l, 45 as t, 1280 as width, 1100 as height from events),
+d as (select *, case when a >= b then 'body' else 'face' end as label, greatest(a, b) as confidence from p where greatest(a, b) >= 0.4),
+x as (select event_id, label, confidence, greatest(0, least(width, round_even((cx - w / 2.0 - l) / scale, 0)::bigint)) as x0, greatest(0, least(height, round_even((cy - h / 2.0 - t) / scale, 0)::bigint)) as y0,
+  greatest(0, least(width, round_even((cx + w / 2.0 - l) / scale, 0)::bigint)) as x1, greatest(0, least(height, round_even((cy + h / 2.0 - t) / scale, 0)::bigint)) as y1 from d)
+select * from x where x1 > x0 and y1 > y0""")
+def decoded_detections(spark, d):
+    """A detector's raw rows as detections on the page (one row a page, so none overlap)."""
+    n = F.col("event_id")
+    raw = table(spark, d, "events").select(
+        "event_id", (40 + n % 560).cast("double").alias("cx"), (60 + n % 500).cast("double").alias("cy"), (30 + n % 90).cast("double").alias("w"), (20 + n % 70).cast("double").alias("h"),
+        F.array((n % 10) / 10.0, (n % 7) / 7.0).alias("scores"), F.lit(0.5).alias("scale"), F.lit(0).alias("left"), F.lit(45).alias("top"), F.lit(1280).alias("width"), F.lit(1100).alias("height"))
+    kept = layout.suppressed(layout.decoded(raw, ["body", "face"], 0.4), ["event_id"])
+    return layout.on_page(kept).select("event_id", "label", "confidence", "x0", "y0", "x1", "y1")
+
+
 @query("""with f as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as line, value > 5 as blank from events)
 select user_id, count(*) filter (where blank) as blanks, count(*) as lines from f group by 1""")
 def profile_lines(spark, d):

@@ -280,9 +280,16 @@ def voice_pick_stateless(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", casting.pick(F.col("text"), pool).alias("voice"))
 
 
-@query()
+@query(f"""with recursive {_VOTES}, profiles as (with {_MAJORITY.strip()}),
+c as (select volume, speaker_id, row_number() over (partition by volume order by speaker_id) as r, case profile when 'homem' then ['A', 'B'] when 'idoso' then ['C'] when 'mulher' then ['D', 'E'] else ['Z'] end as pool,
+  ('0x' || substr(sha1(speaker_id), 1, 4))::bigint as h from profiles),
+q as (select *, list_concat(pool[(h % len(pool))::int + 1:], pool[:(h % len(pool))::int]) as turn from c),
+t(volume, r, speaker_id, voice, used) as (select distinct volume, 0::bigint, null::varchar, null::varchar, []::varchar[] from q
+  union all select volume, r, speaker_id, voice, list_append(used, voice) from (
+    select q.volume, q.r, q.speaker_id, t.used, case when q.speaker_id = 'assistant' then 'Curated' else coalesce(list_filter(q.turn, lambda v: not list_contains(t.used, v))[1], q.turn[1]) end as voice from t join q on q.volume = t.volume and q.r = t.r + 1))
+select volume, speaker_id, voice from t where r > 0""")
 def voice_registry_fold(spark, d):
-    """A fold over each volume's cast (tested against goldens)."""
+    """A fold over each volume's cast."""
     profiles = casting.majority_profile(_votes(spark, d))
     return casting.cast_voices(profiles, {"assistant": "Curated"}, {"homem": ["A", "B"], "idoso": ["C"], "mulher": ["D", "E"]}, ["Z"])
 
@@ -422,9 +429,16 @@ def excerpt_windows(spark, d):
     return excerpts.windows(excerpts.numbered(segments(spark, d), "event_id"), 7200.0)
 
 
-@query()
+@query(f"""with {_NUMBERED}, late as (select a.file, a.pos as first, min(b.pos) as stop from p a join p b on a.file = b.file and b.pos > a.pos and b.fin - a.start > 7200 group by all),
+w as (select a.file, a.pos as first, a.start, max_by(b.fin, b.pos) as fin, count(*) as segments from p a left join late on late.file = a.file and late.first = a.pos join p b on b.file = a.file and b.pos >= a.pos and (stop is null or b.pos < stop) group by a.file, a.pos, a.start),
+t as (select file, min(start) as t0, max_by(fin, struct_pack(s := start, f := fin)) as t1 from segments group by file),
+x as (select w.*, segments / 10.0::double as score, t0, t1, least(2, trunc((start - t0) / greatest(t1 - t0, 1e-9) * 3))::int as bin from w join t using (file)),
+b0 as (select distinct on (file) * from x where bin = 0 order by file, score desc, start, first),
+b1 as (select distinct on (x.file) x.* from x left join b0 on b0.file = x.file where x.bin = 1 and x.start >= coalesce(b0.fin, -1e300) order by x.file, x.score desc, x.start, x.first),
+b2 as (select distinct on (x.file) x.* from x left join b0 on b0.file = x.file left join b1 on b1.file = x.file where x.bin = 2 and x.start >= coalesce(b1.fin, b0.fin, -1e300) order by x.file, x.score desc, x.start, x.first)
+select file, first, start, fin as "end", segments, score, t0, t1 from (from b0 union all from b1 union all from b2)""")
 def excerpt_selection(spark, d):
-    """T5: up to three windows of each file, a fold over its bins (tested against goldens)."""
+    """T5: up to three windows of each file, a fold over its bins."""
     rows = excerpt_windows(spark, d)
     t = segments(spark, d).groupBy("file").agg(F.min("start").alias("t0"), F.max_by("end", F.struct("start", "end")).alias("t1"))
     return excerpts.select(rows.withColumn("score", F.col("segments") / 10.0).join(t, "file"), 3, "file long, first long, start double, `end` double, segments long, score double, t0 double, t1 double")
@@ -582,7 +596,15 @@ def reading_order(spark, d):
     return layout.reading_order(rows.select("page", "box", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")]), ["page"])
 
 
-@query()
+@query(f"""with recursive {_BOXES}, o as (select page, l_returnflag as label, (l_partkey % 97) / 97.0::double as confidence, x0, y0, x1, y1,
+  row_number() over (partition by page, l_returnflag order by (l_partkey % 97) / 97.0::double desc, x0, y0, x1, y1) as r from boxes),
+t(page, label, r, keep, kept) as (select distinct page, label, 0::bigint, false, []::struct(x0 bigint, y0 bigint, x1 bigint, y1 bigint)[] from o
+  union all select page, label, r, keep, case when keep then list_append(before, me) else before end from (
+    select o.page, o.label, o.r, t.kept as before, struct_pack(x0 := o.x0::bigint, y0 := o.y0::bigint, x1 := o.x1::bigint, y1 := o.y1::bigint) as me,
+      len(list_filter(t.kept, lambda k: greatest(0, least(o.x1, k.x1) - greatest(o.x0, k.x0)) * greatest(0, least(o.y1, k.y1) - greatest(o.y0, k.y0))
+        > 0.3::double * ((o.x1 - o.x0) * (o.y1 - o.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - greatest(0, least(o.x1, k.x1) - greatest(o.x0, k.x0)) * greatest(0, least(o.y1, k.y1) - greatest(o.y0, k.y0))))) = 0 as keep
+    from t join o on o.page = t.page and o.label = t.label and o.r = t.r + 1))
+select page, label, confidence, x0, y0, x1, y1 from t join o using (page, label, r) where keep""")
 def overlap_suppression(spark, d):
     """Greedy suppression within page and class."""
     rows = boxes(spark, d).select("page", F.col("l_returnflag").alias("label"), ((F.col("l_partkey") % 97) / 97.0).alias("confidence"), *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
