@@ -1,4 +1,4 @@
-"""Page images in numpy: grey, crops for embedding, and panels by borders, spreads and blank gutters."""
+"""Page images in numpy: grey, crops for embedding, shares of ink, runs."""
 
 from __future__ import annotations
 
@@ -28,40 +28,3 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
     """[start, end) of the runs of true."""
     edge = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-
-
-def panels(page: np.ndarray, rtl: bool = True, dark: int = 200, blank: float = 0.02, least_gutter: int = 3, least_area: float = 0.02, depth: int = 8) -> list[Rect]:
-    """Panels of a page by recursive cuts along blank gutters, first across, then down; the whole page if none remain.
-
-    A cut has ``least_gutter`` blank lines at least; leaves under ``least_area`` of the page aren't cut off.
-    """
-    ink = grey(page) < dark
-    height, width = ink.shape
-    out: list[Rect] = []
-
-    def trimmed(x0, y0, x1, y1):
-        part = ink[y0:y1, x0:x1]
-        rows, cols = np.flatnonzero(part.any(1)), np.flatnonzero(part.any(0))
-        return None if not len(rows) else (x0 + cols[0], y0 + rows[0], x0 + cols[-1] + 1, y0 + rows[-1] + 1)
-
-    def cut(box, level):
-        box = trimmed(*map(int, box))
-        if box is None:
-            return
-        x0, y0, x1, y1 = map(int, box)
-        part = ink[y0:y1, x0:x1]
-        for axis in (1, 0) if level < depth else ():
-            gaps = [g for g in runs(part.mean(axis) <= blank) if g[1] - g[0] >= least_gutter and g[0] > 0 and g[1] < part.shape[1 - axis]]
-            edge = [0, *[(a + b) // 2 for a, b in gaps], part.shape[1 - axis]]
-            pieces = list(zip(edge, edge[1:]))
-            other = part.shape[axis]
-            if len(pieces) > 1 and all((b - a) * other >= least_area * width * height for a, b in pieces):
-                boxes = [(x0, y0 + a, x1, y0 + b) if axis == 1 else (x0 + a, y0, x0 + b, y1) for a, b in pieces]
-                for b in boxes[::-1] if axis == 0 and rtl else boxes:
-                    cut(b, level + 1)
-                return
-        if (x1 - x0) * (y1 - y0) >= least_area * width * height:
-            out.append((x0, y0, x1 - x0, y1 - y0))
-
-    cut((0, 0, width, height), 0)
-    return out or [(0, 0, width, height)]
