@@ -21,10 +21,11 @@ CORPUS_LEXICON = (("sword", ("thston", "erieß", "éauoi")), ("storm", ("ingsh",
 
 VOICE_PROFILES = ("homem", "mulher", "idoso", "idosa", "menino", "menina", "criatura")
 
-CUE_WORDS = frozenset(
-    "silêncio sombra sombras escuridão trevas névoa vento chuva noite lua sangue lâmina espada chamas fogo brilho olhar olhos rosto corpo corpos "
-    "passos grito gritos ruído eco cheiro ferida feridas enquanto lentamente subitamente súbito surge surgem avança avançam ergue atravessa observa "
-    "encara aponta respira sussurra ecoa ecoam cai caem corta salta recua".split()
-)
+CUE_WORDS = frozenset((
+    "silêncio", "sombra", "sombras", "escuridão", "trevas", "névoa", "vento", "chuva", "noite", "lua", "sangue", "lâmina", "espada", "chamas", "fogo",
+    "brilho", "olhar", "olhos", "rosto", "corpo", "corpos", "passos", "grito", "gritos", "ruído", "eco", "cheiro", "ferida", "feridas", "enquanto",
+    "lentamente", "subitamente", "súbito", "surge", "surgem", "avança", "avançam", "ergue", "atravessa", "observa", "encara", "aponta", "respira",
+    "sussurra", "ecoa", "ecoam", "cai", "caem", "corta", "salta", "recua",
+))
 CUE_PHRASES = ("de repente", "naquele momento", "nesse instante", "por um instante", "ao longe", "em meio", "diante de", "sem dizer", "ao mesmo tempo", "em silêncio", "a passos", "no meio da")
 VERB_ENDINGS = ("ou", "eu", "iu", "ava", "avam", "iam", "ando", "endo", "indo")

@@ -86,8 +86,7 @@ def narration_score(c: Column, min_words: int = 1, words=CUE_WORDS, phrases=CUE_
     hits = many(rf"(?<!\p{{L}})(?=[{initials}])(?:{'|'.join(sorted(words))})(?!\p{{L}})")
     for p in phrases:
         hits = hits + (F.char_length(low) - F.char_length(F.replace(low, F.lit(p), F.lit("")))) / len(p)
-    ends = "|".join(rf"(?<=\p{{L}}{{{max(0, 4 - len(e))}}}){e}" for e in VERB_ENDINGS)
-    hits = hits + many(rf"(?:{ends})(?!\p{{L}})")
+    hits = hits + many(rf"(?<!\p{{L}})\p{{L}}{{4,}}+(?<={'|'.join(VERB_ENDINGS)})")
     hits = hits + many(r"(\p{L})\1\1\p{L}*")
     return F.when(~low.rlike(r"\p{L}"), 0.0).otherwise(F.round(hits / F.greatest(word_count(c), F.lit(min_words), F.lit(1)), 4))
 
