@@ -61,6 +61,11 @@ def is_bubble(area: Column, hull: Column, dark: Column, panel: Column, areas=(0.
     return (area / panel).between(*areas) & (hull > 0) & (F.try_divide(area, hull) >= solidity) & dark.between(*darks)
 
 
+def may_stay(coexist: Column, provider_: Column, local: list[str]) -> Column:
+    """Whether a loaded voice model may stay: beside a local provider only where the hardware holds both."""
+    return coexist | ~provider_.isin(*local)
+
+
 def is_bad_request(status: Column, error: Column, text: Column) -> Column:
     """Whether a server refused the form of a request, so that a plain one may be tried."""
     low, name = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(error, F.lit("")))

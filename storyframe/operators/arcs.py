@@ -28,6 +28,11 @@ def bounds(arcs: DataFrame, by: list[str], total: Column | None = None) -> DataF
     return arcs.withColumn("end_s", F.coalesce(F.lead("start_s").over(order), total if total is not None else F.lit(None).cast("double")))
 
 
+def shifted(arcs: DataFrame, offset: float) -> DataFrame:
+    """Arcs on a slice of the recording that begins at ``offset`` seconds."""
+    return arcs.withColumn("start_s", F.col("start_s") - offset)
+
+
 def find(arcs: DataFrame, title: str) -> DataFrame:
     """The arc whose title contains ``title`` without regard to case and accents; exact before earliest."""
     wanted = folded(title)

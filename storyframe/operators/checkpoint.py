@@ -19,6 +19,20 @@ def reuse(stored: DataFrame, current: DataFrame, resume: bool = True, script_the
     return flags.select(script.alias("script"), (script & F.col("audio") & F.lit(audio_there)).alias("audio"))
 
 
+def from_json(files: DataFrame) -> DataFrame:
+    """(run, stage, component, fingerprint) of (run, json); a config that can't be read holds nothing."""
+    stages = files.select("run", F.explode(F.from_json("json", "map<string,map<string,string>>")).alias("stage", "parts"))
+    return stages.select("run", "stage", F.explode("parts").alias("component", "fingerprint"))
+
+
+def to_json(configs: DataFrame) -> DataFrame:
+    """(run, json): stages and their components in order of name."""
+    parts = configs.groupBy("run", "stage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("component", "fingerprint")))).alias("parts"))
+    # Maps don't sort: a stage's name leads its struct, and names are unique within a run.
+    stages = F.array_sort(F.collect_list(F.struct("stage", "parts")), lambda a, b: F.when(a["stage"] < b["stage"], -1).when(a["stage"] > b["stage"], 1).otherwise(0))
+    return parts.groupBy("run").agg(F.to_json(F.map_from_entries(stages)).alias("json"))
+
+
 def write_section(stored: DataFrame, section: DataFrame, stage: str) -> DataFrame:
     """The run config with one stage's section replaced; a new script drops the audio section."""
     gone = [stage, "audio"] if stage == "script" else [stage]

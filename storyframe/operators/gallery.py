@@ -112,7 +112,7 @@ def sweep(scored: DataFrame, truth: DataFrame, accepts: list[float], margin: flo
     name = F.when(F.col("ahead") & (F.col("score") >= F.col("accept")), F.col("best"))
     known = F.col("truth") != unknown
     return rows.withColumn("name", name).groupBy("accept").agg(
-        F.count_if(known).alias("known"), F.count_if(known & F.col("name").eqNullSafe(F.col("truth"))).alias("correct"), F.count_if(known & F.col("name").isNull()).alias("unnamed"), F.count_if(~known & F.col("name").isNull()).alias("rejected"))
+        F.count_if(known).alias("known"), F.count_if(known & F.col("name").eqNullSafe(F.col("truth"))).alias("correct"), F.count_if(known & F.col("name").isNull()).alias("unnamed"), F.count_if(~known & F.col("name").isNull()).alias("rejected"), F.count_if(~known).alias("extras"))
 
 
 def eligible(crops: DataFrame, least: int, unknown: str, name: str = "name") -> DataFrame:

@@ -37,11 +37,14 @@ def plan(blocks: DataFrame, effects: bool = True, announcements: bool = True) ->
 
 def capped_tags(blocks: DataFrame, tag: Column, intensity: int) -> DataFrame:
     """sfx filled from ``tag`` in order, until a panel has ``intensity`` effects, chosen ones included; speech only at 3."""
-    cap = max(0, min(intensity, 3))
-    if not cap:
-        return blocks
-    panel = Window.partitionBy("volume", "panel")
-    eligible = F.col("sfx").isNull() & tag.isNotNull() & (~F.col("is_speech") | F.lit(intensity >= 3))
+    return capped_by(blocks, tag, F.lit(intensity))
+
+
+def capped_by(blocks: DataFrame, tag: Column, intensity: Column, *by: str) -> DataFrame:
+    """``capped_tags`` for an intensity of each row, equal within ``by`` (further columns of a panel's key)."""
+    cap = F.greatest(F.lit(0), F.least(intensity, F.lit(3)))
+    panel = Window.partitionBy("volume", "panel", *by)
+    eligible = F.col("sfx").isNull() & tag.isNotNull() & (cap > 0) & (~F.col("is_speech") | (cap >= 3))
     rows = blocks.withColumn("may", eligible).withColumn("rank", F.sum(F.col("may").cast("int")).over(panel.orderBy("pos")))
     room = cap - F.count("sfx").over(panel)
     return rows.withColumn("sfx", F.when(F.col("may") & (F.col("rank") <= room), tag).otherwise(F.col("sfx"))).drop("may", "rank")

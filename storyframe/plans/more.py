@@ -10,8 +10,8 @@ from ..functions import keys as K
 from ..functions import options
 from ..functions import text as T
 from ..functions.audio import stitched, wav_samples
-from ..functions.blocks import parse_blocks, plain_blocks
-from ..operators import arcs, gallery, layout, narration, outputs, pacing
+from ..functions.blocks import parse_blocks, plain_blocks, reviewed
+from ..operators import arcs, checkpoint, gallery, layout, narration, outputs, pacing
 from ..sources import files
 from ..sources.tables import blocks, boxes, marks, segments, table
 from ..stages import suggestions
@@ -144,6 +144,57 @@ def excerpt_documents(spark, d):
     return outputs.excerpt_document(segments(spark, d).where("event_id % 20 = 0").select("file", "start", "end", "text", arc.alias("arc"), score.alias("score")))
 
 
+@query("select user_id as file, event_id as title, epoch_us(ts) / 1e6 - 600.0 as start_s from events where event_type = 'signup'")
+def arc_shifts(spark, d):
+    """Arcs on a slice that begins after ten minutes."""
+    return arcs.shifted(marks(spark, d), 600.0).select("file", "title", "start_s")
+
+
+@query("""select conv_id, turn, case when turn % 4 in (0, 1) then text end as said, case when turn % 4 in (0, 1) then turn::bigint end as panel from conversations""")
+def review_envelopes(spark, d):
+    """A reviewer's object between the first and the last brace; broken or missing ones give nothing."""
+    body = F.to_json(F.struct(F.col("turn").cast("long").alias("panel"), F.struct("text").alias("block")))
+    t = F.col("turn") % 4
+    raw = F.when(t == 0, body).when(t == 1, F.concat(F.lit("So: "), body, F.lit(" done."))).when(t == 2, F.lit("no object")).otherwise(F.concat(F.lit("{"), body))
+    r = reviewed(raw, "panel long, block struct<text:string>")
+    return table(spark, d, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", F.col("r.block.text").alias("said"), F.col("r.panel").alias("panel"))
+
+
+_SWEEP = "(values (0.15::double), (0.2::double), (0.25::double), (0.3::double), (0.35::double)) a(accept)"
+
+
+@query(f"""with {_MATCH}, m as (select id, accept, case when score >= accept and score - second >= 0.01 then best end as name from top, {_SWEEP}),
+totals as (select accept, count(*) filter (where g.name <> '9') as known, count(*) filter (where g.name <> '9' and m.name = g.name) as correct, count(*) filter (where g.name <> '9' and m.name is null) as unnamed, count(*) filter (where g.name = '9' and m.name is null) as rejected, count(*) filter (where g.name = '9') as extras from g join m using (id) group by accept)
+select accept, '| ' || printf('%.2f', accept) || ' | ' || printf('%.1f%%', 100 * (correct / known::double)) || ' | ' || printf('%.1f%%', 100 * (unnamed / known::double)) || ' | ' || printf('%.0f%%', 100 * (rejected / extras::double)) || ' |' as line from totals""")
+def sweep_report(spark, d):
+    """The thresholds of a sweep as lines of a table."""
+    crops = _crops(spark, d)
+    truth = crops.select("id", F.col("name").alias("truth"))
+    return outputs.sweep_lines(gallery.sweep(gallery.scores(crops, crops.where("name <> '9'"), "nearest"), truth, [0.15, 0.2, 0.25, 0.3, 0.35], 0.01, "9"))
+
+
+@query("""select c_custkey::varchar as run, stage, component, case when stage = 'script' then 'v' || (c_custkey % 7) else 'a' || (c_custkey % 3) end as fingerprint
+from customer, (values ('audio', 'tts'), ('script', 'ocr'), ('script', 'vlm')) s(stage, component) where c_custkey % 9 <> 0 and not (stage = 'audio' and c_custkey % 2 = 0)""")
+def run_configs(spark, d):
+    """Run configs through their JSON form; a new script's section drops the audio's, a broken file holds nothing."""
+    n = F.col("c_custkey")
+    kinds = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(c).alias("component")) for s, c in (("audio", "tts"), ("script", "ocr"), ("script", "vlm"))])
+    rows = table(spark, d, "customer").select(n.cast("string").alias("run"), n, F.explode(kinds).alias("k")).select("run", "c_custkey", "k.*")
+    mark = F.when(F.col("stage") == "script", F.concat(F.lit("v"), (n % 7).cast("string"))).otherwise(F.concat(F.lit("a"), (n % 3).cast("string")))
+    rows = rows.withColumn("fingerprint", mark)
+    stored, section = rows.where(n % 2 == 0), rows.where((n % 2 == 0) & (F.col("stage") == "script"))
+    now = checkpoint.write_section(stored, section, "script").unionByName(rows.where(n % 2 == 1))
+    json = checkpoint.to_json(now).withColumn("json", F.when(F.col("run").cast("long") % 9 == 0, F.lit("{broken")).otherwise(F.col("json")))
+    return checkpoint.from_json(json)
+
+
+@query("select c_custkey, c_custkey % 2 = 0 or c_custkey % 3 <> 1 as stays from customer")
+def voice_model_stays(spark, d):
+    """whether a loaded voice model may stay beside the provider."""
+    n = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", options.may_stay(n % 2 == 0, F.when(n % 3 == 1, "own").otherwise("far"), ["own", "server"]).alias("stays"))
+
+
 # Registries, effects, audio.
 @query("""with v as (select distinct conv_id::varchar as volume, role as speaker_id, 'voice ' || length(role) as voice from conversations),
 j as (select volume, '{' || string_agg('"' || speaker_id || '": "' || voice || '"', ', ' order by speaker_id) || '}' as json from v group by volume) select volume, json, substr(sha1(json), 1, 8) as digest from j""")

@@ -108,11 +108,8 @@ ranked as (select *, tag is not null and (not is_speech or intensity >= 3) as ma
 select intensity, volume, pos, case when may and sum(may::int) over (partition by intensity, volume, panel order by pos) <= intensity then tag end as sfx from ranked""")
 def sfx_intensity_cap(spark, d):
     """Tags kept under each panel's cap."""
-    out = None
-    for k in (1, 2, 3):
-        one = narration.capped_tags(blocks(spark, d), T.keyword_tag(F.col("text"), CORPUS_LEXICON), k).select(F.lit(k).alias("intensity"), "volume", "pos", "sfx")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = blocks(spark, d).withColumn("tag", T.keyword_tag(F.col("text"), CORPUS_LEXICON)).withColumn("intensity", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return narration.capped_by(rows, F.col("tag"), F.col("intensity"), "intensity").select("intensity", "volume", "pos", "sfx")
 
 
 @query(f"""with v(tag, ord, file) as (values ('sword', 0, 'sword_a'), ('sword', 1, 'sword_b'), ('storm', 0, 'storm_a'), ('steps', 0, 'steps_a'), ('steps', 1, 'steps_b'), ('steps', 2, 'steps_c')),
@@ -507,7 +504,7 @@ def leave_one_out_summary(spark, d):
 def accept_sweep(spark, d):
     """Scores once, thresholds after."""
     crops = _crops(spark, d)
-    return gallery.sweep(gallery.scores(crops, crops.where("name <> '9'"), "nearest"), crops.select("id", F.col("name").alias("truth")), [0.15, 0.2, 0.25, 0.3, 0.35], 0.01, "9")
+    return gallery.sweep(gallery.scores(crops, crops.where("name <> '9'"), "nearest"), crops.select("id", F.col("name").alias("truth")), [0.15, 0.2, 0.25, 0.3, 0.35], 0.01, "9").drop("extras")
 
 
 # Geometry.
