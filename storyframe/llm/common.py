@@ -43,14 +43,15 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-_kept: dict[str, tuple[object, object]] = {}
+_kept: list = [None, None]
 
 
 def per_worker(kind: str, key: object, make: Callable[[], object]):
-    """What ``make`` gives, kept by this worker process for its later tasks; of each kind only the last key's."""
-    if kind not in _kept or _kept[kind][0] != key:
-        _kept[kind] = key, make()
-    return _kept[kind][1]
+    """What ``make`` gives, kept by this worker process for its later tasks; only the last, so stages don't add up."""
+    if _kept[0] != (kind, key):
+        _kept[:] = None, None
+        _kept[:] = (kind, key), make()
+    return _kept[1]
 
 
 def partitions(spark: SparkSession) -> int:

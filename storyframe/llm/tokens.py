@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 # The word pattern of the tokenizer file, for Latin text.  Fixed values.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
@@ -28,8 +27,13 @@ class _Cache(dict):
         return found
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,11 +56,16 @@ class WordIds:
         return b"".join(map(self.chunk.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
     def _chunk(self, chunk: bytes) -> bytes:
+        # ASCII letters, and marks after them, are one word each: most chunks need no pattern.
+        letters = chunk.rstrip(b".,;:!?")
+        if letters.isalpha():
+            found = self.word[letters.decode().lower()]
+            return found if len(letters) == len(chunk) else found + self.word[chunk[len(letters) :].decode()]
         s = chunk.decode("utf-8")
         if _PLAIN.fullmatch(s) and "<|" not in s:
             return b"".join(map(self.word.__getitem__, _WORD.findall(s.lower())))
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(s, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        form = word.encode("utf-8").decode("latin-1").translate(self.byte)
-        return np.array([t.id for t in self.model.tokenize(form)], "<u4").tobytes()
+        form = word if word.isascii() and word.isalpha() else word.encode("utf-8").decode("latin-1").translate(self.byte)
+        return _packed([t.id for t in self.model.tokenize(form)])
