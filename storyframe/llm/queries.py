@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, ngram_jaccard, packing, preference, quality, topk, toxicity, urls, wordpiece
+from . import media, mixing, ngram_jaccard, packing, preference, quality, resampling, topk, toxicity, urls, wordpiece
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -84,8 +84,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its likeness to the benchmark texts, and its rank among those drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_preference_formatting, op3_quality_classifier, op4_packing, op5_token_counts, op6_url_filters, op7_mixing, op8_media_columns, op9_ngram_jaccard_join, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op2_preference_formatting, op3_quality_classifier, op4_packing, op5_token_counts, op6_url_filters, op7_mixing, op8_media_columns, op9_ngram_jaccard_join, op10_exact_top_k,
+                                     op11_importance_resampling)}
 
 
 _PREFERENCE_SQL = r"""
@@ -123,5 +129,41 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+_RESAMPLING_SQL = r"""
+with recursive crc_table(k, n, c) as (
+  select 0, n, n from range(256) t(n)
+  union all select k + 1, n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc_table where k < 8),
+steps as materialized (select list(c order by n) as step from crc_table where k = 8),
+texts as materialized (
+  select 0 as side, doc_id as id, text from documents union all select 1, item_id, text from benchmark),
+w as materialized (
+  select side, id, row_number() over () as row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+f as materialized (
+  select row, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as feature from w),
+b as materialized (
+  select feature, xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(feature)), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::bigint)),
+                                  lambda c, x: xor(step[xor(c & 255, x) + 1], c >> 8)), 4294967295) % 10000 as bucket
+  from (select distinct feature from f) cross join steps),
+counts as (
+  select bucket, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from f join b using (feature) group by bucket),
+sizes as (select sum(s)::double as s_all, sum(t)::double as t_all from counts),
+gains as (
+  select bucket, floor(1000 * ln((t + 1.0::double) * (s_all + 10000) / ((s + 1.0::double) * (t_all + 10000))))::bigint as gain from counts cross join sizes),
+means as (
+  select row, sum(gain)::bigint as total, count(*) as n from f join b using (feature) join gains using (bucket) where side = 0 group by row),
+h as (
+  select w.id, len(w.w) as words, coalesce(n, 0) as n_features, case when n is null then 0 else (total - ((total % n) + n) % n) // n end as weight,
+         ('0x' || substr(sha256('7:' || w.id), 1, 8))::bigint as h
+  from w left join means using (row) where side = 0),
+scored as (
+  select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from h),
+ranked as (
+  select *, case when words >= 20 and id is not null then row_number() over (partition by words >= 20 and id is not null order by score desc, id) end as r,
+         count(*) filter (words >= 20 and id is not null) over () as able from scored)
+select id as doc_id, n_features, weight, score, case when r <= 25 * able // 100 then r end as rank from ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preference_formatting": _PREFERENCE_SQL, "op10_exact_top_k": _TOP_K_SQL}
+    return {"op2_preference_formatting": _PREFERENCE_SQL, "op10_exact_top_k": _TOP_K_SQL, "op11_importance_resampling": _RESAMPLING_SQL}
