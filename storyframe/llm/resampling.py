@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 
 _SPAN = 1 << 20  # bytes of a text that are split at once
+_SUMS = 16  # tasks that sum the others' counts, and rows of counts that the driver adds
 _LOW = (1 << 33) - 1  # monotonically_increasing_id: the number within a partition
 # Digits, letters and everything beyond ASCII stand for themselves, A-Z lower-cased; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -48,7 +49,7 @@ def features(text: bytes, width: int, buckets: int) -> Iterator[tuple[int, np.nd
 
 
 def _counts(width: int, buckets: int):
-    """A task's counts by bucket, each text times its copies."""
+    """A task's counts of all buckets as one row, each text times its copies."""
 
     def run(batches):
         total = np.zeros(buckets, np.int64)
@@ -56,8 +57,22 @@ def _counts(width: int, buckets: int):
             for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for _, found in features(text, width, buckets):
                     total += np.bincount(found, minlength=buckets) * copies
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+        yield _counted(total)
+
+    return run
+
+
+def _counted(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
+
+
+def _summed(buckets: int):
+    def run(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x, "<i8")
+        yield _counted(total)
 
     return run
 
@@ -78,12 +93,12 @@ def _weights(width: int, gains: np.ndarray):
 
 
 def bucket_counts(texts: DataFrame, width: int = 2, buckets: int = 10_000) -> np.ndarray:
-    """Occurrences of features by bucket, over all of ``texts`` (text binary, copies long): ``buckets`` numbers."""
-    found = texts.select("text", "copies").mapInArrow(_counts(width, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(buckets, np.int64)
-    for bucket, n in found.collect():
-        out[bucket] = n
-    return out
+    """Occurrences of features by bucket, over all of ``texts`` (text binary, copies long): ``buckets`` numbers.
+
+    A task gives one row; they are summed in ``_SUMS`` tasks, whose rows the driver adds.
+    """
+    found = texts.select("text", "copies").mapInArrow(_counts(width, buckets), "counts binary").repartition(_SUMS).mapInArrow(_summed(buckets), "counts binary")
+    return np.sum([np.frombuffer(r.counts, "<i8") for r in found.collect()], 0, np.int64)
 
 
 def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
