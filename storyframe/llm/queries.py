@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, ngram_jaccard, packing, preference, quality, resampling, topk, toxicity, urls, wordpiece
+from . import bestfit, media, mixing, ngram_jaccard, packing, preference, quality, resampling, topk, toxicity, urls, wordpiece
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -89,9 +89,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: its place in its document and its sequence, and the checksum of its token ids."""
+    return bestfit.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_preference_formatting, op3_quality_classifier, op4_packing, op5_token_counts, op6_url_filters, op7_mixing, op8_media_columns, op9_ngram_jaccard_join, op10_exact_top_k,
-                                     op11_importance_resampling)}
+                                     op11_importance_resampling, op12_best_fit_packing)}
 
 
 _PREFERENCE_SQL = r"""
