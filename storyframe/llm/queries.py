@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, media, mixing, ngram_jaccard, packing, preference, quality, resampling, topk, toxicity, urls, wordpiece
+from . import bestfit, collocations, media, mixing, ngram_jaccard, packing, preference, quality, resampling, topk, toxicity, urls, wordpiece
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -94,9 +94,14 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), ids=False)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: its best phrases of two and three words."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_preference_formatting, op3_quality_classifier, op4_packing, op5_token_counts, op6_url_filters, op7_mixing, op8_media_columns, op9_ngram_jaccard_join, op10_exact_top_k,
-                                     op11_importance_resampling, op12_best_fit_packing)}
+                                     op11_importance_resampling, op12_best_fit_packing, op13_phrase_collocations)}
 
 
 _PREFERENCE_SQL = r"""
@@ -170,5 +175,36 @@ select id as doc_id, n_features, weight, score, case when r <= 25 * able // 100
 """
 
 
+_COLLOCATIONS_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as materialized (
+  select lang, list_filter(string_split(translate(piece, chr(9), ' '), ' '), lambda x: x <> '') as w from pieces),
+runs as (
+  select lang, 1 as k, unnest(w) as phrase from w
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w),
+f as materialized (select lang, k, phrase, count(*) as n from runs group by all),
+c as materialized (select lang, k, phrase, string_split(phrase, ' ') as words, n as a from f where k > 1 and n >= 10),
+asked as materialized (
+  select lang, k, phrase, a, 1 as j, words[1] as first, array_to_string(words[2:], ' ') as rest from c
+  union all select lang, k, phrase, a, 2, array_to_string(words[1:2], ' '), words[3] from c where k = 3),
+cuts as (
+  select asked.*, l.n as l, r.n as r, (1000000::hugeint * a * a) // (l.n::hugeint * r.n) as score
+  from asked join f l on l.lang = asked.lang and l.phrase = asked.first join f r on r.lang = asked.lang and r.phrase = asked.rest),
+worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+held as (
+  select lang, phrase, max(a) as longer from (
+    select lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) as phrase from c where k = 3) group by all),
+kept as (
+  select worst.* from worst left join held using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept),
+totals as (select lang, sum(n)::bigint as n from f where k = 1 group by lang)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preference_formatting": _PREFERENCE_SQL, "op10_exact_top_k": _TOP_K_SQL, "op11_importance_resampling": _RESAMPLING_SQL}
+    return {"op2_preference_formatting": _PREFERENCE_SQL, "op10_exact_top_k": _TOP_K_SQL, "op11_importance_resampling": _RESAMPLING_SQL, "op13_phrase_collocations": _COLLOCATIONS_SQL}
