@@ -265,10 +265,20 @@ def box_unions(spark, d):
     return bodies.join(panels, "page").select("page", "body", "panel", *[c.alias(n) for c, n in zip(u, ("x0", "y0", "x1", "y1"))])
 
 
-@query(f"with {_PAIR}{_DISTINCT}, g as (select *, greatest(0, greatest(bx0, px0) - least(bx1, px1)) + greatest(0, greatest(by0, py0) - least(by1, py1)) as gap from b1 join p1 using (page)), r as (select *, row_number() over (partition by page, body order by gap, panel) as k from g), u as (select page, panel, px0 as x0, py0 as y0, px1 as x1, py1 as y1 from p1 union all select page, panel, bx0, by0, bx1, by1 from r where k = 1) select page, panel, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from u group by page, panel")
+@query(f"""with recursive {_PAIR}, h as (select *, row_number() over (partition by page order by body, bx0, by0, bx1, by1) as j from b),
+t(page, j, ps) as (
+  select page, 0::bigint, list({{'panel': panel::bigint, 'x0': px0::bigint, 'y0': py0::bigint, 'x1': px1::bigint, 'y1': py1::bigint}} order by panel, px0, py0, px1, py1) from p group by page
+  union all
+  select page, j, list_transform(ps, lambda p, i: case when i = list_position(gaps, list_min(gaps))
+      then {{'panel': p.panel, 'x0': least(p.x0, bx0::bigint), 'y0': least(p.y0, by0::bigint), 'x1': greatest(p.x1, bx1::bigint), 'y1': greatest(p.y1, by1::bigint)}} else p end)
+  from (select t.page, t.j + 1 as j, ps, h.bx0, h.by0, h.bx1, h.by1,
+          list_transform(ps, lambda p: greatest(0, greatest(h.bx0, p.x0) - least(h.bx1, p.x1)) + greatest(0, greatest(h.by0, p.y0) - least(h.by1, p.y1))) as gaps
+        from t join h on h.page = t.page and h.j = t.j + 1)),
+e as (select page, unnest(ps) as p from (select * from t qualify row_number() over (partition by page order by j desc) = 1))
+select page, p.panel as panel, p.x0 as x0, p.y0 as y0, p.x1 as x1, p.y1 as y1 from e""")
 def absorbed_holes(spark, d):
-    """Holes united with the nearest panel."""
-    bodies, panels = _bodies_panels(spark, d)
+    """Holes, one after the other, join the panel that is nearest by then."""
+    bodies, panels = _bodies_panels(spark, d, repeated=True)
     return layout.absorb(bodies.withColumnRenamed("body", "hole"), panels, ["page"])
 
 

@@ -528,11 +528,11 @@ _PAIR = _BOXES + ", b as (select page, l_partkey * 10 + l_linenumber as body, x0
 _SHARE = "greatest(0, least(bx1, px1) - greatest(bx0, px0)) * greatest(0, least(by1, py1) - greatest(by0, py0)) / ((bx1 - bx0) * (by1 - by0))::double"
 
 
-def _bodies_panels(spark, d):
+def _bodies_panels(spark, d, repeated=False):
     rows = boxes(spark, d).withColumn("k", F.col("l_partkey") * 10 + F.col("l_linenumber"))
     bodies = rows.where("l_returnflag = 'A'").select("page", F.col("k").alias("body"), *[F.col(c).alias("b_" + c) for c in ("x0", "y0", "x1", "y1")])
     panels = rows.where("l_returnflag <> 'A'").select("page", F.col("k").alias("panel"), (F.col("x0") - 100).alias("p_x0"), (F.col("y0") - 200).alias("p_y0"), (F.col("x1") + 300).alias("p_x1"), (F.col("y1") + 300).alias("p_y1"))
-    return bodies.dropDuplicates(["page", "body"]), panels.dropDuplicates(["page", "panel"])
+    return (bodies, panels) if repeated else (bodies.dropDuplicates(["page", "body"]), panels.dropDuplicates(["page", "panel"]))
 
 
 _DISTINCT = ", b1 as (select distinct on (page, body) * from b), p1 as (select distinct on (page, panel) * from p)"

@@ -128,6 +128,15 @@ def test_geometry_and_suppression(spark):
     assert tuple(layout.longest_run(flags, ["g"], "i", "f").first()) == (1, 2, 2) and layout.leading_run(flags, ["g"], "i", "f").first().length == 1
 
 
+def test_a_hole_meets_panels_as_earlier_holes_left_them(spark):
+    panels = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 100, 0, 110, 10), (2, 1, 0, 0, 10, 10)], "page int, panel int, p_x0 long, p_y0 long, p_x1 long, p_y1 long")
+    holes = spark.createDataFrame([(1, 2, 60, 0, 70, 10), (1, 1, 40, 0, 50, 10), (3, 1, 0, 0, 1, 1)], "page int, hole int, b_x0 long, b_y0 long, b_x1 long, b_y1 long")
+    # The second hole is nearer to the second panel, until the first has grown by the first hole.
+    assert sorted(map(tuple, layout.absorb(holes, panels, ["page"]).collect())) == [(1, 1, 0, 0, 70, 10), (1, 2, 100, 0, 110, 10), (2, 1, 0, 0, 10, 10)]
+    tie = spark.createDataFrame([(1, 1, 50, 0, 60, 10)], holes.schema)
+    assert sorted(map(tuple, layout.absorb(tie, panels.where("page = 1"), ["page"]).collect())) == [(1, 1, 0, 0, 60, 10), (1, 2, 100, 0, 110, 10)]
+
+
 def test_panels_by_gutters():
     page = np.full((1400, 1000), 255, np.uint8)
     for y0, y1, x0, x1 in ((50, 600, 50, 498), (50, 600, 502, 950), (604, 1350, 50, 950)):
