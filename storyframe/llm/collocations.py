@@ -3,7 +3,8 @@
 Texts fall into pieces at punctuation and line ends.  Equal pieces are one piece with its number of copies, so repeated
 passages cost once.  Tasks count the word runs of blocks of pieces, weighted by copies; a block sends each bucket of the
 hash of (language, run) one packed table.  A bucket's tables are summed by duckdb, which spills beyond its memory limit,
-and runs under the least count are gone.  What a phrase's parts count is asked for by requests that are shuffled to the
+and runs under the least count are gone.  Words and pairs come first; longer runs are counted where what they hold may
+be frequent.  What a phrase's parts count is asked for by requests that are shuffled to the
 parts' counts: a part of a frequent phrase is frequent itself, so the answer is always there.
 """
 
@@ -22,7 +23,9 @@ from .common import bounded_batches, partitions, release, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", "abcdefghijklmnopqrstuvwxyz "
 _ENDS = r"[.,;:!?\n-\r]"
-_BLOCK = 400_000  # distinct runs of a block
+_BLOCK = 600_000  # distinct runs of a block
+_FILTER = 1 << 27  # bits of the filter of frequent runs: 16 MB
+_PARTS = 8  # tasks that make it, each with a whole one
 _MEMORY = "256MB"  # of a task's duckdb
 _RUNS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 
@@ -55,36 +58,111 @@ def _packed(counts: dict[str, dict[bytes, int]], buckets: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
 
-def _runs(longest: int, buckets: int):
-    """Weighted counts of runs of 1 to ``longest`` words, block by block; the empty run counts all words."""
+class _Counts:
+    """Counts of a block's runs by language, given out as packed tables when there are too many."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.by_lang = buckets, {}
+
+    def of(self, lang: str) -> dict[bytes, int]:
+        return self.by_lang.setdefault(lang, {})
+
+    def packed(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if last or sum(map(len, self.by_lang.values())) > _BLOCK:
+            if self.by_lang:
+                yield _packed(self.by_lang, self.buckets)
+            self.by_lang = {}
+
+
+def _short_runs(buckets: int):
+    """Weighted counts of single words and pairs, block by block; the empty run counts all words."""
 
     def run(batches):
-        counts: dict[str, dict[bytes, int]] = {}
-        size = 0
+        counts = _Counts(buckets)
         for batch in batches:
             for lang, piece, copies in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = counts.setdefault(lang, {})
+                found = counts.of(lang)
+                known = found.get
                 # Only spaces are left of what separates bytes here.
                 words = piece.split()
-                known, before = found.get, len(found)
                 found[b""] = known(b"", 0) + copies * len(words)
                 for w in words:
                     found[w] = known(w, 0) + copies
-                for k in range(2, longest + 1):
-                    for w in map(b" ".join, zip(*(words[i:] for i in range(k)))):
-                        found[w] = known(w, 0) + copies
-                size += len(found) - before
-                if size > _BLOCK:
-                    yield _packed(counts, buckets)
-                    counts, size = {}, 0
-        if counts:
-            yield _packed(counts, buckets)
-        counts = {}
+                for w in map(b" ".join, zip(words, words[1:])):
+                    found[w] = known(w, 0) + copies
+            yield from counts.packed()
+        yield from counts.packed(last=True)
+        release()
+
+    return run
+
+
+def _places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Where a Bloom filter of ``size`` bits keeps runs, by their checksums."""
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
+        with np.errstate(over="ignore"):
+            yield (hashes.astype(np.uint64) * np.uint64(odd) >> np.uint64(24)) % np.uint64(size)
+
+
+def _longer_runs(width: int, buckets: int, known):
+    """Weighted counts of runs of ``width`` words both of whose inner runs pass the filter ``known`` of frequent ones."""
+
+    def run(batches):
+        bits, counts = known.value, _Counts(buckets)
+        for batch in batches:
+            inner, last, piece_of, owners, salts = [], [], [], [], []
+            for lang, piece, copies in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = piece.split()
+                if len(words) >= width:
+                    runs = list(map(b" ".join, zip(*(words[i:] for i in range(width - 1)))))
+                    inner += runs
+                    last += words[width - 2 :]
+                    piece_of.append(len(runs))
+                    owners.append((lang, copies))
+                    salts.append(crc32(lang.encode()))
+            if not inner:
+                continue
+            piece_of = np.repeat(np.arange(len(owners)), piece_of)
+            hashes = np.fromiter(map(crc32, inner, np.array(salts)[piece_of].tolist()), np.int64, len(inner))
+            there = np.ones(len(inner), bool)
+            for place in _places(hashes, len(bits) * 8):
+                there &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            for i in np.flatnonzero(there[:-1] & there[1:] & (piece_of[:-1] == piece_of[1:])).tolist():
+                lang, copies = owners[piece_of[i]]
+                found, w = counts.of(lang), inner[i] + b" " + last[i + 1]
+                found[w] = found.get(w, 0) + copies
+            yield from counts.packed()
+        yield from counts.packed(last=True)
         release()
 
     return run
 
 
+def _filters(size: int):
+    """A task's Bloom filter of (lang, phrase) as one row."""
+
+    def run(batches):
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            hashes = np.array([crc32(p, crc32(lang.encode())) for lang, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
+            for place in _places(hashes, size):
+                np.bitwise_or.at(bits, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    return run
+
+
+def _filter(phrases: DataFrame) -> np.ndarray:
+    """A Bloom filter of (lang, phrase): 16 bits for each, ``_FILTER`` bits at most.
+
+    Beyond that more runs pass which turn out rare: the filter decides cost, never results.
+    """
+    wanted = 1 << max(16, int(phrases.count() * 16).bit_length())
+    size = min(wanted, _FILTER)
+    rows = phrases.select("lang", F.col("phrase").cast("binary").alias("phrase")).repartition(_PARTS).mapInArrow(_filters(size), "bits binary").collect()
+    return np.bitwise_or.reduce([np.frombuffer(r.bits, np.uint8) for r in rows] or [np.zeros(size // 8, np.uint8)])
+
+
 def _summed(least: int):
     """Sums of a task's buckets that reach ``least``, and those of the empty runs."""
 
@@ -109,15 +187,26 @@ def _summed(least: int):
 def frequent(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
     """(lang, phrase, size, n): runs of 1 to ``longest`` words with their counts, ``least`` at least.
 
-    The empty phrase (size 0) counts all words of a language.
+    The empty phrase (size 0) counts all words of a language.  A run is no more frequent than those inside it, so runs of
+    three words and more are counted only where the runs inside pass a filter of the frequent ones.
     """
-    bounded_batches(docs.sparkSession)
-    buckets = partitions(docs.sparkSession)
-    binary = pieces(docs).select("lang", F.col("piece").cast("binary").alias("piece"), "copies")
-    packed = binary.mapInArrow(_runs(longest, buckets), "bucket int, payload binary").repartition(buckets, "bucket")
-    rows = packed.mapInArrow(_summed(least), "lang string, phrase binary, n long").select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    buckets = partitions(spark)
+    source = written(pieces(docs).select("lang", F.col("piece").cast("binary").alias("piece"), "copies"), "pieces")
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return written(rows.withColumn("size", size), "runs")
+
+    def counted(runs) -> DataFrame:
+        packed = source.mapInArrow(runs, "bucket int, payload binary").repartition(buckets, "bucket")
+        rows = packed.mapInArrow(_summed(least), "lang string, phrase binary, n long").select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
+        return written(rows.withColumn("size", size), "runs")
+
+    found = counted(_short_runs(buckets))
+    now = found.where("size = 2")
+    for width in range(3, longest + 1):
+        now = counted(_longer_runs(width, buckets, spark.sparkContext.broadcast(_filter(now))))
+        found = found.unionByName(now)
+    return found
 
 
 def scored(a: str, left: str, right: str):

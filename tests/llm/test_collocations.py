@@ -42,24 +42,30 @@ def test_blocks_sums_and_longer_phrases(spark, docs, monkeypatch):
     rows = [(r.lang, r.text) for r in docs.collect()]
     assert listed(collocations.mine(docs, longest=4, least=3, top=50, share=70)) == plain(rows, 4, 3, 50, 70)
     # Small blocks: a run comes from many of them.
-    batches = [r for r in _arrow(docs)]
+    batches = list(_arrow(docs))
     monkeypatch.setattr(collocations, "_BLOCK", 300)
-    packed = list(collocations._runs(3, 5)(batches))
+    packed = list(collocations._short_runs(5)(batches))
     assert len(packed) > 20
     summed = Counter()
     for batch in collocations._summed(2)(packed):
         for lang, phrase, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
             summed[lang, phrase] += n
     monkeypatch.setattr(collocations, "_BLOCK", 10**9)
-    (whole,) = collocations._runs(3, 1)(batches)
+    (whole,) = collocations._short_runs(1)(batches)
     again = {(lang, p): n for b in collocations._summed(2)([whole]) for lang, p, n in zip(*(b.column(k).to_pylist() for k in range(3)))}
     assert dict(summed) == again and again["en", b""] > 1000
 
 
+def test_a_full_filter_only_costs(spark, docs, monkeypatch):
+    rows = [(r.lang, r.text) for r in docs.collect()]
+    monkeypatch.setattr(collocations, "_FILTER", 64)
+    assert listed(collocations.mine(docs, least=3)) == plain(rows, least=3)
+
+
 def _arrow(docs):
     from pyspark.sql import functions as F
 
-    yield from collocations.pieces(docs).withColumn("piece", F.col("piece").cast("binary")).toArrow().to_batches()
+    yield from collocations.pieces(docs).withColumn("piece", F.col("piece").cast("binary")).toArrow().to_batches(max_chunksize=50)
 
 
 def test_nulls_ties_repeats_and_odd_texts(spark, edge):
