@@ -1,255 +1,54 @@
-"""Panels of a page image: scan strips trimmed, spreads halved, then gutters, straight cuts and blobs, in reading order.
-
-Everything works on one page in numpy; ``panel_boxes`` runs it over a table of pages, a page to a row.
-"""
+"""Panels of pages by their gutters, on masks as relations; rules for a page's scan strips and its fold."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.images import Rect, grey, runs
-from .layout import reading
-
-INK = PAPER = 220  # grey below this is ink; at or above it is paper
-LEAST_AREA, LEAST_SIDE = 0.02, 0.04  # of the page: a panel; of an axis: content between gutters
-GUTTER_INK, GUTTER = 0.02, 3  # ink that a blank line may hold; lines of a gutter
-DEPTH, COVERAGE, SPECK = 8, 0.7, 0.0005
-STRIP, STRIP_SHARE = 6, 0.03  # a scanner's shadow: pixels at least, share of the page it stays below
-SPREAD, FOLD = 1.15, 0.03  # width to height of a spread; share of its width that is blank at the fold
-
-Span = tuple[int, int, int, int]  # x0, y0, x1, y1
-
-
-def blobs(mask: np.ndarray, corners: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Connected areas of a mask: the runs (row, start, end), the area of each run, and the areas' boxes.
-
-    Runs of neighbouring rows are joined where they touch (``corners``: also by a corner); labels fall to the smallest of
-    what is joined, by halving the way until nothing changes.
-    """
-    height = mask.shape[0]
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, start = np.nonzero(edge == 1)
-    end = np.nonzero(edge == -1)[1]
-    if not len(row):
-        return np.zeros((0, 3), int), np.zeros(0, int), np.zeros((0, 4), int)
-    first = np.searchsorted(row, np.arange(height + 1))
-    ends = []
-    for r in range(height - 1):
-        a, b, c = first[r], first[r + 1], first[r + 2]
-        if a < b < c:
-            lo = np.searchsorted(end[b:c], start[a:b], "left" if corners else "right")
-            hi = np.searchsorted(start[b:c], end[a:b], "right" if corners else "left")
-            many = np.maximum(hi - lo, 0)
-            upper = np.repeat(np.arange(a, b), many)
-            ends.append(np.stack([upper, b + np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]))
-    label = np.arange(len(row))
-    pairs = np.concatenate(ends, 1) if ends else np.zeros((2, 0), int)
-    while True:
-        low = np.minimum(label[pairs[0]], label[pairs[1]])
-        before = label.copy()
-        np.minimum.at(label, before[pairs[0]], low)
-        np.minimum.at(label, before[pairs[1]], low)
-        label = label[label]
-        if (label == before).all():
-            break
-    kind = np.unique(label, return_inverse=True)[1]
-    box = np.tile(np.array([mask.shape[1], height, 0, 0]), (kind.max() + 1, 1))
-    for k, (value, best) in enumerate(((start, np.minimum), (row, np.minimum), (end, np.maximum), (row + 1, np.maximum))):
-        best.at(box[:, k], kind, value)
-    return np.stack([row, start, end], 1), kind, box
-
+from ..functions import options
+from ..sources.shared import cut
+from . import layout, masks
 
-def gaps(box: Span, others: np.ndarray) -> np.ndarray:
-    across = np.maximum(others[:, 0], box[0]) - np.minimum(others[:, 2], box[2])
-    down = np.maximum(others[:, 1], box[1]) - np.minimum(others[:, 3], box[3])
-    return np.maximum(across, 0) + np.maximum(down, 0)
+# Shares of the page. A panel's least area and sides, ink of a hole that isn't a speck, ink to be covered.
+LEAST_AREA, LEAST_SIDE, SPECK, COVERAGE = 0.02, 0.04, 0.0005, 0.7
+_SIDES = ["x0", "y0", "x1", "y1"]
 
 
-def absorbed(large: np.ndarray, small: np.ndarray) -> np.ndarray:
-    """Each small box in turn united with its nearest large one, the first of equals."""
-    large = large.copy()
-    for box in small:
-        k = int(np.argmin(gaps(box, large)))
-        large[k] = np.r_[np.minimum(large[k, :2], box[:2]), np.maximum(large[k, 2:], box[2:])]
-    return large
+def gutter_panels(paper: DataFrame, ink: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, panel, x0, y0, x1, y1): what the paper that reaches a page's edge leaves over, panels numbered from 0.
 
-
-def united(boxes: np.ndarray, share: float = 0.3) -> np.ndarray:
-    """Boxes united, the first pair each time, while two share more than ``share`` of the smaller."""
-    while len(boxes) > 1:
-        common = np.clip(np.minimum(boxes[:, None, 2:], boxes[None, :, 2:]) - np.maximum(boxes[:, None, :2], boxes[None, :, :2]), 0, None).prod(2)
-        area = (boxes[:, 2:] - boxes[:, :2]).prod(1)
-        hit = np.argwhere(np.triu(common > share * np.minimum(area[:, None], area[None, :]), 1))
-        if not len(hit):
-            break
-        i, j = hit[0]
-        boxes[i] = np.r_[np.minimum(boxes[i, :2], boxes[j, :2]), np.maximum(boxes[i, 2:], boxes[j, 2:])]
-        boxes = np.delete(boxes, j, 0)
-    return boxes
-
-
-def by_gutters(page: np.ndarray) -> np.ndarray:
-    """What the paper that reaches the page's edge leaves over; nothing where that misses too much of the ink."""
-    height, width = page.shape
-    none = np.zeros((0, 4), int)
-    run, area, box = blobs(page >= PAPER)
-    margin = (box[:, 0] == 0) | (box[:, 1] == 0) | (box[:, 2] == width) | (box[:, 3] == height)
-    if not margin.any():
-        return none
-    inner = np.ones(page.shape, bool)
-    for r, a, b in run[margin[area]]:
-        inner[r, a:b] = False
-    holes = blobs(inner)[2]
-    size = holes[:, 2:] - holes[:, :2]
-    fit = (size.prod(1) >= LEAST_AREA * height * width) & (size[:, 0] >= LEAST_SIDE * width) & (size[:, 1] >= LEAST_SIDE * height)
-    found = united(holes[fit])
-    ink = page < INK
-    if len(found):
-        taken = set(map(tuple, found.tolist()))
-        rest = [h for h in holes if tuple(h.tolist()) not in taken and ink[h[1] : h[3], h[0] : h[2]].sum() >= SPECK * height * width]
-        found = absorbed(found, np.array(rest).reshape(-1, 4))
-    seen = np.zeros_like(ink)
-    for x0, y0, x1, y1 in found:
-        seen[y0:y1, x0:x1] = True
-    return found if (ink & seen).sum() >= COVERAGE * ink.sum() else none
-
-
-def blank_lines(ink: np.ndarray, axis: int) -> np.ndarray:
-    """Which rows (0) or columns (1) hold next to no ink: a tail or a page number doesn't hide a gutter."""
-    return ink.sum(1 - axis) <= max(1, int(GUTTER_INK * ink.shape[1 - axis]))
-
-
-def crossed(ink: np.ndarray, axis: int, a: int, z: int) -> bool:
-    """Whether a straight line goes through a blank run, so that it is space inside a frame.
-
-    A wide run has its frame's side in it; through a narrow one the line goes on, on both sides and far enough.
+    Holes large enough are panels, united where they overlap much; inked smaller ones join the panel nearest by then, in
+    the order of their first pixels.  A page whose paper doesn't reach its edge, or whose panels miss too much of its ink,
+    gives none.  paper, ink: masks (``masks.runs``); pages: page, width, height.
     """
-    across = ink if axis == 0 else ink.T
-    for k in np.flatnonzero(across[a:z].mean(0) > 0.9):
-        if z - a >= 0.1 * len(across):
-            return True
-        before, after = (int(np.argmin(np.r_[side, False])) for side in (across[:a, k][::-1], across[z:, k]))
-        if before and after and before + after >= max(20, 2 * (z - a)):
-            return True
-    return False
-
-
-def gutters(ink: np.ndarray, axis: int) -> list[int]:
-    """Middles of the inner blank runs along an axis that leave enough content between them and at both ends."""
-    n = ink.shape[axis]
-    side, last, found = max(GUTTER, int(LEAST_SIDE * n)), 0, []
-    for a, z in runs(blank_lines(ink, axis)):
-        if a > 0 and z < n and z - a >= GUTTER and a - last >= side and not crossed(ink, axis, a, z):
-            found.append((a + z) // 2)
-            last = z
-    return found[:-1] if found and n - last < side else found
-
-
-def by_cuts(page: np.ndarray) -> np.ndarray:
-    """Leaves of recursive straight cuts, rows before columns; small leaves join their nearest panel."""
-    ink, leaves = page < INK, []
-    todo = [(0, 0, page.shape[1], page.shape[0], 0)]
-    while todo:
-        x0, y0, x1, y1, depth = todo.pop()
-        part = ink[y0:y1, x0:x1]
-        rows, columns = (np.flatnonzero(~blank_lines(part, axis)) for axis in (0, 1))
-        if not len(rows) or not len(columns):
-            continue
-        x0, x1, y0, y1 = x0 + int(columns[0]), x0 + int(columns[-1]) + 1, y0 + int(rows[0]), y0 + int(rows[-1]) + 1
-        part = ink[y0:y1, x0:x1]
-        axis, at = next(((axis, at) for axis in (0, 1) if depth < DEPTH and (at := gutters(part, axis))), (None, []))
-        if axis is None:
-            leaves.append((x0, y0, x1, y1))
-            continue
-        edge = [0, *at, part.shape[axis]]
-        pieces = [(x0, y0 + a, x1, y0 + z) if axis == 0 else (x0 + a, y0, x0 + z, y1) for a, z in zip(edge, edge[1:])]
-        todo += [(*p, depth + 1) for p in pieces[::-1]]
-    boxes = np.array(leaves, int).reshape(-1, 4)
-    large = (boxes[:, 2:] - boxes[:, :2]).prod(1) >= LEAST_AREA * page.size
-    return absorbed(boxes[large], boxes[~large]) if large.any() else boxes[:0]
-
-
-def by_blobs(page: np.ndarray) -> np.ndarray:
-    """Boxes of ink grown by a share of the page, so that a panel's art is one area."""
-    height, width = page.shape
-    k = max(3, min(height, width) // 100)
-    total = np.pad((page < INK).astype(np.int64), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-    after, before = 2 * (k // 2), 2 * (k - 1 - k // 2)
-    y, x = np.arange(height), np.arange(width)
-    y0, y1, x0, x1 = np.maximum(y - before, 0), np.minimum(y + after + 1, height), np.maximum(x - before, 0), np.minimum(x + after + 1, width)
-    grown = total[np.ix_(y1, x1)] - total[np.ix_(y0, x1)] - total[np.ix_(y1, x0)] + total[np.ix_(y0, x0)] > 0
-    box = blobs(grown, corners=True)[2]
-    return box[(box[:, 2:] - box[:, :2]).prod(1) >= LEAST_AREA * page.size]
-
-
-def trimmed(page: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """(x, y, page) without nearly black strips at the edges: wide enough for a scanner's shadow, too narrow for art."""
-    ink = page < INK
-    cut = []
-    for axis in (0, 1):
-        dark, limit = ink.mean(1 - axis) > 0.9, int(STRIP_SHARE * page.shape[axis])
-        n = [int(np.argmin(np.r_[side[:limit], False])) for side in (dark, dark[::-1])]
-        cut.append([k if STRIP <= k < limit else 0 for k in n])
-    (top, bottom), (left, right) = cut
-    return left, top, page[top : page.shape[0] - bottom, left : page.shape[1] - right]
-
-
-def halves(page: np.ndarray, rtl: bool = True) -> list[tuple[int, np.ndarray]]:
-    """(x, half) of a spread in reading order: a wide page with blank paper at its middle and ink on both sides."""
-    height, width = page.shape
-    whole = [(0, page)]
-    if not height or width / height < SPREAD:
-        return whole
-    reach = max(1, int(0.08 * width))
-    strip = page[:, width // 2 - reach : width // 2 + reach]
-    a, z = max(runs((strip >= PAPER).mean(0) >= 0.98), key=lambda r: (r[1] - r[0], -r[0]), default=(0, 0))
-    if z - a < FOLD * width or ((strip[:, a:z] < INK).mean(1) > 0.9).any():
-        return whole
-    cut, ink = width // 2 - reach + a + (z - a) // 2, page < INK
-    if not 0 < cut < width or not ink[:, :cut].any() or not ink[:, cut:].any():
-        return whole
-    both = [(0, page[:, :cut]), (cut, page[:, cut:])]
-    return both[::-1] if rtl else both
-
-
-def in_page(page: np.ndarray) -> list[Span]:
-    """Panels by the gutter network, each cut further by itself; else by straight cuts, else by blobs, else all of it."""
-    found = by_gutters(page)
-    if len(found) > 1:
-        out = []
-        for x0, y0, x1, y1 in found.tolist():
-            inner = by_cuts(page[y0:y1, x0:x1]).tolist() or [(0, 0, x1 - x0, y1 - y0)]
-            out += [(x0 + a, y0 + b, x0 + c, y0 + d) for a, b, c, d in inner]
-        return out
-    found = by_cuts(page)
-    if len(found) < 2 and len(more := by_blobs(page)) > len(found):
-        found = more
-    return [tuple(b) for b in found.tolist()] or [(0, 0, page.shape[1], page.shape[0])]
-
-
-def panels(image: np.ndarray, rtl: bool = True) -> list[Rect]:
-    """Panels (x, y, width, height) of a page or spread in reading order; none of an image without pixels."""
-    page, out = grey(image[..., 0] if image.ndim == 3 and image.shape[2] == 1 else image), []
-    if not page.size:
-        return out
-    left, top, page = trimmed(page)
-    for x, half in halves(page, rtl):
-        boxes = in_page(half)
-        out += [(left + x + a, top + b, c - a, d - b) for a, b, c, d in (boxes[k] for k in reading(boxes, rtl))]
-    return out
-
-
-def panel_boxes(pages: DataFrame, read: Callable[[bytes], np.ndarray], rtl: bool = True) -> DataFrame:
-    """(page, panel, x, y, width, height) of (page, content); ``read`` turns a file's bytes into an image."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, k, *map(int, b)) for p, c in zip(pdf["page"], pdf["content"]) for k, b in enumerate(panels(read(bytes(c)), rtl))]
-            yield pd.DataFrame(rows, columns=["page", "panel", "x", "y", "width", "height"])
-
-    kind = dict(pages.dtypes)["page"]
-    return pages.select("page", "content").mapInPandas(run, f"page {kind}, panel int, x int, y int, width int, height int")
+    outer = cut(masks.margin(masks.labelled(paper), pages), "margin")
+    open_pages = pages.join(outer.select("page").distinct(), "page", "left_semi")
+    holes = masks.boxed(masks.labelled(masks.complement(outer, open_pages))).join(open_pages, "page")
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    whole = F.col("width") * F.col("height")
+    large = (wide * high >= LEAST_AREA * whole) & (wide >= LEAST_SIDE * F.col("width")) & (high >= LEAST_SIDE * F.col("height"))
+    holes = cut(holes.select("page", "area", *[F.col(c).cast("long").alias(c) for c in _SIDES], large.alias("large"), (SPECK * whole).alias("speck")), "holes")
+
+    first = holes.where("large").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("area", *_SIDES))).alias("_b"))
+    united = masks.merged(F.transform("_b", lambda p: F.struct(*[p[c].alias(c) for c in _SIDES])))
+    panels = first.select("page", F.posexplode(united).alias("panel", "_p")).select("page", "panel", *[F.col("_p." + c).alias(c) for c in _SIDES])
+    rest = holes.join(panels.select("page", *_SIDES), ["page", *_SIDES], "left_anti").select("page", "area", "speck", *_SIDES)
+    inked = masks.held(rest, ink, "inked").where("inked >= speck")
+    grown = layout.absorb(
+        inked.select("page", F.col("area").alias("hole"), *[F.col(c).alias("b_" + c) for c in _SIDES]),
+        panels.select("page", "panel", *[F.col(c).alias("p_" + c) for c in _SIDES]), ["page"])
+    grown = cut(grown, "panels")
+
+    rows = grown.select("page", F.explode(F.sequence(F.col("y0").cast("int"), (F.col("y1") - 1).cast("int"))).alias("row"), F.col("x0").cast("int").alias("start"), F.col("x1").cast("int").alias("end"))
+    size = F.sum(F.col("end") - F.col("start"))
+    seen = masks.common(ink, masks.runs(rows)).groupBy("page").agg(size.alias("seen"))
+    missed = ink.groupBy("page").agg(size.alias("all")).join(seen, "page", "left").where(F.coalesce("seen", F.lit(0)) < COVERAGE * F.col("all"))
+    return grown.join(missed.select("page"), "page", "left_anti")
+
+
+def bubbles(bright: DataFrame, dark: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, x0, y0, x1, y1, contour2, hull2, dark): bubbles of panels, by the contours of their opened bright masks."""
+    found = masks.held(masks.contours(cut(masks.opened(bright, pages), "opened"), pages), dark, "dark").join(pages, "page")
+    inner = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    kept = options.is_bubble(F.col("contour2") / 2, F.col("hull2") / 2, F.col("dark") / inner, F.col("width") * F.col("height"))
+    return found.where(kept).select("page", *_SIDES, "contour2", "hull2", "dark")

@@ -8,7 +8,6 @@ from storyframe.functions import geometry as G
 from storyframe.functions import options
 from storyframe.functions.audio import mixed, read_wav, resample, write_wav
 from storyframe.operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, narration, outputs, pacing
-from storyframe.operators.panels import by_gutters, gutters, halves, panel_boxes, panels
 from storyframe.sources import files
 from storyframe.stages import stub_embedding, stub_text, text_stage
 
@@ -137,14 +136,6 @@ def test_a_hole_meets_panels_as_earlier_holes_left_them(spark):
     assert sorted(map(tuple, layout.absorb(tie, panels.where("page = 1"), ["page"]).collect())) == [(1, 1, 0, 0, 60, 10), (1, 2, 100, 0, 110, 10)]
 
 
-def test_panels_by_gutters():
-    page = np.full((1400, 1000), 255, np.uint8)
-    for y0, y1, x0, x1 in ((50, 600, 50, 498), (50, 600, 502, 950), (604, 1350, 50, 950)):
-        page[y0:y1, x0:x1] = 120
-    assert panels(page) == [(502, 50, 448, 550), (50, 50, 448, 550), (50, 604, 900, 746)]
-    assert panels(np.full((50, 40), 255, np.uint8)) == [(0, 0, 40, 50)]
-
-
 def test_reading_order_of_rows_that_overlap():
     # No straight cut: two bands of rows (the second box reaches into the band of the first), each from the right.
     boxes = [(0, 0, 60, 40), (55, 10, 100, 45), (0, 42, 50, 90), (45, 38, 100, 95)]
@@ -191,67 +182,6 @@ def test_transcript_files(spark, tmp_path):
     assert outputs.excerpt_document(nothing).first().document == "(none)"
 
 
-def drawn(width, height, *frames):
-    """A white page with empty frames."""
-    page = np.full((height, width), 255, np.uint8)
-    for x0, y0, x1, y1 in frames:
-        page[y0:y1, x0:x1] = 0
-        page[y0 + 3 : y1 - 3, x0 + 3 : x1 - 3] = 255
-    return page
-
-
-def spans(page, rtl=True):
-    return [(x, y, x + w, y + h) for x, y, w, h in panels(page, rtl)]
-
-
-def test_panel_ladder():
-    top = (520, 40, 960, 600), (40, 40, 516, 600)
-    assert spans(drawn(1000, 1400, *top, (40, 640, 960, 1360))) == [*top, (40, 640, 960, 1360)]
-    assert [b[0] for b in spans(drawn(1000, 1400, *top), False)] == [40, 520]
-    numbered = drawn(1000, 1400, (40, 40, 960, 700), (40, 740, 960, 1300))
-    numbered[1340:1352, 490:510] = 0
-    assert spans(numbered) == [(40, 40, 960, 700), (40, 740, 960, 1300)]
-    shadow = drawn(1000, 1400, (40, 40, 940, 700), (40, 740, 940, 1360))
-    shadow[:, 975:] = 0
-    assert spans(shadow) == [(40, 40, 940, 700), (40, 740, 940, 1360)]
-    small = spans(drawn(1000, 1400, (40, 40, 960, 700), (40, 740, 800, 1360), (840, 740, 960, 860)))
-    assert len(small) == 2 and any(b[0] <= 840 and b[2] >= 960 and b[1] <= 740 and b[3] >= 860 for b in small)
-
-
-def test_spreads_and_grids():
-    spread = drawn(2000, 1400, (60, 60, 940, 1340), (1060, 60, 1940, 1340))
-    assert [x for x, _ in halves(spread)] == [1000, 0] and spans(spread) == [(1060, 60, 1940, 1340), (60, 60, 940, 1340)]
-    grid = (712, 40, 1360, 480), (40, 40, 688, 480), (712, 520, 1360, 960), (40, 520, 688, 960)
-    assert [x for x, _ in halves(drawn(1400, 1000, *grid))] == [0] and spans(drawn(1400, 1000, *grid)) == list(grid)
-
-
-def test_art_in_a_gutter_and_bands_inside_a_frame():
-    page = drawn(1000, 1400, (520, 0, 960, 1360), (40, 40, 500, 600), (40, 640, 500, 1360))
-    page[0:35, 500:960] = 0
-    assert len(by_gutters(page)) == 3 and spans(page) == [(500, 0, 960, 1360), (40, 40, 500, 600), (40, 640, 500, 1360)]
-    for a, z in ((60, 130), (300, 370), (480, 550)):
-        frame = np.zeros((400, 600), bool)
-        frame[:3] = frame[-3:] = True
-        frame[:, :3] = frame[:, -3:] = True
-        frame[150:250, 20:] = True
-        frame[150:250, a:z] = False
-        assert gutters(frame, 1) == []
-
-
-def test_odd_pages(spark):
-    page = np.full((1000, 800), 255, np.uint8)
-    for i in range(800):
-        page[i + 100 : i + 106, i : i + 6] = 0
-    page[:3] = page[-3:] = 0
-    page[:, :3] = page[:, -3:] = 0
-    assert spans(page) == [(0, 0, 800, 1000)] and spans(np.full((600, 400), 250, np.uint8)) == [(0, 0, 400, 600)]
-    assert panels(np.zeros((0, 10), np.uint8)) == [] and spans(np.full((2, 2, 1), 255, np.uint8)) == [(0, 0, 2, 2)] and len(panels(np.zeros((300, 200), np.uint8))) == 1
-    two = drawn(300, 400, (10, 10, 290, 190), (10, 210, 290, 390))
-    rows = spark.createDataFrame([(7, bytearray(two.tobytes()))], "page int, content binary")
-    got = panel_boxes(rows, lambda b: np.frombuffer(b, np.uint8).reshape(400, 300)).collect()
-    assert [tuple(r) for r in got] == [(7, 0, 10, 10, 280, 180), (7, 1, 10, 210, 280, 180)]
-
-
 def test_labels_and_checkpoints(spark):
     items = spark.createDataFrame([("d", "1", "a"), ("d", "2", "b")], "mode string, key string, text string")
     known = spark.createDataFrame([("d", "1", "a", "x")], "mode string, key string, text string, label string")
