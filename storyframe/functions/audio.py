@@ -1,4 +1,4 @@
-"""Audio samples: WAV bytes, resampling, level, and the mix of segments over background music."""
+"""Audio samples: WAV bytes, resampling and level."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, FloatType
+from pyspark.sql.types import ArrayType, FloatType
 
 RATE = 24_000
 
@@ -39,12 +39,8 @@ def write_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
-def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear interpolation."""
-    if source == target or not len(x):
-        return x
-    n = max(1, round(len(x) * target / source))
-    return np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x).astype(np.float32)
+def pcm_bytes(samples) -> bytes:
+    return np.asarray(samples).astype("<i2").tobytes()
 
 
 def levelled(samples: Column, gain: float = 1.0, level: float = 0.75) -> Column:
@@ -54,34 +50,21 @@ def levelled(samples: Column, gain: float = 1.0, level: float = 0.75) -> Column:
     return F.transform(samples, lambda x: (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * scale)) * 32767).cast("int"))
 
 
-def mixed(voices: list[np.ndarray], effects: list[bool], gap_ms: int = 0, voice_gain: float = 1.0, effect_gain: float = 1.0, music: np.ndarray | None = None, music_gain: float = 0.22, fade_s: float = 2.5, rate: int = RATE) -> np.ndarray:
-    """Segments one after the other with gaps between, music tiled under them with linear fades, peak at most 0.99."""
-    gap = np.zeros(int(rate * gap_ms / 1000), np.float32)
-    parts: list[np.ndarray] = []
-    for x, effect in zip(voices, effects):
-        parts += ([gap] if parts else []) + [x * (effect_gain if effect else voice_gain)]
-    out = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
-    if music is not None and len(music) and len(out):
-        bed = np.resize(music, len(out)).astype(np.float64)
-        n = int(min(fade_s * rate, len(out) / 2))
-        if n:
-            ramp = np.linspace(0, 1, n)
-            bed[:n] *= ramp
-            bed[-n:] *= ramp[::-1]
-        out = out + music_gain * bed
-    peak = np.abs(out).max() if len(out) else 0
-    return out * (0.99 / peak) if peak > 0.99 else out
-
-
-def stitched(segments: DataFrame, gap_ms: int = 0, **options) -> DataFrame:
-    """(volume, wav) of segments (volume, block_index, speaker_id, samples array<float>); a volume is one track."""
-
-    @pandas_udf(BinaryType())
-    def track(volumes: pd.Series) -> pd.Series:
-        return volumes.map(lambda v: write_wav(mixed([np.asarray(x["samples"], np.float32) for x in v], [x["speaker_id"] == "SFX" for x in v], gap_ms, **options)))
-
-    parts = F.array_sort(F.collect_list(F.struct("block_index", "speaker_id", "samples")))
-    return segments.groupBy("volume").agg(parts.alias("parts")).select("volume", track("parts").alias("wav"))
+def resampled(samples: Column, source: int, target: int) -> Column:
+    """Samples at another rate, between neighbours in a straight line; one sample at least of any that are there."""
+    if source == target:
+        return samples
+    n = F.size(samples)
+    m = F.greatest(F.lit(1), F.rint(n / source * target).cast("int"))
+    step = F.when(m > 1, (n - 1) / (m - 1)).otherwise(F.lit(0.0))
+
+    def between(k: Column) -> Column:
+        place = F.when((k == m - 1) & (m > 1), (n - 1).cast("double")).otherwise(k * step)
+        low = F.least(F.floor(place), n - 1).cast("int")
+        a, b = F.get(samples, low).cast("double"), F.get(samples, F.least(low + 1, n - 1)).cast("double")
+        return ((b - a) * (place - low) + a).cast("float")
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), m - 1), between)).otherwise(samples)
 
 
 @pandas_udf(ArrayType(FloatType()))

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.keys import timestamp_text as timestamp
 from ..functions.prompts import percent
+from ..sources.sinks import write_files
 
 
 def excerpt_document(excerpts: DataFrame, by: str = "file", empty: str = "(none)") -> DataFrame:
@@ -80,9 +81,21 @@ def moved(path, exists, folder: str):
 
 
 def write_transcript(folder: str, segments: DataFrame, pacing: DataFrame, documents: DataFrame) -> None:
-    """Four outputs: segments, the plain transcript, pacing and the excerpt documents, each a folder."""
-    text = segments.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "text"))), lambda s: s["text"]), "\n").alias("value"))
-    segments.write.mode("overwrite").json(f"{folder}/segments")
-    text.write.mode("overwrite").partitionBy("file").text(f"{folder}/transcript")
-    pacing.write.mode("overwrite").json(f"{folder}/pacing")
-    documents.select("file", F.col("document").alias("value")).write.mode("overwrite").partitionBy("file").text(f"{folder}/excerpts")
+    """Four files for each transcript, in a folder of its name: segments, plain text, pacing and excerpts.
+
+    All files of all transcripts appear together (``sinks``); a file is its lines in order, never one value.
+    """
+    place = F.row_number().over(Window.partitionBy("file").orderBy("start", "end", "text"))
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    numbered = segments.withColumn("part", place)
+
+    def rows(df: DataFrame, name: str, part, text) -> DataFrame:
+        return df.select(F.concat(F.col("file").cast("string"), F.lit(f"/{name}")).alias("path"), part.alias("part"), text.cast("binary").alias("content"))
+
+    def json_line(df: DataFrame):
+        return F.concat(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "part"])), F.lit("\n"))
+
+    one = F.lit(0)
+    both = rows(numbered, "segments.json", F.col("part"), json_line(numbered)).unionByName(rows(numbered, "transcript.md", F.col("part"), line))
+    both = both.unionByName(rows(pacing, "pacing.json", one, json_line(pacing))).unionByName(rows(documents, "excerpts.md", one, F.col("document")))
+    write_files(both, folder)

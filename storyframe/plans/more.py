@@ -9,9 +9,9 @@ from ..functions import geometry as G
 from ..functions import keys as K
 from ..functions import options
 from ..functions import text as T
-from ..functions.audio import stitched, wav_samples
+from ..functions.audio import resampled
 from ..functions.blocks import parse_blocks, plain_blocks, reviewed
-from ..operators import arcs, checkpoint, gallery, layout, narration, outputs, pacing
+from ..operators import arcs, checkpoint, gallery, layout, mixing, narration, outputs, pacing
 from ..sources import files
 from ..sources.tables import blocks, boxes, marks, segments, table
 from ..stages import suggestions
@@ -251,9 +251,48 @@ def mix_samples(spark, d):
     one = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: (F.col("l_quantity") / 100.0).cast("float"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("volume"), F.row_number().over(w).alias("block_index"), F.lit("A").alias("speaker_id"), one.alias("samples"))
-    found = stitched(rows, 1000 * 2 // 2000, rate=2000).select("volume", F.transform(wav_samples("wav"), lambda x: F.round(x.cast("double") * 32768).cast("long")).alias("x"))
-    weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
-    return found.select(F.col("volume").cast("long").alias("volume"), weighted.alias("weighted"), F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+    x = F.transform("pcm", lambda v, i: v.cast("long") * (F.col("block") * 4 + i + 1))
+    found = mixing.levelled(mixing.narration(rows, 2, size=4)).select("volume", *[F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b).alias(n) for n, c in (("w", x), ("t", F.col("pcm")))])
+    return found.groupBy(F.col("volume").cast("long").alias("volume")).agg(F.sum("w").cast("long").alias("weighted"), F.sum("t").cast("long").alias("total"))
+
+
+@query("""with s as (select l_orderkey as volume, (l_quantity / 100.0)::float::double as y, l_partkey % 5 = 0 as effect, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as j from lineitem),
+t as (select volume, count(*) * 4 + (count(*) - 1) * 2 as total from s group by volume),
+k as (select volume, total, unnest(range(total)) as k from t),
+v as (select volume, 6 * j + i as k, y * (i + 1) * case when effect then 0.5::double else 1.5::double end as x from s cross join (select unnest(range(4)) as i)),
+m as (select k.volume, total, k.k, coalesce(x, 0) as x, least(5, total // 2) as rise, [0.25::double, -0.5, 1.0][(k.k % 3) + 1] as bed from k left join v using (volume, k)),
+f as (select volume, k, x + bed * 0.3::double * case when k < rise then k / greatest(rise - 1, 1)::double when k - (total - rise) >= 0 then 1 - (k - (total - rise)) / greatest(rise - 1, 1)::double else 1.0 end as x from m),
+p as (select *, max(abs(x)) over (partition by volume) as peak from f)
+select volume, count(*) as frames, sum(k * trunc(x * case when peak > 0.99::double then 0.99::double / peak else 1.0 end * 32767))::bigint as weighted, round(max(peak), 6) as peak from p group by volume""")
+def mix_with_music(spark, d):
+    """Narration and effects over music that is repeated, fades in and out and keeps its headroom; blocks of 8."""
+    samples = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: ((F.col("l_quantity") / 100.0).cast("float").cast("double") * k))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("volume"), F.row_number().over(w).alias("block_index"), F.when(F.col("l_partkey") % 5 == 0, "SFX").otherwise("A").alias("speaker_id"), samples.alias("samples"))
+    music = rows.select("volume").distinct().withColumn("samples", F.array(F.lit(0.25), F.lit(-0.5), F.lit(1.0)))
+    blocks = mixing.with_music(mixing.narration(rows, 2, 1.5, 0.5, 8), music, 0.3, 5, 8)
+    peaks = blocks.groupBy("volume").agg(F.round(F.max(F.array_max(F.transform("x", F.abs))), 6).alias("peak"))
+    weighted = F.aggregate(F.transform("pcm", lambda v, i: v * (F.col("block") * 8 + i)), F.lit(0).cast("long"), lambda a, b: a + b)
+    tracks = mixing.levelled(blocks).select("volume", F.size("pcm").alias("n"), weighted.alias("w"))
+    return tracks.groupBy("volume").agg(F.sum("n").cast("long").alias("frames"), F.sum("w").cast("long").alias("weighted")).join(peaks, "volume")
+
+
+@query("""with r as (select * from (values (8000, 11025), (44100, 24000), (3, 1), (24000, 24000)) r(source, target)),
+v as (select vec_id, source, target, list_transform(embedding, lambda x: x::double) as x, len(embedding) as n, case when source = target then len(embedding) else greatest(1, round_even(len(embedding) / source::double * target, 0)::bigint) end as m from embeddings cross join r),
+p as (select vec_id, source, target, n, m, x, unnest(range(m)) as k from v),
+q as (select *, case when k = m - 1 and m > 1 then (n - 1)::double else k * case when m > 1 then (n - 1) / (m - 1)::double else 0 end end as place from p),
+y as (select vec_id, source, target, m, k, ((x[least(floor(place)::bigint + 1, n - 1) + 1] - x[floor(place)::bigint + 1]) * (place - floor(place)) + x[floor(place)::bigint + 1])::float::double as y from q)
+select vec_id, source, target, max(m) as frames, round(sum(y), 5) as total, round(sum(y * (k % 7)), 4) as weighted from y group by vec_id, source, target""")
+def resampled_vectors(spark, d):
+    """Vectors as sounds at other rates."""
+    rows = table(spark, d, "embeddings")
+    out = None
+    for source, target in ((8000, 11025), (44100, 24000), (3, 1), (24000, 24000)):
+        y = F.transform(resampled(F.col("embedding"), source, target), lambda v: v.cast("double"))
+        one = rows.select("vec_id", F.lit(source).alias("source"), F.lit(target).alias("target"), F.size(y).cast("long").alias("frames"),
+            F.round(F.aggregate(y, F.lit(0.0), lambda a, b: a + b), 5).alias("total"), F.round(F.aggregate(F.transform(y, lambda v, i: v * (i % 7)), F.lit(0.0), lambda a, b: a + b), 4).alias("weighted"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # Geometry.

@@ -1,15 +1,19 @@
-"""Queries over pages as masks: opened masks, contours, hulls and bubbles.
+"""Queries over pages as masks (opened masks, contours, hulls, bubbles) and over files that are written and read back.
 
 An embedding is a grid of 8 x 8 grey values; what is above a level is bright, what is below another is dark.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import options
-from ..operators import masks
-from ..sources.tables import table
+from ..operators import masks, outputs, pacing
+from ..sources import archives, files, sinks
+from ..sources.shared import folder
+from ..sources.tables import blocks, segments, table
 from .queries import query
 
 _GRID = "g as (select vec_id, k // 8 as r, k % 8 as c, x > -0.1::double as bright, x < -0.2::double as dark from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as k from embeddings))"
@@ -59,3 +63,43 @@ def bubble_contours(spark, d):
     bubble = options.is_bubble(F.col("contour2") / 2, F.col("hull2") / 2, F.col("dark") / size, F.lit(64.0))
     place = [F.col("page").alias("vec_id"), F.shiftright("area", 32).alias("row"), F.col("area").bitwiseAND(F.lit((1 << 32) - 1)).alias("start")]
     return found.select(*place, "x0", "y0", "x1", "y1", "contour2", "hull2", "dark", F.coalesce(bubble, F.lit(False)).alias("bubble"))
+
+
+@query(r"""with p as (select 'v' || (page_id // 40) as volume, page_id % 40 + 1 as page, lpad((page_id % 40 + 1)::varchar, 5, '0') || '.html' as name, html from pages)
+select volume, page::int as page, name, strlen(html) as bytes, md5(html) as md5 from p where page between 5 and 20""")
+def archived_pages(spark, d):
+    """Pages written as archives of 40 each, and a range of each archive's pages read back."""
+    n = F.col("page_id") % 40 + 1
+    rows = table(spark, d, "pages").select(
+        F.concat(F.lit("v"), F.floor(F.col("page_id") / 40).cast("string"), F.lit(".cbz")).alias("path"), n.alias("part"),
+        F.concat(F.lpad(n.cast("string"), 5, "0"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    at = f"{folder(spark)}/archives-{uuid.uuid4().hex}"
+    sinks.write_files(rows, at, "zip")
+    found = archives.read_pages(spark, sinks.current(spark, at), 5, 16, pagesPerPartition="8")
+    return found.select("volume", "page", "name", F.length("content").cast("long").alias("bytes"), F.md5("content").alias("md5"))
+
+
+@query("select conv_id::varchar as volume, turn as pos, (turn // 2)::int as page, text, case when role = 'system' then 'Narrator' else role end as speaker_id, case when turn % 3 = 0 then 'door' end as sfx from conversations")
+def script_files(spark, d):
+    """Scripts written as one JSON list for each volume, read back as blocks in order."""
+    b = blocks(spark, d)
+    block = F.struct("text", "speaker_id", "is_speech", F.when(F.col("pos") % 3 == 0, "door").alias("sfx"))
+    panels = b.groupBy("volume", F.col("panel").alias("page_number")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]).alias("blocks")).withColumn("panel_index", F.lit(0))
+    at = f"{folder(spark)}/scripts-{uuid.uuid4().hex}"
+    files.write_script(panels, at)
+    found = files.read_script(spark, sinks.current(spark, at))
+    return found.select("volume", F.col("pos").cast("long").alias("pos"), "page", "text", "speaker_id", "sfx")
+
+
+@query("""with s as (select user_id as file, epoch_us(ts) / 1e6 as start, event_id, event_type as text from events),
+n as (select *, row_number() over (partition by file order by start, event_id) as line from s)
+select file::varchar as file, line, text from n""")
+def transcript_files(spark, d):
+    """Each file's transcript, segments, pacing and excerpts, written together; the plain transcripts read back."""
+    rows = segments(spark, d)
+    marked = rows.select("file", "start", "end", F.format_string("%09d %s", F.col("event_id"), F.col("text")).alias("text"))
+    document = outputs.excerpt_document(marked.groupBy("file").agg(F.min_by(F.struct("start", "end", "text"), F.struct("start", "text")).alias("x")).select("file", "x.*", F.lit(None).cast("string").alias("arc"), F.lit(0.5).alias("score")))
+    at = f"{folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    outputs.write_transcript(at, marked, pacing.statistics(rows.withColumn("words", F.lit(1))), document)
+    lines = spark.read.text(f"{sinks.current(spark, at)}/*/transcript.md", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("k", "line"))
+    return lines.select(F.regexp_extract("path", r"([^/]+)/transcript\.md$", 1).alias("file"), (F.col("k") + 1).cast("long").alias("line"), F.substring("line", 11, 100).alias("text"))

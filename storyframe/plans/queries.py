@@ -11,11 +11,11 @@ from ..functions import geometry as G
 from ..functions import keys as K
 from ..functions import text as T
 from ..functions import prompts
-from ..functions.audio import levelled, stitched
+from ..functions.audio import levelled
 from ..functions.blocks import parse_blocks
 from ..functions.lexicon import CORPUS_LEXICON
 from ..functions.vectors import doubles, norm
-from ..operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, narration, pacing
+from ..operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, mixing, narration, pacing
 from ..sources import files
 from ..sources.tables import blocks, boxes, marks, segments, table
 from ..streaming.sessions import sessions
@@ -746,5 +746,5 @@ def mix_lengths(spark, d):
     one = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: (F.col("l_quantity") / 100.0).cast("float"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("volume"), F.row_number().over(w).alias("block_index"), F.when(F.col("l_partkey") % 5 == 0, "SFX").otherwise("A").alias("speaker_id"), one.alias("samples"))
-    tracks = stitched(rows, 1000 * 2 // 2000, rate=2000)
-    return tracks.select(F.col("volume").cast("long").alias("volume"), ((F.length("wav") - 44) / 2).cast("long").alias("frames"))
+    tracks = mixing.levelled(mixing.narration(rows, 2, size=16))
+    return tracks.groupBy("volume").agg(F.sum(F.size("pcm")).cast("long").alias("frames")).withColumn("volume", F.col("volume").cast("long"))

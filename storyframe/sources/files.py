@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.keys import timestamp_seconds
+from .sinks import write_files
 
 
 def read_script(spark: SparkSession, path: str) -> DataFrame:
@@ -18,7 +19,12 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_script(panels: DataFrame, path: str) -> None:
-    panels.write.mode("overwrite").json(path)
+    """A JSON list of panels for each volume, in reading order; all volumes appear together (``sinks``)."""
+    w = Window.partitionBy("volume").orderBy("page_number", "panel_index")
+    rows = panels.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count("*").over(Window.partitionBy("volume")))
+    head, tail = F.when(F.col("_n") == 1, "[").otherwise(","), F.when(F.col("_n") == F.col("_all"), "]").otherwise("\n")
+    content = F.concat(head, F.to_json(F.struct(*panels.columns)), tail)
+    write_files(rows.select(F.concat("volume", F.lit(".json")).alias("path"), F.col("_n").alias("part"), content.cast("binary").alias("content")), path)
 
 
 def page_range(pages: DataFrame, first: int = 1, most: int | None = None, number: str = "page_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from storyframe.functions import geometry as G
 from storyframe.functions import options
-from storyframe.functions.audio import mixed, read_wav, resample, write_wav
+from storyframe.functions.audio import read_wav, resampled, write_wav
 from storyframe.operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, narration, outputs, pacing
 from storyframe.sources import files
 from storyframe.stages import stub_embedding, stub_text, text_stage
@@ -172,13 +172,8 @@ def test_options(spark):
     assert options.hotkey_legend(["Ana"], [("0", "Narrator"), ("x", "junk")]) == "1=Ana  0=Narrator  x=junk"
 
 
-def test_transcript_files(spark, tmp_path):
-    rows = spark.createDataFrame([("f", 2.0, 3.0, "b"), ("f", 0.0, 1.0, "a")], "file string, start double, `end` double, text string")
-    document = outputs.excerpt_document(rows.withColumn("arc", F.lit(None).cast("string")).withColumn("score", F.lit(0.5)))
-    outputs.write_transcript(str(tmp_path), rows, pacing.statistics(rows.withColumn("words", F.lit(1))), document)
-    assert [r.value for r in spark.read.text(f"{tmp_path}/transcript", wholetext=True).collect()] == ["a\nb\n"]
-    assert document.first().document == "## 1. [00:00:00 - 00:00:01] · score 0.500\n\na\n\n## 2. [00:00:02 - 00:00:03] · score 0.500\n\nb\n"
-    nothing = rows.limit(1).select("file", "start", "end", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("arc"), F.lit(None).cast("double").alias("score"))
+def test_a_file_without_excerpts(spark):
+    nothing = spark.createDataFrame([("f", 2.0, 3.0, None, None, None)], "file string, start double, `end` double, text string, arc string, score double")
     assert outputs.excerpt_document(nothing).first().document == "(none)"
 
 
@@ -198,13 +193,12 @@ def test_labels_and_checkpoints(spark):
     assert [r.stage for r in checkpoint.write_section(config("a"), config("a").where("stage = 'script'"), "script").collect()] == ["script"]
 
 
-def test_audio():
-    out = mixed([np.full(3, 0.5), np.full(2, 0.25)], [False, True], 1, 1.0, 2.0, rate=2000)
-    assert out.tolist() == [0.5] * 3 + [0.0] * 2 + [0.5] * 2
-    assert np.abs(mixed([np.full(4, 2.0)], [False])).max() == pytest.approx(0.99)
-    assert not len(mixed([], []))
+def test_audio(spark):
     x, rate = read_wav(write_wav(np.array([0.0, 0.5, -0.5])))
-    assert rate == 24000 and np.allclose(x, [0, 0.5, -0.5], atol=1e-3) and len(resample(x, 24000, 48000)) == 6
+    assert rate == 24000 and np.allclose(x, [0, 0.5, -0.5], atol=1e-3)
+    one = spark.createDataFrame([([0.0, 1.0, 3.0], [], [4.0])], "a array<float>, b array<float>, c array<float>")
+    r = one.select(resampled(one.a, 1, 2).alias("up"), resampled(one.a, 3, 1).alias("down"), resampled(one.b, 1, 2).alias("none"), resampled(one.c, 2, 1).alias("one"), resampled(one.a, 5, 5).alias("same")).first()
+    assert r.up == pytest.approx(np.interp(np.linspace(0, 2, 6), range(3), [0, 1, 3])) and (r.down, r.none, r.one, r.same) == ([0.0], [], [4.0], [0.0, 1.0, 3.0])
 
 
 def test_effect_tags_and_promotion(spark):
