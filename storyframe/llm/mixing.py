@@ -25,11 +25,15 @@ from .common import written
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def _carried(carry: tuple[str, ...]) -> list:
+    return [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carried")] if carry else []
+
+
 def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, mark, ...): words of each text, null text 0; a hash of id and text; ``carry`` as it is."""
+    """(doc_id, source, size, mark): words of each text, null text 0; a hash of id and text; ``carry`` as one struct."""
     text = F.col("text").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", text).alias("mark"), *carry)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", text).alias("mark"), *_carried(carry))
 
 
 def targets(totals: DataFrame, repeats: int = 3) -> DataFrame:
@@ -71,10 +75,13 @@ def mix(
     Sources in order of code points, null last, have ``weights`` in turn.  ``taken`` words of a document are in the mix,
     repeats counted, ``repeats`` times its size at most; place orders a shard.  The whole has about ``blocks`` blocks, so
     the planning tables are bounded by blocks, sources and ``parts`` a source.  ``carry`` names further columns of docs
-    that stay with their row (doc_id, source and the names above can't be carried); other columns are ignored.
+    that stay with their row, of any names but those above; other columns are ignored.
     Repeated rows count each, and so do null doc_ids: rows are told by nothing but themselves.  A null text, or one
     without words, has size 0 and takes 0; very long texts are counted whole; an empty table gives no rows.
     """
+    if clash := {c.lower() for c in carry} & {"doc_id", "source", "size", "source_size", "target", "taken", "shard", "place"}:
+        raise ValueError(f"carried columns can't be named {sorted(clash)}")
+    held = ["_carried"] if carry else []
     size = written(sized(docs, carry), "sizes")
     totals = size.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")
@@ -87,7 +94,7 @@ def mix(
 
     same = size["source"].eqNullSafe(plan["source"])
     block = F.pmod(F.xxhash64(F.lit(seed + 1), "mark"), F.col("blocks")).cast("int").alias("block")
-    placed = size.join(plan, same).select("doc_id", size["source"], "size", "source_size", "target", "epochs", "need", F.xxhash64(F.lit(seed), "mark").alias("place"), block, "mark", *carry)
+    placed = size.join(plan, same).select("doc_id", size["source"], "size", "source_size", "target", "epochs", "need", F.xxhash64(F.lit(seed), "mark").alias("place"), block, "mark", *held)
     block = placed.groupBy("source", "block", "need").agg(F.sum("size").alias("words"))
     # Blocks without documents keep their place, so that quotas are those of the plan.
     every = plan.select("source", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
@@ -101,7 +108,7 @@ def mix(
 
     at = placed.join(every, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
     edge = (F.col("before") < F.col("need")) & (F.col("before") + F.col("words") > F.col("need"))
-    keep = ["doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "shard", "place", *carry]
+    keep = ["doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "shard", "place", *held]
     whole = at.where(~edge).withColumn("extra", F.when(F.col("before") + F.col("words") <= F.col("need"), F.col("size")).otherwise(0))
     # A source has one block at the edge at most: its parts, in the order of their numbers, then the documents of one part.
     cut = at.where(edge).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 3), "mark"), F.lit(parts)).cast("int")).drop("words", "s", "k")
@@ -112,4 +119,5 @@ def mix(
     within = Window.partitionBy("source", "part").orderBy("place", "mark", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     some = cut.where((left > 0) & (left < F.col("words"))).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left - F.coalesce(F.sum("size").over(within), F.lit(0)))))
     rest = cut.where((left <= 0) | (left >= F.col("words"))).withColumn("extra", F.when(left >= F.col("words"), F.col("size")).otherwise(0))
-    return whole.select(*keep).unionByName(rest.select(*keep)).unionByName(some.select(*keep))
+    found = whole.select(*keep).unionByName(rest.select(*keep)).unionByName(some.select(*keep))
+    return found.withColumns({c: F.col("_carried")[c] for c in carry}).drop("_carried")

@@ -254,3 +254,14 @@ def test_long_conversations_ties_and_clashing_columns(spark):
 
 def preference_text(role, text):
     return f"<|{role}|>\n{text}\n"
+
+
+def test_mixed_rows_carry_columns_of_any_name(spark):
+    names = ["block", "need", "epochs", "mark", "words", "before", "earlier", "s", "k", "p", "part", "extra", "a.b", "_id"]
+    rows = [(i, "word " * (i % 9), f"src{i % 4}", *[f"{n}{i}" for n in names]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(docs, carry=(*names, "text"), blocks=16, parts=4).collect()
+    assert sorted((r.doc_id, r.text, r.source, *[r[n] for n in names]) for r in got) == rows
+    assert {r.doc_id: r.taken for r in got} == {r.doc_id: r.taken for r in mixing.mix(docs, blocks=16, parts=4).collect()}
+    with pytest.raises(ValueError):
+        mixing.mix(docs, carry=("Shard",))
