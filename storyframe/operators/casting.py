@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,25 +37,31 @@ def cast_voices(profiles: DataFrame, cast: dict[str, str], bank: dict[str, list[
     """(volume, speaker_id, voice).  Kept assignments win, then curated voices, then the profile's bank or the fallback.
 
     New speakers are taken in sorted order; each takes the first voice nobody in the volume has, from its stable index
-    on; if all are in use, the one at the index.  Later picks depend on earlier ones: a fold over one volume's cast.
+    on; if all are in use, the one at the index.  Later picks depend on earlier ones: a fold over one volume's cast, in
+    expressions.
     """
-    bank = {k: list(v) for k, v in bank.items() if v}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        given = {r.speaker_id: r.voice for r in pdf.itertuples() if r.voice is not None and r.voice == r.voice}
-        for r in pdf[~pdf["speaker_id"].isin(given)].sort_values("speaker_id").itertuples():
-            if r.speaker_id in cast:
-                given[r.speaker_id] = cast[r.speaker_id]
-                continue
-            pool = bank.get(r.profile, fallback)
-            at = int.from_bytes(hashlib.sha1(r.speaker_id.encode()).digest()[:2], "big") % len(pool)
-            turn = pool[at:] + pool[:at]
-            given[r.speaker_id] = next((v for v in turn if v not in set(given.values())), turn[0])
-        return pd.DataFrame({"volume": pdf["volume"].iloc[0], "speaker_id": list(given), "voice": list(given.values())})
+    if not fallback:
+        raise ValueError("the fallback needs a voice")
+
+    def literal(names: list[str]) -> Column:
+        return F.array(*[F.lit(n) for n in names]).cast("array<string>")
 
+    pools = F.create_map(*[x for k, v in bank.items() if v for x in (F.lit(k), literal(v))]).cast("map<string,array<string>>")
+    curated = F.create_map(*[F.lit(x) for item in cast.items() for x in item]).cast("map<string,string>")
     rows = profiles.select("volume", "speaker_id", "profile")
-    if kept is None:
-        rows = rows.withColumn("voice", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(kept.select("volume", "speaker_id", "voice"), ["volume", "speaker_id"], "full")
-    return rows.groupBy("volume").applyInPandas(fold, "volume string, speaker_id string, voice string")
+    given = F.lit(None).cast("string").alias("voice")
+    rows = rows.withColumn("voice", given) if kept is None else rows.join(kept.select("volume", "speaker_id", "voice").where("voice is not null"), ["volume", "speaker_id"], "full")
+    # A volume's cast: kept assignments first, then new speakers in order.
+    one = F.struct("speaker_id", "voice", "profile")
+    casts = rows.groupBy("volume").agg(F.array_sort(F.collect_list(F.when(F.col("voice").isNotNull(), one))).alias("kept"), F.array_sort(F.collect_list(F.when(F.col("voice").isNull(), one))).alias("new"))
+
+    def take(given: Column, new: Column) -> Column:
+        pool = F.coalesce(F.try_element_at(pools, F.coalesce(new["profile"], F.lit(""))), literal(fallback))
+        at = stable_index(new["speaker_id"], F.size(pool)).cast("int")
+        turn = F.concat(F.slice(pool, at + 1, F.size(pool)), F.slice(pool, F.lit(1), at))
+        free = F.filter(turn, lambda v: ~F.exists(given, lambda g: g["voice"] == v))
+        voice = F.coalesce(F.try_element_at(curated, new["speaker_id"]), F.get(free, F.lit(0)), F.get(turn, F.lit(0)))
+        return F.concat(given, F.array(F.struct(new["speaker_id"].alias("speaker_id"), voice.alias("voice"))))
+
+    known = F.transform("kept", lambda k: F.struct(k["speaker_id"].alias("speaker_id"), k["voice"].alias("voice")))
+    return casts.select("volume", F.explode(F.aggregate("new", known, take)).alias("x")).select("volume", "x.speaker_id", "x.voice")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,35 @@ def reuse(stored: DataFrame, current: DataFrame, resume: bool = True, script_the
     return flags.select(script.alias("script"), (script & F.col("audio") & F.lit(audio_there)).alias("audio"))
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files below a folder, relative to it; none is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    return found.select(F.regexp_replace("path", r"^\w+:/*", "/").alias("path")).select(F.expr(f"substring(path, length(regexp_replace('{folder.rstrip('/')}', '^\\\\w+:/*', '/')) + 2)").alias("path"))
+
+
+def resumable(stored: DataFrame, current: DataFrame, segments: DataFrame, there: DataFrame) -> DataFrame:
+    """(run, script, audio, missing): what of each current run an earlier one left whole.
+
+    stored, current: run, stage, component, fingerprint.  segments: run, path, the audio files that a run's manifest names;
+    there: path, the files that exist.  A script holds if all its components are unchanged and ``<run>/script/panels.json``
+    exists; audio holds only with its script, if its own components are unchanged, the manifest
+    ``<run>/audio/segments.json`` exists and no segment's file is ``missing``.
+    """
+    keys = ["run", "stage", "component"]
+    old, new = stored.select(*keys, F.col("fingerprint").alias("_old")), current.select(*keys, F.col("fingerprint").alias("_new"))
+    same = old.join(new, keys, "full").groupBy("run").agg(*[F.coalesce(F.bool_and(F.when(F.col("stage") == s, F.col("_old").eqNullSafe(F.col("_new")))), F.lit(False)).alias(f"_{s}") for s in ("script", "audio")])
+    # What a run consists of: its two checkpoints and its segments, each there or not.
+    runs = current.select("run").distinct()
+    wanted = segments.select("run", "path", F.lit("segment").alias("kind")).distinct()
+    for kind, name in (("script", "/script/panels.json"), ("audio", "/audio/segments.json")):
+        wanted = wanted.unionByName(runs.select("run", F.concat("run", F.lit(name)).alias("path"), F.lit(kind).alias("kind")))
+    gone = wanted.join(there.select("path"), "path", "left_anti").groupBy("run").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"_no_{k}") for k in ("script", "audio")], F.count_if(F.col("kind") == "segment").alias("missing"))
+    every = runs.join(same, "run").join(gone, "run", "left").na.fill(0)
+    script = F.col("_script") & (F.col("_no_script") == 0)
+    return every.select("run", script.alias("script"), (script & F.col("_audio") & (F.col("_no_audio") == 0) & (F.col("missing") == 0)).alias("audio"), "missing")
+
+
 def from_json(files: DataFrame) -> DataFrame:
     """(run, stage, component, fingerprint) of (run, json); a config that can't be read holds nothing."""
     stages = files.select("run", F.explode(F.from_json("json", "map<string,map<string,string>>")).alias("stage", "parts"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import reviewed
+
 NARRATOR = "Narrator"
 
 
@@ -71,6 +73,24 @@ def review_chunks(panels: DataFrame, size: int = 40) -> DataFrame:
     return rows.join(seen, ["volume", "chunk"])
 
 
+REVIEW = "panels array<struct<panel: long not null, blocks: array<string> not null>> not null"
+
+
+def review(panels: DataFrame, answers: DataFrame) -> DataFrame:
+    """Panels after a reviewer's answers: (volume, panel, chunk, labels_seen, blocks, changed, answered).
+
+    panels: as of ``review_chunks``, with blocks; answers: (volume, chunk, raw).  An answer is a text that holds an object
+    of ``REVIEW``; one that breaks it anywhere is no answer, so its whole chunk stays.  Of a panel that an answer names
+    twice the last counts; panels of other chunks are left alone.
+    """
+    read = answers.select("volume", "chunk", reviewed(F.col("raw"), REVIEW).alias("r")).where("r is not null")
+    rows = read.select("volume", "chunk", F.posexplode("r.panels").alias("at", "p")).select("volume", "chunk", F.col("p.panel").alias("panel"), "at", "p.blocks")
+    last = rows.groupBy("volume", "chunk", "panel").agg(F.max_by("blocks", "at").alias("blocks"))
+    own = last.join(panels.select("volume", "chunk", "panel"), ["volume", "chunk", "panel"], "left_semi")
+    merged = review_patch(panels, own)
+    return merged.join(read.select("volume", "chunk", F.lit(True).alias("answered")).distinct(), ["volume", "chunk"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
 def summary(blocks: DataFrame) -> DataFrame:
     """Blocks and effects of each speaker, most frequent first, then first seen."""
     rows = blocks.groupBy("speaker_id").agg(F.count("*").alias("blocks"), F.count("sfx").alias("effects"), F.min(F.struct("volume", "pos")).alias("first"))

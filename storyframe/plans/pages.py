@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import options
-from ..operators import masks, outputs, pacing
+from ..operators import casting, checkpoint, masks, narration, outputs, pacing
 from ..sources import archives, files, sinks
 from ..sources.shared import folder
 from ..sources.tables import blocks, segments, table
-from .queries import query
+from .queries import _PANELS, _panels, query
 
 _GRID = "g as (select vec_id, k // 8 as r, k % 8 as c, x > -0.1::double as bright, x < -0.2::double as dark from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as k from embeddings))"
 
@@ -103,3 +103,67 @@ def transcript_files(spark, d):
     outputs.write_transcript(at, marked, pacing.statistics(rows.withColumn("words", F.lit(1))), document)
     lines = spark.read.text(f"{sinks.current(spark, at)}/*/transcript.md", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("k", "line"))
     return lines.select(F.regexp_extract("path", r"([^/]+)/transcript\.md$", 1).alias("file"), (F.col("k") + 1).cast("long").alias("line"), F.substring("line", 11, 100).alias("text"))
+
+
+@query(f"""with {_PANELS}, c as (select *, (row_number() over (partition by volume order by panel) - 1) // 2 as chunk from panels),
+a as (select volume, chunk, bool_and(length(blocks[1]) % 5 <> 0) as fits from c group by all)
+select volume, panel, chunk, coalesce((select string_agg(s, ',' order by s) from (select distinct unnest(speakers) as s from c b where b.volume = c.volume and b.chunk < c.chunk)), '') as labels_seen,
+  case when fits and length(blocks[1]) % 3 <> 0 then array_to_string(list_transform(blocks, lambda x: x || '!'), '|') else array_to_string(blocks, '|') end as text, fits as answered, fits and length(blocks[1]) % 3 <> 0 as changed
+from c join a using (volume, chunk)""")
+def review_loop(spark, d):
+    """Chunks with the labels before them, answers that are whole or nothing, and their patches.
+
+    An answer gives blocks with a mark, none for some panels; where a chunk's first block has a length of a multiple of
+    five, the answer names a panel by a text, which breaks it.
+    """
+    rows = narration.review_chunks(_panels(spark, d), 2)
+    length = F.length(F.get("blocks", F.lit(0)))
+    given = F.when(length % 3 == 0, F.array().cast("array<string>")).otherwise(F.transform("blocks", lambda x: F.concat(x, F.lit("!"))))
+    named = F.when(length % 5 == 0, F.concat(F.lit('"'), F.col("panel").cast("string"), F.lit('"'))).otherwise(F.col("panel").cast("string"))
+    item = F.concat(F.lit('{"panel": '), named, F.lit(', "blocks": '), F.to_json(given), F.lit("}"))
+    answers = rows.groupBy("volume", "chunk").agg(F.concat(F.lit('Here: {"panels": ['), F.array_join(F.array_sort(F.collect_list(item)), ", "), F.lit("]}.")).alias("raw"))
+    found = narration.review(rows, answers)
+    return found.select("volume", "panel", "chunk", F.array_join("labels_seen", ",").alias("labels_seen"), F.array_join("blocks", "|").alias("text"), "answered", "changed")
+
+
+@query("""with recursive n as (select user_id as volume, event_type as speaker_id, case floor(value)::bigint % 3 when 0 then 'homem' when 1 then 'mulher' end as voice, count(*) as n, min(event_id) as first from events group by all),
+p as (select distinct on (volume, speaker_id) volume, speaker_id, voice as profile from n order by volume, speaker_id, voice is null, n desc, first),
+kept as (select volume, speaker_id, 'B' as voice from p where speaker_id = 'view' and volume % 2 = 0 union all select distinct volume, 'ghost', 'E' from p where volume % 3 = 0),
+c as (select *, row_number() over (partition by volume order by speaker_id) as r, case profile when 'homem' then ['A', 'B', 'C'] when 'mulher' then ['D', 'E'] else ['Z', 'Y'] end as pool, ('0x' || substr(sha1(speaker_id), 1, 4))::bigint as h
+  from p where not exists (select 1 from kept k where k.volume = p.volume and k.speaker_id = p.speaker_id)),
+q as (select *, list_concat(pool[(h % len(pool))::int + 1:], pool[:(h % len(pool))::int]) as turn from c),
+t(volume, r, speaker_id, voice, used) as (select v.volume, 0::bigint, null::varchar, null::varchar, coalesce((select list(voice) from kept k where k.volume = v.volume), []::varchar[]) from (select distinct volume from p) v
+  union all select volume, r, speaker_id, voice, list_append(used, voice) from (
+    select q.volume, q.r, q.speaker_id, t.used, case when q.speaker_id = 'purchase' then 'Curated' else coalesce(list_filter(q.turn, lambda v: not list_contains(t.used, v))[1], q.turn[1]) end as voice from t join q on q.volume = t.volume and q.r = t.r + 1))
+select volume, speaker_id, voice from t where r > 0 union all select volume, speaker_id, voice from kept""")
+def kept_voices_fold(spark, d):
+    """Users as volumes, event types as speakers; kept assignments, a curated voice, banks, a fallback."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("volume"), F.col("event_type").alias("speaker_id"), F.col("event_id").alias("pos"), F.floor("value").alias("v"))
+    profiles = casting.majority_profile(rows.withColumn("voice", F.when(F.col("v") % 3 == 0, "homem").when(F.col("v") % 3 == 1, "mulher")))
+    kept = profiles.where("speaker_id = 'view' and volume % 2 = 0").select("volume", "speaker_id", F.lit("B").alias("voice"))
+    kept = kept.unionByName(profiles.where("volume % 3 = 0").select("volume", F.lit("ghost").alias("speaker_id"), F.lit("E").alias("voice")).distinct())
+    return casting.cast_voices(profiles, {"purchase": "Curated"}, {"homem": ["A", "B", "C"], "mulher": ["D", "E"]}, ["Z", "Y"], kept)
+
+
+@query("""with r as (select conv_id::varchar as run, count(*) as n, count(*) filter (role = 'system') as systems, count(*) filter (length(text) <= 60) as missing from conversations group by 1)
+select run, systems = 0 and n >= 2 as script, systems = 0 and n >= 2 and n % 2 = 0 and missing = 0 as audio, missing from r""")
+def resumable_runs(spark, d):
+    """F16, C11: which runs hold, by the fingerprints of their engines and by the files that they left.
+
+    A run's reviewer was another one where a system turn is there, its voice engine where the turns are odd; the files of
+    short turns, and the scripts of single turns, weren't written.
+    """
+    c = table(spark, d, "conversations").withColumn("run", F.col("conv_id").cast("string"))
+    runs = c.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "system").alias("systems"))
+    parts = [("script", x) for x in ("page_extractor", "layout_parser", "ocr_engine", "vlm_engine", "reviewer")] + [("audio", x) for x in ("tts_engine", "sfx_tags", "announce_speakers")]
+    every = runs.withColumn("p", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(x).alias("component")) for s, x in parts]))).select("run", "n", "systems", "p.*")
+    current = every.select("run", "stage", "component", F.concat("component", F.lit(":1")).alias("fingerprint"))
+    other = ((F.col("component") == "reviewer") & (F.col("systems") > 0)) | ((F.col("component") == "tts_engine") & (F.col("n") % 2 == 1))
+    stored = every.select("run", "stage", "component", F.concat("component", F.when(other, ":0").otherwise(":1")).alias("fingerprint"))
+    segments_ = c.select("run", "text", F.concat("run", F.lit("/audio/"), F.lpad(F.col("turn").cast("string"), 5, "0"), F.lit(".wav")).alias("path"))
+    left = segments_.where(F.length("text") > 60).select("path", F.col("text").cast("binary").alias("content"))
+    for name, which in (("/script/panels.json", "n >= 2"), ("/audio/segments.json", "n >= 1")):
+        left = left.unionByName(runs.where(which).select(F.concat("run", F.lit(name)).alias("path"), F.lit("[]").cast("binary").alias("content")))
+    at = f"{folder(spark)}/runs-{uuid.uuid4().hex}"
+    sinks.write_files(left.withColumn("part", F.lit(0)), at)
+    return checkpoint.resumable(stored, current, segments_.select("run", "path"), checkpoint.listing(spark, sinks.current(spark, at)))

@@ -82,22 +82,37 @@ def promote(files: DataFrame) -> DataFrame:
     return files.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a store, its path and the one it is put aside to."""
+    jvm = spark.sparkContext._jvm
+    at, aside = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".old"))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, aside
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """A label store; where a replacement was cut off between its two renames, the store as it was before."""
+    fs, at, aside = _store(spark, path)
+    return spark.read.parquet(path if fs.exists(at) or not fs.exists(aside) else path.rstrip("/") + ".old")
+
+
 def replace_store(rows: DataFrame, path: str, staging: str) -> None:
     """Write a label store beside the old one, then put it in its place.
 
-    The old store is renamed aside, and deleted only when the new one is there: a crash in between leaves either whole.
+    The old store is renamed aside, and deleted only when the new one is there.  A crash between the renames leaves the
+    old one aside, where ``read_store`` finds it; the next replacement first puts it back.
     """
     rows.write.mode("overwrite").parquet(staging)
-    jvm, spark = rows.sparkSession.sparkContext._jvm, rows.sparkSession
-    p, q = (jvm.org.apache.hadoop.fs.Path(x) for x in (staging, path))
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
-    if fs.exists(q):
+    spark = rows.sparkSession
+    fs, at, aside = _store(spark, path)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+    if not fs.exists(at) and fs.exists(aside):
+        fs.rename(aside, at)
+    if fs.exists(at):
         fs.delete(aside, True)
-        if not fs.rename(q, aside):
+        if not fs.rename(at, aside):
             raise OSError(f"{path} couldn't be renamed aside")
-    if not fs.rename(p, q):
-        fs.rename(aside, q)
+    if not fs.rename(new, at):
+        fs.rename(aside, at)
         raise OSError(f"{staging} couldn't be renamed to {path}")
     fs.delete(aside, True)
 

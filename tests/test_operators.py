@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storyframe.functions import geometry as G
 from storyframe.functions import options
+from storyframe.functions.blocks import reviewed
 from storyframe.functions.audio import read_wav, resampled, write_wav
 from storyframe.operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, narration, outputs, pacing
 from storyframe.sources import files
@@ -221,3 +222,32 @@ def test_queries_have_the_columns_of_their_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_a_review_is_whole_or_nothing(spark):
+    whole = '{"panel": 3, "blocks": ["a"], "more": 1}'
+    texts = [whole, "So: " + whole + " done", '{"panel": "3", "blocks": ["a"]}', '{"panel": 3, "blocks": [1]}', '{"blocks": ["a"]}', '{"panel": 3.5, "blocks": []}', '{"panel": 3, "blocks": null}', "{" + whole, "[]", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    kept = rows.select("k", reviewed(rows.t, "panel long not null, blocks array<string> not null, note struct<x:double,y:boolean>").alias("r")).where("r is not null").collect()
+    assert [(r.k, r.r.panel, r.r.blocks, r.r.note) for r in kept] == [(0, 3, ["a"], None), (1, 3, ["a"], None)]
+    panels = spark.createDataFrame([("v", p, 0 if p < 2 else 1, ["x"]) for p in range(4)], "volume string, panel int, chunk long, blocks array<string>")
+    answers = spark.createDataFrame([("v", 0, '{"panels": [{"panel": 0, "blocks": ["a"]}, {"panel": 0, "blocks": ["b"]}, {"panel": 3, "blocks": ["c"]}, {"panel": 1, "blocks": []}]}'), ("v", 1, '{"panels": [{"panel": 2, "blocks": ["d"]}, {"panel": "3", "blocks": ["e"]}]}')], "volume string, chunk long, raw string")
+    got = narration.review(panels, answers).orderBy("panel").collect()
+    assert [(r.blocks, r.changed, r.answered) for r in got] == [(["b"], True, True), (["x"], False, True), (["x"], False, False), (["x"], False, False)]
+
+
+def test_runs_hold_by_configs_and_files(spark):
+    parts = [("script", "vlm"), ("audio", "tts")]
+    current = spark.createDataFrame([(r, s, c, "1") for r in "abcdef" for s, c in parts], "run string, stage string, component string, fingerprint string")
+    stored = current.where("run <> 'e'").withColumn("fingerprint", F.when((F.col("run") == "b") & (F.col("stage") == "audio"), "0").when((F.col("run") == "f") & (F.col("stage") == "script"), "0").otherwise(F.col("fingerprint")))
+    segments = spark.createDataFrame([(r, f"{r}/audio/{k}.wav") for r in "abcdef" for k in range(2)], "run string, path string")
+    files_ = [f"{r}/audio/{k}.wav" for r in "abcdef" for k in range(2) if (r, k) != ("c", 1)] + [f"{r}/{n}" for r in "abcdef" for n in ("script/panels.json", "audio/segments.json") if (r, n) != ("d", "script/panels.json")]
+    got = checkpoint.resumable(stored, current, segments, spark.createDataFrame([(f,) for f in files_], "path string")).collect()
+    assert {r.run: (r.script, r.audio, r.missing) for r in got} == {"a": (True, True, 0), "b": (True, False, 0), "c": (True, False, 1), "d": (False, False, 0), "e": (False, False, 0), "f": (False, False, 0)}
+
+
+def test_kept_and_curated_voices_are_in_use(spark):
+    p = spark.createDataFrame([("v", s, "homem") for s in ("ana", "bia", "cy", "di")] + [("w", "x", None)], "volume string, speaker_id string, profile string")
+    kept = spark.createDataFrame([("v", "zed", "A"), ("v", "bia", "B"), ("u", "old", "Q"), ("v", "cy", None)], "volume string, speaker_id string, voice string")
+    got = {(r.volume, r.speaker_id): r.voice for r in casting.cast_voices(p, {"ana": "C"}, {"homem": ["A", "B", "C", "D"]}, ["Z"], kept).collect()}
+    assert got["v", "zed"] == "A" and got["v", "bia"] == "B" and got["v", "ana"] == "C" and got["v", "cy"] == "D" and got["v", "di"] in "ABCD" and got["w", "x"] == "Z" and got["u", "old"] == "Q" and len(got) == 7

@@ -107,3 +107,12 @@ def test_scripts_round_trip(spark, tmp_path):
     files.write_script(panels, f"file://{tmp_path}/s")
     back = files.read_script(spark, sinks.current(spark, f"file://{tmp_path}/s"))
     assert [(r.volume, r.page, r.pos, r.text, r.sfx) for r in back.orderBy("pos").collect()] == [("v", 1, 0, "a", None), ("v", 1, 1, "b", "door"), ("v", 2, 2, "c", None)]
+
+
+def test_a_store_cut_off_between_renames_is_found_and_kept(spark, tmp_path):
+    at, staging = f"{tmp_path}/store", f"{tmp_path}/staging"
+    files.replace_store(spark.createDataFrame([(1,)], "k int"), at, staging)
+    (tmp_path / "store").rename(tmp_path / "store.old")
+    assert [r.k for r in files.read_store(spark, at).collect()] == [1]
+    files.replace_store(spark.createDataFrame([(2,)], "k int"), at, staging)
+    assert [r.k for r in files.read_store(spark, at).collect()] == [2] and not (tmp_path / "store.old").exists()
