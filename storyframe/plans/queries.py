@@ -586,9 +586,41 @@ def numbered_detections(spark, d):
     return boxes(spark, d).where("l_partkey % 10 >= 4").select("page", "l_linenumber", "l_partkey", "l_suppkey", F.row_number().over(w).cast("long").alias("number"))
 
 
-@query()
+@query(f"""with recursive {_BOXES}, b as (select page, l_linenumber || ':' || l_partkey || ':' || l_suppkey as box, x0::bigint as x0, y0::bigint as y0, x1::bigint as x1, y1::bigint as y1 from boxes),
+region(page, path, ord, box, x0, y0, x1, y1, whole) as (
+  select page, '', row_number() over (partition by page order by y0, x0, x1, y1, box), box, x0, y0, x1, y1, false from b
+  union all
+  select page, path || case when rows > 0 then lpad(row::varchar, 4, '0') when room is not null then case when col < cut then '1' else '0' end else '' end,
+    case when rows > 0 then row_number() over (partition by page, path order by y0, y1, ord) when room is not null then row_number() over (partition by page, path order by x0, x1, ord) else ord end,
+    box, x0, y0, x1, y1, rows = 0 and room is null
+  from (select *, min(case when gap = room then col end) over (partition by page, path) as cut from (
+    select *, max(row) over (partition by page, path) as rows, max(gap) over (partition by page, path) as room from (
+      select *, sum((below >= 0)::int) over (partition by page, path order by y0, y1, ord rows unbounded preceding) as row, sum((beside >= 0)::int) over (partition by page, path order by x0, x1, ord rows unbounded preceding) as col, case when beside >= 0 then beside end as gap from (
+        select *, coalesce(y0 - max(y1) over (partition by page, path order by y0, y1, ord rows between unbounded preceding and 1 preceding), -1) as below,
+          coalesce(x0 - max(x1) over (partition by page, path order by x0, x1, ord rows between unbounded preceding and 1 preceding), -1) as beside
+        from region where not whole))))),
+leaf as materialized (select *, row_number() over (partition by page, path order by y0, ord) as j from region where whole),
+band(page, path, j, lows, highs, box, k) as (
+  select distinct page, path, 0::bigint, []::bigint[], []::bigint[], null::varchar, 0::bigint from leaf
+  union all
+  select page, path, j, case when fit = 0 then list_append(lows, y0) else list_transform(lows, lambda v, i: case when i = fit then least(v, y0) else v end) end,
+    case when fit = 0 then list_append(highs, y1) else list_transform(highs, lambda v, i: case when i = fit then greatest(v, y1) else v end) end, box, case when fit = 0 then len(lows) + 1 else fit end
+  from (select t.page, t.path, l.j, t.lows, t.highs, l.box, l.y0, l.y1,
+      coalesce(list_position(list_transform(t.lows, lambda v, i: least(t.highs[i], l.y1) - greatest(v, l.y0) > 0.5 * least(t.highs[i] - v, l.y1 - l.y0)), true), 0) as fit
+    from band t join leaf l on l.page = t.page and l.path = t.path and l.j = t.j + 1)),
+mine as materialized (select l.page, l.path, band.k as band, l.box, l.ord, l.j as place, l.x0, l.y0, l.x1, row_number() over (partition by l.page, l.path, band.k order by l.x0, l.j) as j from leaf l join band on band.page = l.page and band.path = l.path and band.j = l.j),
+part(page, path, band, j, lows, highs, box, k) as (
+  select distinct page, path, band, 0::bigint, []::bigint[], []::bigint[], null::varchar, 0::bigint from mine
+  union all
+  select page, path, band, j, case when fit = 0 then list_append(lows, x0) else list_transform(lows, lambda v, i: case when i = fit then least(v, x0) else v end) end,
+    case when fit = 0 then list_append(highs, x1) else list_transform(highs, lambda v, i: case when i = fit then greatest(v, x1) else v end) end, box, case when fit = 0 then len(lows) + 1 else fit end
+  from (select t.page, t.path, t.band, l.j, t.lows, t.highs, l.box, l.x0, l.x1,
+      coalesce(list_position(list_transform(t.lows, lambda v, i: least(t.highs[i], l.x1) - greatest(v, l.x0) > 0.5 * least(t.highs[i] - v, l.x1 - l.x0)), true), 0) as fit
+    from part t join mine l on l.page = t.page and l.path = t.path and l.band = t.band and l.j = t.j + 1)),
+read as (select m.*, part.k as part, avg(m.x0 + m.x1) over (partition by m.page, m.path, m.band, part.k) as middle from mine m join part on part.page = m.page and part.path = m.path and part.band = m.band and part.j = m.j)
+select b.page, b.box, b.x0, b.y0, b.x1, b.y1, (row_number() over (partition by b.page order by r.path, r.band, r.middle desc, r.part, r.y0, r.x0, r.place) - 1)::int as rank from read r join b on b.page = r.page and b.box = r.box""")
 def reading_order(spark, d):
-    """C6 (T1): boxes of each page in right-to-left order (tested against goldens)."""
+    """C6 (T1, W8, W9): boxes of each page in right-to-left order; the SQL refines a key path level by level."""
     rows = boxes(spark, d).withColumn("box", F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey"))
     return layout.reading_order(rows.select("page", "box", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")]), ["page"])
 
