@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from .lexicon import CUE_PHRASES, CUE_WORDS, VERB_ENDINGS
 
@@ -97,14 +94,30 @@ def slug(c: Column, default: str | None = None) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(default))
 
 
+def _bare(t: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).casefold()
+
+
 def folded(t: str) -> str:
-    return " ".join("".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).casefold().split())
+    return " ".join(_bare(t).split())
+
+
+# Latin letters and combining marks, with what stays of each: by rule, from the Unicode data.
+_LATIN = [chr(k) for low, high in ((0xA0, 0x250), (0x300, 0x370), (0x1E00, 0x1F00)) for k in range(low, high)]
+_ONE = "".join(c for c in _LATIN if len(_bare(c)) == 1) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NONE = "".join(c for c in _LATIN if _bare(c) == "")
+_MANY = {c: _bare(c) for c in _LATIN if len(_bare(c)) > 1}
+# What separates words in Unicode, and four separators. Fixed values.
+_BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-@pandas_udf(StringType())
-def fold(s: pd.Series) -> pd.Series:
-    """Key without accents, case and repeated blanks."""
-    return s.map(lambda t: None if t is None else folded(t))
+def fold(c: Column | str) -> Column:
+    """Key without accents, case and repeated blanks, in expressions: Latin script as ``folded``, others in lower case."""
+    c = F.col(c) if isinstance(c, str) else c
+    for letter, plain in _MANY.items():
+        c = F.replace(c, F.lit(letter), F.lit(plain))
+    plain = F.translate(c, _ONE + _NONE, "".join(map(_bare, _ONE)))
+    return F.btrim(F.regexp_replace(F.lower(plain), _BLANKS, " "))
 
 
 def arc_slug(c: Column) -> Column:

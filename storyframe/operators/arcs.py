@@ -34,10 +34,14 @@ def shifted(arcs: DataFrame, offset: float) -> DataFrame:
 
 
 def find(arcs: DataFrame, title: str) -> DataFrame:
-    """The arc whose title contains ``title`` without regard to case and accents; exact before earliest."""
+    """The arc whose title contains ``title`` without regard to case and accents; exact before earliest.
+
+    Keys of Latin script are compared as they are, others by a collation without case and accents.
+    """
     wanted = folded(title)
-    rows = arcs.withColumn("_t", fold("title")).where(F.contains(F.col("_t"), F.lit(wanted)) & F.lit(wanted != ""))
-    return rows.orderBy(F.desc(F.col("_t") == wanted), "start_s").limit(1).drop("_t")
+    key = F.collate(F.col("_t"), "UNICODE_CI_AI")
+    rows = arcs.withColumn("_t", fold("title")).where(F.contains(key, F.collate(F.lit(wanted), "UNICODE_CI_AI")) & F.lit(wanted != ""))
+    return rows.orderBy(F.desc(key == F.collate(F.lit(wanted), "UNICODE_CI_AI")), "start_s").limit(1).drop("_t")
 
 
 def headings(segments: DataFrame, by: list[str], order: list[str], arc: str = "title") -> DataFrame:

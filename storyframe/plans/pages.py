@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import options
+from ..functions import text as T
 from ..operators import casting, checkpoint, masks, narration, outputs, pacing
 from ..sources import archives, files, sinks
 from ..sources.shared import folder
@@ -167,3 +168,11 @@ def resumable_runs(spark, d):
     at = f"{folder(spark)}/runs-{uuid.uuid4().hex}"
     sinks.write_files(left.withColumn("part", F.lit(0)), at)
     return checkpoint.resumable(stored, current, segments_.select("run", "path"), checkpoint.listing(spark, sinks.current(spark, at)))
+
+
+@query(r"""with f as (select doc_id, replace(replace(strip_accents(lower(coalesce(text, ''))), 'ß', 'ss'), 'ŀ', 'l') as t from documents)
+select doc_id, md5(trim(regexp_replace(t, '[\t-\r\x{1c}-\x{20}\x{85}\x{a0}]+', ' ', 'g'))) as folded, coalesce(nullif(trim(regexp_replace(t, '[^a-z0-9]+', '_', 'g'), '_'), ''), 'arco') as slug from f""")
+def accent_keys(spark, d):
+    """Keys without accents, case and repeated blanks, and slugs, of whole texts."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.fold(text)).alias("folded"), T.arc_slug(text).alias("slug"))

@@ -71,3 +71,15 @@ def test_block_fields_and_fallback(spark):
     rows = spark.createDataFrame([("none", ["Berserk!", " "])], "raw string, texts array<string>")
     got = rows.select(blocks_or_plain(F.col("raw"), F.col("texts")).alias("b")).first().b
     assert [(x.text, x.speaker_id, x.is_speech) for x in got] == [("Berserk!", "Desconhecido", True)]
+
+
+def test_keys_of_latin_script_are_those_of_the_unicode_data(spark):
+    words = ["Ação  É\u00a0Olá", "STRASSE Straße ẞ", "Łódź Øre Æther œuvre ĳ ŉ Ǆ", "e\u0301 n\u0303", "Ệ ǟ ȱ ṩ", "\x1c a\x1f\u2003b \u3000", "", None]
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string")
+    got = {r.k: r.f for r in rows.select("k", T.fold("w").alias("f")).collect()}
+    assert got == {k: None if w is None else T.folded(w) for k, w in enumerate(words)}
+    every = "".join(chr(c) for c in [*range(32, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00)])
+    one = spark.createDataFrame([(every,)], "w string").select(T.fold("w").alias("f"), T.fold("w").alias("g")).first().f
+    assert one == T.folded(every)
+    plan = rows.select(T.fold("w"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
