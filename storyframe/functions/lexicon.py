@@ -29,3 +29,12 @@ CUE_WORDS = frozenset((
 ))
 CUE_PHRASES = ("de repente", "naquele momento", "nesse instante", "por um instante", "ao longe", "em meio", "diante de", "sem dizer", "ao mesmo tempo", "em silêncio", "a passos", "no meio da")
 VERB_ENDINGS = ("ou", "eu", "iu", "ava", "avam", "iam", "ando", "endo", "indo")
+
+# Labels of the audio model, in its order, with the effect tag of each. Fixed values.
+AUDIO_LABELS = {
+    "sword clash": "espada", "sword slash": "espada", "metal blade": "espada", "explosion": "explosao", "cannon blast": "explosao",
+    "punch impact": "soco", "body hit": "soco", "monster roar": "monstro", "animal growl": "monstro", "fire crackling": "fogo",
+    "wind blowing": "vento", "human scream": "grito", "footsteps": "passos", "thunder": "trovao", "door creaking": "porta",
+    "rain falling": "chuva", "water splash": "agua", "horse galloping": "cavalo", "crowd murmur": "multidao", "bell tolling": "sino",
+    "arrow whoosh": "flecha",
+}

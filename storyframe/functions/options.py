@@ -26,6 +26,19 @@ def device(wanted: Column, compute: Column, has_gpu: Column) -> tuple[Column, Co
     return on, F.when(compute == "auto", F.when(on == "cuda", "float16").otherwise("int8")).otherwise(compute)
 
 
+def styled(rows: DataFrame, styles: DataFrame, name: str = "style") -> DataFrame:
+    """Rows with the settings of their style, found without regard to case and outer blanks; an unknown one is an error.
+
+    styles: style and its settings; few, and told apart by name.
+    """
+    asked = F.lower(F.trim(name))
+    known = styles.select(F.col("style").alias("_style"), F.struct(*[c for c in styles.columns if c != "style"]).alias("_s"))
+    met = rows.join(known, asked == F.col("_style"), "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown style "), F.coalesce(F.col(name), F.lit("null"))))
+    found = F.when(F.col("_style").isNull(), unknown.cast(met.schema["_s"].dataType)).otherwise(F.col("_s"))
+    return met.withColumn("_s", found).select(*[F.col(c) for c in rows.columns], *[F.col("_s")[c].alias(c) for c in styles.columns if c != "style"])
+
+
 def music(wanted: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
     """(by, path): the music file of the wanted name, the first suffix that is there; null without a name or a file.
 

@@ -41,6 +41,30 @@ def sweep_lines(sweep: DataFrame) -> DataFrame:
     return sweep.select("accept", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def evaluation_text(volume: str, embedder: str, strategy: str, margin: float, totals: DataFrame, per_name: DataFrame, confusions: DataFrame, sweep: DataFrame) -> DataFrame:
+    """One row (document): an evaluation's headline figures, its names, its confusions and its thresholds, as Markdown.
+
+    totals, per_name, confusions, sweep: as ``gallery`` gives them; names and thresholds are few.
+    """
+    unnamed = F.coalesce(F.try_divide("unnamed", "known"), F.lit(0.0))
+    # Wording: fixed values.
+    head = totals.select(F.concat(
+        F.lit(f"# Identidade de personagens — {volume} — {embedder}\n\nEstratégia `{strategy}`, margem {margin:.2f}, leave-one-out sobre "), F.col("known").cast("string"), F.lit(" recortes nomeados + "), F.col("extras").cast("string"),
+        F.lit(" figurantes.\n\n**Acurácia de nomeação: "), percent(F.col("accuracy")), F.lit("** · desconhecido: "), percent(unnamed),
+        F.when(F.col("extras_rejected").isNull(), "").otherwise(F.concat(F.lit(" · figurantes rejeitados: "), percent(F.col("extras_rejected")))), F.lit("\n\n| Personagem | recortes | acertos | desconhecido |\n|---|---|---|---|\n")).alias("head"))
+    names = name_table(per_name).select(F.when(F.col("table") == "", "").otherwise(F.concat("table", F.lit("\n"))).alias("names"))
+    pair = F.concat("truth", F.lit(" -> "), "name", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    mixed = confusions.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "truth", "name", pair.alias("pair")))).alias("c"))
+    mixed = mixed.select(F.when(F.size("c") > 0, F.concat(F.lit("\nConfusões: "), F.array_join(F.transform("c", lambda x: x["pair"]), ", "), F.lit("\n"))).otherwise("").alias("mixed"))
+    steps = sweep_lines(sweep).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("accept", "line"))), lambda x: x["line"]), "\n").alias("steps"))
+    title = "\n| aceite | acurácia | desconhecido | figurantes rejeitados |\n|---|---|---|---|\n"
+    rows = [head.select(F.lit(0).alias("k"), F.col("head").alias("t")), names.select(F.lit(1), "names"), mixed.select(F.lit(2), "mixed"), steps.select(F.lit(3), F.concat(F.lit(title), "steps", F.lit("\n")))]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.union(r)
+    return both.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("document"))
+
+
 @pandas_udf(StringType())
 def _registry_json(voices: pd.Series) -> pd.Series:
     return voices.map(lambda v: None if v is None else json.dumps({x["speaker_id"]: x["voice"] for x in v}, sort_keys=True))

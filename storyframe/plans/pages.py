@@ -9,13 +9,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import options
+from ..functions import options, prompts
 from ..functions import text as T
-from ..operators import casting, checkpoint, masks, narration, outputs, pacing
+from ..operators import casting, checkpoint, gallery, masks, models, narration, outputs, pacing
 from ..sources import archives, files, sinks
 from ..sources.shared import folder
 from ..sources.tables import blocks, segments, table
-from .queries import _PANELS, _panels, query
+from .more import _NAMED, _matches
+from .queries import _PANELS, _crops, _panels, query
 
 _GRID = "g as (select vec_id, k // 8 as r, k % 8 as c, x > -0.1::double as bright, x < -0.2::double as dark from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as k from embeddings))"
 
@@ -176,3 +177,49 @@ def accent_keys(spark, d):
     """Keys without accents, case and repeated blanks, and slugs, of whole texts."""
     text = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.md5(T.fold(text)).alias("folded"), T.arc_slug(text).alias("slug"))
+
+
+@query(r"""with p as (select p_brand, p_name, p_size, 'm/' || replace(p_name, ' ', '-') || '-' || p_size || '.gguf' as model, 'mmproj-' || replace(p_name, ' ', '_') || '.gguf' as file from part),
+m as (select distinct p_brand, model, list_filter(regexp_split_to_array(lower(replace(p_name, ' ', '-') || '-' || p_size), '[^a-z0-9]+'), lambda x: x <> '') as own from p where p_size > 40),
+c as (select *, count(*) over (partition by p_brand) as many from (select distinct p_brand, file from p where p_size <= 3)),
+s as (select p_brand, model, file, case when many = 1 then 0 when contains(lower(replace(file, '.gguf', '')), own[1]) then len(list_filter(own, lambda t: list_contains(regexp_split_to_array(lower(replace(file, '.gguf', '')), '[^a-z0-9]+'), t))) end as score from m join c using (p_brand))
+select p_brand, model, file from s where score is not null qualify score = max(score) over (partition by p_brand, model)""")
+def model_projectors(spark, d):
+    """Parts of a brand as models and projectors of a folder: the family, then the most shared runs; ties stay."""
+    rows = table(spark, d, "part")
+    dashed = F.concat(F.lit("m/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_size").cast("string"), F.lit(".gguf"))
+    made = rows.where("p_size > 40").select("p_brand", dashed.alias("model"))
+    beside = rows.where("p_size <= 3").select("p_brand", F.concat(F.lit("mmproj-"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".gguf")).alias("file"))
+    return models.projectors(made, beside, ["p_brand"])
+
+
+_VOICES = "'[\"homem\",\"mulher\",\"idoso\",\"idosa\",\"menino\",\"menina\",\"criatura\"]'"
+
+
+@query(f"""with t as (select conv_id::varchar as volume, list_sort(list(distinct role) filter (role <> 'user')) as tags from conversations group by 1)
+select volume, '{{"type":"array","items":{{"type":"object","properties":{{"text":{{"type":"string"}},"speaker_id":{{"type":"string"}},"is_speech":{{"type":"boolean"}},' ||
+  case when len(coalesce(tags, [])) > 0 then '"sfx":{{"type":"string","enum":["' || array_to_string(tags, '","') || '"]}},' else '' end || '"voice":{{"type":"string","enum":' || {_VOICES} || '}}}},"required":["text","speaker_id","is_speech"],"additionalProperties":false}}}}' as schema from t""")
+def answer_schemas(spark, d):
+    """The schema of each volume's answers, its effects those roles that aren't the user's."""
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("volume")).agg(F.array_sort(F.collect_set(F.when(F.col("role") != "user", F.col("role")))).alias("tags"))
+    return rows.select("volume", F.to_json(prompts.answer_schema(F.col("tags"))).alias("schema"))
+
+
+@query(f"""with {_NAMED},
+e as (select count(*) filter (where g.name <> '9') as known, count(*) filter (where g.name <> '9' and m.name = g.name) as correct, count(*) filter (where g.name <> '9' and m.name is null) as unnamed, count(*) filter (where g.name = '9') as extras, count(*) filter (where g.name = '9' and m.name is null) as rejected from g left join m using (id)),
+p as (select g.name as truth, count(*) as total, count(*) filter (where m.name = g.name) as correct, count(*) filter (where m.name is null) as unnamed from g left join m using (id) where g.name <> '9' group by 1),
+c as (select g.name as truth, m.name as name, count(*) as n from g join m using (id) where g.name <> '9' and m.name <> g.name group by 1, 2),
+w as (select accept, count(*) filter (where g.name <> '9') as known, count(*) filter (where g.name <> '9' and x.name = g.name) as correct, count(*) filter (where g.name <> '9' and x.name is null) as unnamed, count(*) filter (where g.name = '9' and x.name is null) as rejected, count(*) filter (where g.name = '9') as extras
+  from g join (select id, accept, case when score >= accept and score - second >= 0.01 then best end as name from top, (values (0.15::double), (0.25::double)) a(accept)) x using (id) group by accept)
+select '# Identidade de personagens — v1 — e' || chr(10) || chr(10) || 'Estratégia `nearest`, margem 0.01, leave-one-out sobre ' || known || ' recortes nomeados + ' || extras || ' figurantes.' || chr(10) || chr(10)
+  || '**Acurácia de nomeação: ' || printf('%.1f%%', 100 * (correct / known::double)) || '** · desconhecido: ' || printf('%.1f%%', 100 * (unnamed / known::double)) || ' · figurantes rejeitados: ' || printf('%.1f%%', 100 * (rejected / extras::double)) || chr(10) || chr(10)
+  || '| Personagem | recortes | acertos | desconhecido |' || chr(10) || '|---|---|---|---|' || chr(10) || (select string_agg('| ' || truth || ' | ' || total || ' | ' || correct || ' | ' || unnamed || ' |' || chr(10), '' order by truth) from p)
+  || coalesce((select chr(10) || 'Confusões: ' || string_agg(truth || ' -> ' || name || ' (' || n || ')', ', ' order by n desc, truth, name) || chr(10) from c), '')
+  || chr(10) || '| aceite | acurácia | desconhecido | figurantes rejeitados |' || chr(10) || '|---|---|---|---|' || chr(10)
+  || (select string_agg('| ' || printf('%.2f', accept) || ' | ' || printf('%.1f%%', 100 * (correct / known::double)) || ' | ' || printf('%.1f%%', 100 * (unnamed / known::double)) || ' | ' || printf('%.0f%%', 100 * (rejected / extras::double)) || ' |' || chr(10), '' order by accept) from w) as document from e""")
+def evaluation_document(spark, d):
+    """A whole evaluation as one text."""
+    found, truth = _matches(spark, d)
+    crops = _crops(spark, d)
+    steps = gallery.sweep(gallery.scores(crops, crops.where("name <> '9'"), "nearest"), truth, [0.15, 0.25], 0.01, "9")
+    return outputs.evaluation_text("v1", "e", "nearest", 0.01, gallery.evaluate(found, truth, "9"), gallery.per_name(found, truth, "9"), gallery.confusions(found, truth, "9"), steps)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import keys as K
 from ..functions import text as T
-from ..functions import prompts
+from ..functions import options, prompts
 from ..functions.audio import levelled
 from ..functions.blocks import parse_blocks
 from ..functions.lexicon import CORPUS_LEXICON
@@ -676,8 +676,8 @@ def config_cascade(spark, d):
     """Explicit options before those of the style, found without regard to case."""
     style = spark.createDataFrame([("drama", 350, "dark"), ("radio", 200, "off")], "style string, gap int, music string")
     n = F.col("page_id")
-    rows = table(spark, d, "pages").select("page_id", F.lower(F.trim(F.when(n % 2 == 0, " Drama").otherwise("RADIO "))).alias("style"), F.when(n % 3 == 0, 100).alias("own_gap"), F.when(n % 5 == 0, "off").alias("own_music"))
-    return rows.join(style, "style").select("page_id", F.coalesce("own_gap", "gap").alias("gap"), F.nullif(F.coalesce("own_music", "music"), F.lit("off")).alias("music"))
+    rows = table(spark, d, "pages").select("page_id", F.when(n % 2 == 0, " Drama").otherwise("RADIO ").alias("style"), F.when(n % 3 == 0, 100).alias("own_gap"), F.when(n % 5 == 0, "off").alias("own_music"))
+    return options.styled(rows, style).select("page_id", F.coalesce("own_gap", "gap").alias("gap"), F.nullif(F.coalesce("own_music", "music"), F.lit("off")).alias("music"))
 
 
 @query("with a as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select *, list_max(list_transform(v, lambda x: abs(x))) as peak from a) select vec_id, list_sum(list_transform(v, lambda x: trunc(greatest(-1.0, least(1.0, x * (0.75 / peak))) * 32767)::bigint))::bigint as total, 32767 * 3 // 4 as top from p")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .functions.lexicon import AUDIO_LABELS
+
 
 def text_stage(load: Callable[[], Callable[[list[bytes]], list[str]]]):
     """binary -> text (recognition): the model is loaded once per task and fed whole batches."""
@@ -66,7 +68,7 @@ def stub_embedding(size: int = 16) -> Callable[[list[bytes]], list[list[float]]]
     return lambda rows: [one(b) for b in rows]
 
 
-def suggestions(scored: DataFrame, tags: dict[str, str], known: list[str], least: float = 0.30, most: int = 3) -> DataFrame:
+def suggestions(scored: DataFrame, tags: dict[str, str] = AUDIO_LABELS, known: list[str] = (), least: float = 0.30, most: int = 3) -> DataFrame:
     """Audio tags (file, label, score) mapped to effect tags not yet known, the best ``most`` of each file."""
     from pyspark.sql import Window
 

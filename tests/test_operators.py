@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -5,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyframe.functions import geometry as G
-from storyframe.functions import options
+from storyframe.functions import options, prompts
 from storyframe.functions.blocks import reviewed
 from storyframe.functions.audio import read_wav, resampled, write_wav
-from storyframe.operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, narration, outputs, pacing
+from storyframe.operators import arcs, casting, checkpoint, excerpts, gallery, labels, layout, models, narration, outputs, pacing
 from storyframe.sources import files
-from storyframe.stages import stub_embedding, stub_text, text_stage
+from storyframe.stages import stub_embedding, stub_text, suggestions, text_stage
 
 
 def script(spark, rows):
@@ -251,3 +252,41 @@ def test_kept_and_curated_voices_are_in_use(spark):
     kept = spark.createDataFrame([("v", "zed", "A"), ("v", "bia", "B"), ("u", "old", "Q"), ("v", "cy", None)], "volume string, speaker_id string, voice string")
     got = {(r.volume, r.speaker_id): r.voice for r in casting.cast_voices(p, {"ana": "C"}, {"homem": ["A", "B", "C", "D"]}, ["Z"], kept).collect()}
     assert got["v", "zed"] == "A" and got["v", "bia"] == "B" and got["v", "ana"] == "C" and got["v", "cy"] == "D" and got["v", "di"] in "ABCD" and got["w", "x"] == "Z" and got["u", "old"] == "Q" and len(got) == 7
+
+
+def test_projectors_by_family_and_shared_runs(spark):
+    made = spark.createDataFrame([("a", "m/Qwen3VL-8B-Instruct-Q4_K_M.gguf"), ("b", "m/Gemma-3-4b.gguf"), ("c", "x-x-y.gguf"), ("d", "---.gguf")], "folder string, model string")
+    beside = spark.createDataFrame([("a", "mmproj-Qwen3VL-8B-Instruct-F16.gguf"), ("a", "mmproj-Qwen3VL-4B-Instruct-F16.gguf"), ("a", "mmproj-gemma-8B-Instruct-Q4_K_M.gguf"), ("b", "mmproj-F16.gguf"),
+                                    ("c", "mmproj-x.gguf"), ("c", "mmproj-xx-x.gguf"), ("c", "mmproj-y.gguf"), ("d", "p1.gguf"), ("d", "p2.gguf")], "folder string, file string")
+    got = sorted((r.folder, r.file) for r in models.projectors(made, beside, ["folder"]).collect())
+    assert got == [("a", "mmproj-Qwen3VL-8B-Instruct-F16.gguf"), ("b", "mmproj-F16.gguf"), ("c", "mmproj-x.gguf"), ("c", "mmproj-xx-x.gguf")]
+
+
+def test_requests_and_styles(spark):
+    one = spark.createDataFrame([('m"1', "be brief", 'a "b"\n', ["data:x"], ["door"])], "m string, s string, t string, u array<string>, tags array<string>")
+    full = one.select(prompts.request(one.m, one.s, one.t, prompts.answer_schema(one.tags), one.u).alias("r")).first().r
+    body = json.loads(full)
+    assert body["model"] == 'm"1' and body["max_tokens"] == 2048 and body["messages"][0] == {"role": "system", "content": "be brief"}
+    assert body["messages"][1]["content"] == [{"type": "image_url", "image_url": {"url": "data:x"}}, {"type": "text", "text": 'a "b"\n'}]
+    schema = body["response_format"]["json_schema"]["schema"]
+    assert schema["items"]["properties"]["sfx"] == {"type": "string", "enum": ["door"]} and schema["items"]["required"] == ["text", "speaker_id", "is_speech"]
+    plain = json.loads(one.select(prompts.request(one.m, one.s, one.t).alias("r")).first().r)
+    assert "response_format" not in plain and len(plain["messages"][1]["content"]) == 1
+    styles = spark.createDataFrame([("drama", 350)], "style string, gap int")
+    assert options.styled(spark.createDataFrame([(1, " Drama ")], "x int, style string"), styles).first().gap == 350
+    with pytest.raises(Exception, match="unknown style opera"):
+        options.styled(spark.createDataFrame([(1, "opera")], "x int, style string"), styles).collect()
+
+
+def test_suggested_tags_of_the_audio_labels(spark):
+    rows = spark.createDataFrame([("f", "sword slash", 0.5), ("f", "metal blade", 0.7), ("f", "thunder", 0.6), ("f", "footsteps", 0.9), ("f", "crowd murmur", 0.2), ("f", "laser", 0.9)], "file string, label string, score double")
+    assert [(r.tag, r.score, r["rank"]) for r in suggestions(rows, known=["passos"]).orderBy("rank").collect()] == [("espada", 0.7, 1), ("trovao", 0.6, 2)]
+
+
+def test_an_evaluation_without_extras_or_confusions(spark):
+    truth = spark.createDataFrame([(1, "A"), (2, "B")], "id int, truth string")
+    found = spark.createDataFrame([(1, "A"), (2, None)], "id int, name string")
+    steps = spark.createDataFrame([(0.8, 2, 1, 1, 0, 0)], "accept double, known long, correct long, unnamed long, rejected long, extras long")
+    got = outputs.evaluation_text("v", "e", "mixed", 0.05, gallery.evaluate(found, truth, "?"), gallery.per_name(found, truth, "?"), gallery.confusions(found, truth, "?"), steps).first().document
+    assert got.splitlines()[4:] == ["**Acurácia de nomeação: 50.0%** · desconhecido: 50.0%", "", "| Personagem | recortes | acertos | desconhecido |", "|---|---|---|---|", "| A | 1 | 1 | 0 |", "| B | 1 | 0 | 1 |", "",
+        "| aceite | acurácia | desconhecido | figurantes rejeitados |", "|---|---|---|---|", "| 0.80 | 50.0% | 50.0% | — |"]
