@@ -223,3 +223,17 @@ def evaluation_document(spark, d):
     crops = _crops(spark, d)
     steps = gallery.sweep(gallery.scores(crops, crops.where("name <> '9'"), "nearest"), truth, [0.15, 0.25], 0.01, "9")
     return outputs.evaluation_text("v1", "e", "nearest", 0.01, gallery.evaluate(found, truth, "9"), gallery.per_name(found, truth, "9"), gallery.confusions(found, truth, "9"), steps)
+
+
+@query("""with u as (select user_id, count(*) % 7 = 0 as broken from events group by 1),
+t as (select user_id, event_type as tag, count(*) as files, sum(floor(value)::bigint) as gain from events join u using (user_id) where not broken group by all)
+select user_id, tag, files, gain::bigint as gain from t""")
+def effect_dictionaries(spark, d):
+    """Effect dictionaries read from JSON text, a user's events as its files; a broken text is an empty dictionary."""
+    entry = F.struct(F.concat(F.col("event_id").cast("string"), F.lit(".wav")).alias("file"), F.floor("value").cast("double").alias("gain"))
+    tags = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.collect_list(entry).alias("entries"))
+    texts = tags.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "entries")))).alias("json"), F.sum(F.size("entries")).alias("n"))
+    texts = texts.select("user_id", F.when(F.col("n") % 7 == 0, F.concat(F.lit("["), F.col("json"))).otherwise(F.col("json")).alias("json"))
+    found = texts.select("user_id", F.explode(files.dictionary(F.col("json"))).alias("tag", "entries"))
+    gain = F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["gain"]).cast("long")
+    return found.select("user_id", "tag", F.size("entries").cast("long").alias("files"), gain.alias("gain"))

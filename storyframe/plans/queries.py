@@ -660,15 +660,18 @@ def name_token_overlap(spark, d):
     return shared.withColumn("k", F.rank().over(Window.partitionBy("p_partkey").orderBy(F.desc("shared")))).where("k = 1").drop("k")
 
 
-_CONFIG = "s(stage, component, fingerprint) as (values ('script', 'ocr', 'a'), ('script', 'vlm', 'b'), ('audio', 'tts', 'c')), c(stage, component, fingerprint) as (values ('script', 'ocr', 'a'), ('script', 'vlm', 'b'), ('audio', 'tts', 'd'))"
+_CONFIG = """r as (select case when role = 'assistant' then 'audio' else 'script' end as stage, role as component, max(text) as late, min(text) as early from conversations group by 1, 2),
+s as (select stage, component, late as fingerprint from r), c as (select stage, component, case when stage = 'audio' then early else late end as fingerprint from r)"""
 
 
 @query(f"with {_CONFIG}, f as (select stage, bool_and(s.fingerprint is not distinct from c.fingerprint) as same from s full join c using (stage, component) group by stage) select bool_or(stage = 'script' and same) as script, bool_or(stage = 'script' and same) and bool_or(stage = 'audio' and same) as audio from f")
 def checkpoint_validity(spark, d):
-    """F16, C11: a changed voice engine keeps the script and drops the audio."""
-    s = spark.createDataFrame([("script", "ocr", "a"), ("script", "vlm", "b"), ("audio", "tts", "c")], "stage string, component string, fingerprint string")
-    c = spark.createDataFrame([("script", "ocr", "a"), ("script", "vlm", "b"), ("audio", "tts", "d")], "stage string, component string, fingerprint string")
-    return checkpoint.reuse(s, c)
+    """F16, C11: roles as engines, a text of theirs as the fingerprint; a changed voice engine keeps the script and drops the audio."""
+    stage = F.when(F.col("role") == "assistant", "audio").otherwise("script").alias("stage")
+    rows = table(spark, d, "conversations").groupBy(stage, F.col("role").alias("component")).agg(F.max("text").alias("last"), F.min("text").alias("first"))
+    stored = rows.select("stage", "component", F.col("last").alias("fingerprint"))
+    current = rows.select("stage", "component", F.when(F.col("stage") == "audio", F.col("first")).otherwise(F.col("last")).alias("fingerprint"))
+    return checkpoint.reuse(stored, current)
 
 
 @query("with style(style, gap, music) as (values ('drama', 350, 'dark'), ('radio', 200, 'off')) select page_id, coalesce(case when page_id % 3 = 0 then 100 end, gap) as gap, case when coalesce(case when page_id % 5 = 0 then 'off' end, music) <> 'off' then coalesce(case when page_id % 5 = 0 then 'off' end, music) end as music from pages join style on style.style = lower(trim(case when page_id % 2 = 0 then ' Drama' else 'RADIO ' end))")
@@ -698,7 +701,7 @@ def script_lines(spark, d):
 def page_stems(spark, d):
     """Page files of one suffix by stem."""
     rows = table(spark, d, "pages").where(F.col("url").rlike(r"\.html"))
-    return rows.groupBy(F.regexp_extract("url", r"([^/?#]+)\.html", 1).alias("stem")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.coalesce(files.stem(F.col("url"), (".html",)), F.lit("")).alias("stem")).agg(F.count("*").alias("n"))
 
 
 @query("select l_orderkey, count(*) filter (where l_returnflag = 'A') as a, count(*) filter (where l_returnflag = 'N') as n, count(*) filter (where l_returnflag = 'R') as r from lineitem group by 1")
@@ -749,9 +752,7 @@ def arc_lines(spark, d):
     """Arcs read from lines of text, others left out, shifted by nothing."""
     line = F.concat(F.lit("01:"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit(":00 - "), "url")
     lines = table(spark, d, "pages").select("page_id", F.explode(F.array(F.lit("not an arc"), line)).alias("value"))
-    form = r"^\s*(\d{1,2}:\d{2}(?::\d{2})?)\s*[-–—]?\s*(\S.*?)\s*$"
-    rows = lines.select("page_id", K.timestamp_seconds(F.regexp_extract("value", form, 1)).alias("start_s"), F.regexp_extract("value", form, 2).alias("title"))
-    return rows.where("start_s is not null")
+    return files.arcs(lines, by=["page_id"])
 
 
 @query(f"with {_BOXES} select page, list(l_returnflag order by y0, x0, l_linenumber, l_partkey, l_suppkey) as labels, count(*) as n from boxes group by page")

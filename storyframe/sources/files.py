@@ -49,11 +49,17 @@ def preferred(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     return files.withColumn("rank", rank).where(F.col("rank").isNotNull()).withColumn("r", F.row_number().over(w)).where("r = 1").drop("rank", "r")
 
 
-def arcs(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(start_s, title) of lines like ``HH:MM:SS - title``; other lines are left out."""
+def stem(path: Column, suffixes: tuple[str, ...]) -> Column:
+    """A file's name without its suffix, for files of the wanted suffixes; null for others.  A query or fragment is cut off."""
+    ends = "|".join(x.replace(".", r"\.") for x in suffixes)
+    return F.nullif(F.regexp_extract(path, rf"([^/?#]+)(?:{ends})", 1), F.lit(""))
+
+
+def arcs(lines: DataFrame, column: str = "value", by: list[str] = ()) -> DataFrame:
+    """(by, start_s, title) of lines like ``HH:MM:SS - title``, in order; other lines are left out."""
     form = r"^\s*(\d{1,2}:\d{2}(?::\d{2})?)\s*[-–—]?\s*(\S.*?)\s*$"
-    rows = lines.select(timestamp_seconds(F.regexp_extract(column, form, 1)).alias("start_s"), F.regexp_extract(column, form, 2).alias("title"))
-    return rows.where("start_s is not null and title <> ''").orderBy("start_s", "title")
+    rows = lines.select(*by, timestamp_seconds(F.regexp_extract(column, form, 1)).alias("start_s"), F.regexp_extract(column, form, 2).alias("title"))
+    return rows.where("start_s is not null and title <> ''").orderBy(*by, "start_s", "title")
 
 
 def dictionary(text: Column) -> Column:
