@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import options, prompts
 from ..functions import text as T
-from ..operators import casting, checkpoint, gallery, masks, models, narration, outputs, pacing
+from ..operators import casting, checkpoint, gallery, masks, models, narration, outputs, pacing, panels
 from ..sources import archives, files, sinks
 from ..sources.shared import folder
 from ..sources.tables import blocks, segments, table
@@ -237,3 +237,40 @@ def effect_dictionaries(spark, d):
     found = texts.select("user_id", F.explode(files.dictionary(F.col("json"))).alias("tag", "entries"))
     gain = F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["gain"]).cast("long")
     return found.select("user_id", "tag", F.size("entries").cast("long").alias("files"), gain.alias("gain"))
+
+
+_AREA = "(p.x1 - p.x0) * (p.y1 - p.y0)"
+
+
+@query(f"""with recursive {_GRID}, v as (select distinct vec_id from g),
+cells as materialized (select v.vec_id, x.r, y.c, coalesce(bright, true) as bright from v cross join (select unnest(range(-1, 9)) as r) x cross join (select unnest(range(-1, 9)) as c) y left join g on g.vec_id = v.vec_id and g.r = x.r and g.c = y.c),
+outside(vec_id, r, c) as (select vec_id, -1::bigint, -1::bigint from v union select n.vec_id, n.r, n.c from outside o join cells n on n.vec_id = o.vec_id and abs(n.r - o.r) + abs(n.c - o.c) = 1 where n.bright),
+o as materialized (select * from outside where r between 0 and 7 and c between 0 and 7),
+f as materialized (select g.vec_id, g.r, g.c from g where exists (select 1 from o where o.vec_id = g.vec_id) and not exists (select 1 from o where o.vec_id = g.vec_id and o.r = g.r and o.c = g.c)),
+reach(vec_id, r, c, k) as (select vec_id, r, c, 8 * r + c from f union select f.vec_id, f.r, f.c, x.k from reach x join f on f.vec_id = x.vec_id and abs(f.r - x.r) + abs(f.c - x.c) = 1),
+b as materialized (select vec_id, k, {{'x0': min(c), 'y0': min(r), 'x1': max(c) + 1, 'y1': max(r) + 1}} as p from (select vec_id, r, c, min(k) as k from reach group by all) group by all),
+united(vec_id, n, ps) as (
+  select vec_id, 0, list(p order by k) from b where {_AREA} >= 0.02 * 64 group by vec_id
+  union all
+  select vec_id, n + 1, list_filter(list_transform(ps, lambda p, i: case when i = hit.i then {{'x0': least(p.x0, ps[hit.j].x0), 'y0': least(p.y0, ps[hit.j].y0), 'x1': greatest(p.x1, ps[hit.j].x1), 'y1': greatest(p.y1, ps[hit.j].y1)}} else p end), lambda p, i: i <> hit.j)
+  from (select vec_id, n, ps, list_filter(flatten(list_transform(range(1, len(ps) + 1), lambda i: list_transform(range(i + 1, len(ps) + 1), lambda j: {{'i': i, 'j': j}}))), lambda h:
+      greatest(0, least(ps[h.i].x1, ps[h.j].x1) - greatest(ps[h.i].x0, ps[h.j].x0)) * greatest(0, least(ps[h.i].y1, ps[h.j].y1) - greatest(ps[h.i].y0, ps[h.j].y0))
+      > 0.3 * least((ps[h.i].x1 - ps[h.i].x0) * (ps[h.i].y1 - ps[h.i].y0), (ps[h.j].x1 - ps[h.j].x0) * (ps[h.j].y1 - ps[h.j].y0)))[1] as hit from united) where hit is not null),
+first as materialized (select vec_id, ps from united qualify row_number() over (partition by vec_id order by n desc) = 1),
+small as materialized (select b.vec_id, b.k, b.p as q, row_number() over (partition by b.vec_id order by b.k) as j from b join first using (vec_id)
+  where not list_contains(ps, b.p) and (select count(*) from g where g.vec_id = b.vec_id and not g.bright and g.r >= b.p.y0 and g.r < b.p.y1 and g.c >= b.p.x0 and g.c < b.p.x1) >= 0.0005 * 64),
+grown(vec_id, j, ps) as (
+  select vec_id, 0::bigint, ps from first
+  union all
+  select vec_id, j, list_transform(ps, lambda p, i: case when i = list_position(gaps, list_min(gaps)) then {{'x0': least(p.x0, q.x0), 'y0': least(p.y0, q.y0), 'x1': greatest(p.x1, q.x1), 'y1': greatest(p.y1, q.y1)}} else p end)
+  from (select t.vec_id, s.j, ps, q, list_transform(ps, lambda p: greatest(0, greatest(q.x0, p.x0) - least(q.x1, p.x1)) + greatest(0, greatest(q.y0, p.y0) - least(q.y1, p.y1))) as gaps from grown t join small s on s.vec_id = t.vec_id and s.j = t.j + 1)),
+last as materialized (select vec_id, ps from grown qualify row_number() over (partition by vec_id order by j desc) = 1),
+seen as (select g.vec_id, count(*) as whole, count(*) filter (len(list_filter(ps, lambda p: g.r >= p.y0 and g.r < p.y1 and g.c >= p.x0 and g.c < p.x1)) > 0) as held from g join last using (vec_id) where not g.bright group by all),
+e as (select vec_id, generate_subscripts(ps, 1) - 1 as panel, unnest(ps) as p from last where not exists (select 1 from seen where seen.vec_id = last.vec_id and held < 0.7 * whole))
+select vec_id, panel::int as panel, p.x0 as x0, p.y0 as y0, p.x1 as x1, p.y1 as y1 from e""")
+def gutter_panels(spark, d):
+    """Panels as what the paper that reaches the edge leaves over, united, with small holes joined, covering the ink."""
+    pages, bright, _ = _grids(spark, d)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("page"), F.posexplode("embedding").alias("k", "x")).where("cast(x as double) <= -0.1D")
+    ink = masks.runs(rows.select("page", F.floor(F.col("k") / 8).cast("int").alias("row"), (F.col("k") % 8).alias("start"), (F.col("k") % 8 + 1).alias("end")))
+    return panels.gutter_panels(bright, ink, pages).select(F.col("page").alias("vec_id"), "panel", "x0", "y0", "x1", "y1")
