@@ -41,18 +41,38 @@ _MARKS = 1 << 25  # bits of the map of wanted ids, and ids that it serves; beyon
 _RANGE = 128 << 20  # bytes of text for each range of hashes: bounds what one task gathers
 
 
+def _packed(token: np.ndarray, times: np.ndarray) -> bytes:
+    """Rising tokens of a block and how often each comes: steps of 16 bits, longer ones apart; counts only above one."""
+    step = np.diff(token.astype(np.int64), prepend=0)
+    far, many = step >= 65535, np.flatnonzero(times > 1)
+    head = np.array([len(token), far.sum(), len(many)], "<u4")
+    return b"".join(x.tobytes() for x in (head, np.where(far, 65535, step).astype("<u2"), step[far].astype("<u4"), many.astype("<u4"), times[many].astype("<u4")))
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, far, many = np.frombuffer(block, "<u4", 3).tolist()
+    step = np.frombuffer(block, "<u2", n, 12).astype(np.int64)
+    at = 12 + 2 * n
+    step[step == 65535] = np.frombuffer(block, "<u4", far, at)
+    times = np.ones(n, np.int64)
+    times[np.frombuffer(block, "<u4", many, at + 4 * far)] = np.frombuffer(block, "<u4", many, at + 4 * (far + many))
+    return np.cumsum(step).astype(np.uint32), times
+
+
 def _scan(width: int, counted: int, parts: int):
-    """Per document (doc_id, n, lo, hi); per block of documents the counted tokens of each hash range (p >= 0)."""
+    """Per document (doc_id, n, lo, hi); per block of documents the counts of the tokens of each hash range (p >= 0).
+
+    A token stands in a block once, however many of its documents have it.
+    """
 
     def pack(tokens: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         flat = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint32)
-        edge = np.searchsorted(flat, np.ceil(np.arange(parts + 1) * (counted / parts)).astype(np.int64))
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        token, times = flat[first], np.diff(np.r_[first, len(flat)])
+        edge = np.searchsorted(token, np.ceil(np.arange(parts + 1) * (counted / parts)).astype(np.int64))
         for p in range(parts):
-            part = flat[edge[p] : edge[p + 1]].astype(np.int64)
-            if len(part):
-                step = np.diff(part, prepend=0)
-                far = step >= 65535
-                yield p, len(part).to_bytes(4, "little") + np.where(far, 65535, step).astype("<u2").tobytes() + step[far].astype("<u4").tobytes()
+            if edge[p] < edge[p + 1]:
+                yield p, _packed(token[edge[p] : edge[p + 1]], times[edge[p] : edge[p + 1]])
 
     def run(batches):
         held, size = [], 0
@@ -107,18 +127,15 @@ def _grouped(batches) -> Iterator[tuple[int, list[bytes]]]:
 def _frequent(least: int):
     def run(batches):
         for _, blocks in _grouped(batches):
-            flat = []
-            for x in blocks:
-                k = int.from_bytes(x[:4], "little")
-                step = np.frombuffer(x, "<u2", k, 4).astype(np.int64)
-                step[step == 65535] = np.frombuffer(x, "<u4", -1, 4 + 2 * k)
-                flat.append(np.cumsum(step).astype(np.uint32))
-            flat = np.concatenate(flat)
-            flat.sort()
-            first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-            df = np.diff(np.r_[first, len(flat)])
+            found = [_unpacked(x) for x in blocks]
+            token, times = (np.concatenate(x) for x in zip(*found))
+            del found
+            order = np.argsort(token, kind="stable")
+            token, times = token[order], times[order]
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            df = np.add.reduceat(times, first)
             keep = df >= least
-            yield pa.RecordBatch.from_arrays([pa.array(flat[first[keep]].astype(np.int64)), pa.array(df[keep].astype(np.int64))], ["token", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[first[keep]].astype(np.int64)), pa.array(df[keep].astype(np.int64))], ["token", "df"])
 
     return run
 

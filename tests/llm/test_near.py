@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from storyframe.llm import ngram_jaccard
 from storyframe.llm.graph import components
 from storyframe.llm.ngram_jaccard import _postings, near_duplicates
 
@@ -134,3 +135,23 @@ def test_components(spark):
                 up[max(x, y)] = min(x, y)
         got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {i: top(i) for i in up}
+
+
+def test_block_counts_round_trip():
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 10), (1, 2**32 - 1), (500, 300), (4000, 2**32 - 1), (4000, 70_000)):
+        token, times = np.unique(rng.integers(0, top, n, dtype=np.int64).astype(np.uint32), return_counts=True)
+        a, b = ngram_jaccard._unpacked(ngram_jaccard._packed(token, times))
+        assert np.array_equal(a, token) and np.array_equal(b, times)
+
+
+def test_a_shingle_of_every_document_is_one_entry_a_block(spark):
+    license_line = "this line is in every document of the corpus without change"
+    own = "array_join(transform(sequence(1, 40), x -> concat('w', x, 'x', id)), ' ')"
+    docs = spark.range(400).selectExpr("id as doc_id", f"concat('{license_line} ', {own}) as text")
+    batches = docs.toArrow().to_batches()
+    rows = [r for b in ngram_jaccard._scan(5, 1 << 32, 1)(batches) for r in b.to_pylist()]
+    blocks = [ngram_jaccard._unpacked(r["payload"]) for r in rows if r["p"] is not None]
+    assert len(blocks) == 1 and len(np.unique(blocks[0][0])) == len(blocks[0][0]) and (blocks[0][1] == 400).sum() == 7
+    found = ngram_jaccard.near_duplicates(docs).collect()
+    assert all(r.component_id == r.doc_id for r in found) and len(found) == 400
