@@ -14,9 +14,10 @@ def bubble_list(texts: Column) -> Column:
 
 
 def style_excerpt(text: Column, most: int = 6000) -> Column:
-    """A style example of fewer than ``most`` characters, cut at its last line end if it is too long."""
-    cut = F.substring(text, 1, most)
-    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(cut, r"\n[^\n]*$", ""))
+    """A style example without outer white space: ``most`` characters, cut at their last line end and marked as cut."""
+    whole = F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    cut = F.regexp_replace(F.substring(whole, 1, most), r"\n[^\n]*\z", "")
+    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(cut, F.lit("\n[...]")))
 
 
 def prompt(instructions: Column, texts: Column, style: Column | None = None) -> Column:

@@ -119,3 +119,8 @@ def eligible(crops: DataFrame, least: int, unknown: str, name: str = "name") ->
     """Crops with a name that has ``least`` of them, and the unknown ones."""
     w = Window.partitionBy(name)
     return crops.where(F.col(name).isNotNull()).withColumn("_n", F.count("*").over(w)).where((F.col("_n") >= least) | (F.col(name) == unknown)).drop("_n")
+
+
+def per_label(crops: DataFrame, name: str = "name") -> DataFrame:
+    """(name, exemplars): how many crops a gallery has of each name, in order of name."""
+    return crops.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("exemplars")).orderBy("name")

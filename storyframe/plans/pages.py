@@ -274,3 +274,30 @@ def gutter_panels(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("page"), F.posexplode("embedding").alias("k", "x")).where("cast(x as double) <= -0.1D")
     ink = masks.runs(rows.select("page", F.floor(F.col("k") / 8).cast("int").alias("row"), (F.col("k") % 8).alias("start"), (F.col("k") % 8 + 1).alias("end")))
     return panels.gutter_panels(bright, ink, pages).select(F.col("page").alias("vec_id"), "panel", "x0", "y0", "x1", "y1")
+
+
+@query("select label::varchar as name, count(*) as exemplars from embeddings where label is not null group by 1")
+def exemplars_per_name(spark, d):
+    """The crops of each name."""
+    return gallery.per_label(_crops(spark, d))
+
+
+@query(r"""with t as (select doc_id, regexp_replace(text, '\A\s+|\s+\z', '', 'g') as text from documents where text is not null), c as (select *, substr(text, 1, 700) as cut from t)
+select doc_id, md5(case when length(text) <= 700 then text when contains(cut, chr(10)) then substr(cut, 1, length(cut) - instr(reverse(cut), chr(10))) || chr(10) || '[...]' else cut || chr(10) || '[...]' end) as excerpt from c""")
+def style_excerpts(spark, d):
+    """Texts as style examples of 700 characters at most, cut at a line's end."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(prompts.style_excerpt(F.col("text"), 700)).alias("excerpt"))
+
+
+@query("""select 'p' || page_id as stem, case when contains(url, '/en/') then '.png' when contains(url, '/es/') then '.webp' else '.jpg' end as suffix, md5(url) as content from pages where not contains(url, '#')""")
+def page_images(spark, d):
+    """One image file for each page stem, the first suffix that is there, and its content."""
+    rows = table(spark, d, "pages").select("page_id", "url")
+    kinds = F.when(F.contains("url", F.lit("#")), F.array(F.lit(".txt"))).when(F.contains("url", F.lit("/en/")), F.array(F.lit(".png"), F.lit(".jpg"))).when(F.contains("url", F.lit("/es/")), F.array(F.lit(".webp"))).otherwise(F.array(F.lit(".webp"), F.lit(".jpg"), F.lit(".txt")))
+    every = rows.withColumn("suffix", F.explode(kinds))
+    best = F.array_min(F.filter(F.transform(kinds, lambda k: F.array_position(F.array(*[F.lit(x) for x in (".png", ".jpg", ".jpeg", ".webp")]), k)), lambda k: k > 0))
+    content = F.when(F.array_position(F.array(*[F.lit(x) for x in (".png", ".jpg", ".jpeg", ".webp")]), F.col("suffix")) == best, F.col("url")).otherwise("another file")
+    at = f"{folder(spark)}/images-{uuid.uuid4().hex}"
+    sinks.write_files(every.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), "suffix").alias("path"), F.lit(0).alias("part"), content.cast("binary").alias("content")), at)
+    found = files.page_files(spark, sinks.current(spark, at))
+    return found.select("stem", F.regexp_extract("path", r"(\.[^.]+)$", 1).alias("suffix"), F.md5("content").alias("content"))
