@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import options, prompts
+from ..functions import images, options, prompts
 from ..functions import text as T
 from ..operators import casting, checkpoint, gallery, masks, models, narration, outputs, pacing, panels
 from ..sources import archives, files, sinks
@@ -301,3 +301,22 @@ def page_images(spark, d):
     sinks.write_files(every.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), "suffix").alias("path"), F.lit(0).alias("part"), content.cast("binary").alias("content")), at)
     found = files.page_files(spark, sinks.current(spark, at))
     return found.select("stem", F.regexp_extract("path", r"(\.[^.]+)$", 1).alias("suffix"), F.md5("content").alias("content"))
+
+
+@query("""with p as (select vec_id, list_transform(embedding, lambda x: greatest(0, least(255, floor((x::double + 1) * 128)))::bigint) as r, list_transform(embedding, lambda x: greatest(0, least(255, floor((1 - x::double) * 100)))::bigint) as b from embeddings),
+c as (select vec_id, r, b, list_transform(range(64), lambda i: (r[i + 1] * 3 + b[i + 1]) // 4) as g from p),
+s as (select vec_id, r, g, b, list_transform(range(25), lambda i: ((i // 5) * 8 // 5) * 8 + (i % 5) * 8 // 5 + 1) as spot from c)
+select vec_id, list_sum(list_transform(range(64), lambda i: floor(r[i + 1] * 0.299::double + g[i + 1] * 0.587::double + b[i + 1] * 0.114::double + 0.5)))::bigint as grey,
+  len(list_filter(r, lambda x: x < 120)) / 64 as ink,
+  round(list_sum(list_transform(range(75), lambda k: ((case k // 25 when 0 then (r[spot[k % 25 + 1]] / 255.0::double - 0.485::double) / 0.229::double when 1 then (g[spot[k % 25 + 1]] / 255.0::double - 0.456::double) / 0.224::double else (b[spot[k % 25 + 1]] / 255.0::double - 0.406::double) / 0.225::double end)::float)::double * (k % 7))), 3) as weighted from s""")
+def embedding_inputs(spark, d):
+    """Grids of three channels as an embedder's input, their grey values and shares of ink."""
+    def scaled(x):
+        return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x))).cast("long")
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: scaled((x.cast("double") + 1) * 128)).alias("r"), F.transform("embedding", lambda x: scaled((1 - x.cast("double")) * 100)).alias("b"))
+    rows = rows.withColumn("g", F.zip_with("r", "b", lambda r, b: F.floor((r * 3 + b) / 4)))
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    given = images.embedding_input((r, g, b), F.lit(8), F.lit(8), 5)
+    weighted = F.aggregate(F.transform(given, lambda x, k: x.cast("double") * (k % 7)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("vec_id", F.aggregate(images.grey(r, g, b), F.lit(0).cast("long"), lambda a, x: a + x).alias("grey"), images.ink_share(r, 120).alias("ink"), F.round(weighted, 3).alias("weighted"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from storyframe.functions import images
 from storyframe.functions import keys as K
 from storyframe.functions import text as T
 from storyframe.functions.blocks import blocks_or_plain, parse_blocks
@@ -83,3 +84,12 @@ def test_keys_of_latin_script_are_those_of_the_unicode_data(spark):
     assert one == T.folded(every)
     plan = rows.select(T.fold("w"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_images_as_columns(spark):
+    one = spark.createDataFrame([([255, 0, 10, 20, 30, 40], [255, 0, 0, 0, 0, 0], [255, 0, 0, 0, 0, 90], [])], "r array<long>, g array<long>, b array<long>, none array<long>")
+    given = images.embedding_input((one.r, one.g, one.b), F.lit(3), F.lit(2), 2)
+    r = one.select(images.grey(one.r, one.g, one.b).alias("grey"), images.sampled(one.r, F.lit(3), F.lit(2), 4).alias("s"), given.alias("x"), images.ink_share(one.r, 20).alias("ink"), images.ink_share(one.none).alias("no")).first()
+    assert r.grey == [255, 0, 3, 6, 9, 22] and (r.ink, r.no) == (2 / 6, 0.0)
+    assert r.s == [255, 255, 0, 10, 255, 255, 0, 10, 20, 20, 30, 40, 20, 20, 30, 40]
+    assert len(r.x) == 12 and r.x[:2] == pytest.approx([(1 - 0.485) / 0.229, -0.485 / 0.229], rel=1e-6) and r.x[-1] == pytest.approx((0 - 0.406) / 0.225, rel=1e-6)
