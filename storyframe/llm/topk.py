@@ -5,13 +5,13 @@ dealt by hash, where a leaf is large).  A shard is a KD-tree of median splits al
 boxes; the leaves' boxes are the tight ones of all their rows.  The bound of a box for a query is the sum over dimensions
 of the larger of q * low and q * high.  Queries go out in waves: first to their best leaf, then to the next few whose
 bound reaches the kth score so far, then to all others that still do; within a shard a query's boxes are taken best first
-until their bound falls below its kth score.  What a task searches is one shard and a bounded block of queries.
+until their bound falls below its kth score.  Rows and queries meet in one stream, ordered by shard: a task builds a
+shard's tree from its rows and then lets the queries pass, so neither shards nor queries are copied for the others.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +23,11 @@ LEAF = 128
 
 BOXES = 1 << 25  # bytes of the leaves' boxes, which are broadcast
 SAMPLE = 1 << 15  # rows that fit the top tree of one length of vectors
-BLOCK = 4096  # queries of a task
 
 
-def integers(vectors: list) -> np.ndarray:
-    """floor(256 * x) of rows of equal length, as doubles: products are exact while scores stay below 2**53."""
-    return np.floor(256.0 * np.array(vectors, np.float64).reshape(len(vectors), -1))
+def integers(values, dim: int, rows: int) -> np.ndarray:
+    """floor(256 * x) of rows of ``dim`` values, as doubles: products are exact while scores stay below 2**53."""
+    return np.floor(256.0 * np.asarray(values, np.float64).reshape(rows, dim))
 
 
 class Top:
@@ -124,18 +123,38 @@ _RESULT = "q_row long, query_id long, vec_id long, score long"
 
 
 def _search(k: int):
-    def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or queries.empty:
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("q_row", "query_id", "vec_id", "score")})
-        rows, queries = rows.sort_values("vec_id"), queries.sort_values("q_id")
-        tree = Tree(rows["vec_id"].to_numpy(np.int64), integers(rows["v"].tolist()))
-        out = []
-        for at in range(0, len(queries), 512):
-            part = queries.iloc[at : at + 512]
-            score, found = tree.search(part["q_id"].to_numpy(np.int64), integers(part["q"].tolist()), k, part["kth"].to_numpy(float))
-            row, col = np.nonzero(found >= 0)
-            out.append(pd.DataFrame({"q_row": part["q_row"].to_numpy()[row], "query_id": part["q_id"].to_numpy()[row], "vec_id": found[row, col], "score": score[row, col].astype(np.int64)}))
-        return pd.concat(out)
+    """The best rows of each query in its shards, from rows and queries in order of shard, a shard's rows first.
+
+    A task holds one shard's tree and a batch of queries at a time, however many queries there are.
+    """
+
+    def run(batches):
+        key, held, tree = None, [], None
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            keys = np.stack([column[n].to_numpy() for n in ("dim", "leaf", "sub")], 1)
+            asks = column["q_row"].is_valid().to_numpy(zero_copy_only=False)
+            turn = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *turn.tolist()], [*turn.tolist(), len(keys)]):
+                if key is None or (keys[a] != key).any():
+                    key, held, tree = keys[a], [], None
+                ids = column["id"].slice(a, b - a).to_numpy()
+                v = integers(column["v"].slice(a, b - a).flatten().to_numpy(zero_copy_only=False), int(key[0]), b - a)
+                if not asks[a]:
+                    held.append((ids, v))
+                    continue
+                if not held:
+                    continue
+                if tree is None:
+                    own, rows = (np.concatenate(x) for x in zip(*held))
+                    order = np.argsort(own, kind="stable")
+                    tree = Tree(own[order], rows[order])
+                q_row, kth = column["q_row"].slice(a, b - a).to_numpy(), column["kth"].slice(a, b - a).to_numpy()
+                for at in range(0, b - a, 512):
+                    part = slice(at, at + 512)
+                    score, found = tree.search(ids[part], v[part], k, kth[part])
+                    row, col = np.nonzero(found >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_row[part][row]), pa.array(ids[part][row]), pa.array(found[row, col]), pa.array(score[row, col].astype(np.int64))], ["q_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -158,7 +177,7 @@ def _deal(tops: dict[int, Top]):
             for d in np.unique(dim):
                 if int(d) in tops:
                     at = np.flatnonzero(dim == d)
-                    leaf[at] = tops[int(d)].leaf(integers(v.take(pa.array(at)).to_pylist()))
+                    leaf[at] = tops[int(d)].leaf(integers(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), int(d), len(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], [*batch.schema.names, "leaf"])
 
     return run
@@ -178,7 +197,7 @@ def _route(boxes, wave: int, few: int = 8):
                 mine = np.flatnonzero(dim == d)
                 for a in range(0, len(mine), 256):
                     at = mine[a : a + 256]
-                    q = integers(v.take(pa.array(at)).to_pylist())
+                    q = integers(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), int(d), len(at))
                     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
                     best = np.argsort(-bound, 1, kind="stable")[:, slice(*((0, 1), (1, 1 + few), (1 + few, None))[wave])]
                     row, col = np.nonzero(np.take_along_axis(bound, best, 1) >= kth[at, None])
@@ -210,7 +229,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 409
         leaves = 1 << (min(-(-n // shard_rows), max(1, room)).bit_length() - 1)
         if d and leaves > 1:
             sample = rows.where(F.col("dim") == d).orderBy(F.xxhash64("row"), "row").limit(min(SAMPLE, max(leaves, BOXES // (8 * d)))).select("v").collect()
-            tops[d] = Top(integers([r[0] for r in sample]), leaves)
+            tops[d] = Top(integers([r[0] for r in sample], d, len(sample)), leaves)
     dealt = rows.mapInArrow(_deal(tops), "vec_id long, v array<double>, dim int, row long, leaf int") if tops else rows.withColumn("leaf", F.lit(0))
     leaves = dealt.groupBy("dim", "leaf").agg(F.count("*").alias("rows"))
     leaves = written(leaves.select("dim", "leaf", F.ceil(F.col("rows") / shard_rows).cast("int").alias("subs")), "leaves")
@@ -249,14 +268,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 409
 
 
 def searched(placed: DataFrame, leaves: DataFrame, sent: DataFrame, k: int) -> DataFrame:
-    """The best rows of each query within each shard of the leaves it is sent to.
-
-    Queries of a leaf go in blocks of about BLOCK, each with its own copy of a shard, so no task holds more.
-    """
-    load = sent.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    load = written(load.join(leaves, ["dim", "leaf"]), "load")
-    rows = placed.join(F.broadcast(load), ["dim", "leaf"]).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    queries = sent.join(F.broadcast(load), ["dim", "leaf"]).withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)"))).withColumn("block", F.pmod(F.xxhash64("q_row"), F.col("blocks")).cast("int"))
-    key = ["dim", "leaf", "sub", "block"]
-    rows, queries = rows.select(*key, "vec_id", "v"), queries.select(*key, "q_row", F.col("vec_id").alias("q_id"), F.col("v").alias("q"), "kth")
-    return rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(_search(k), _RESULT)
+    """The best rows of each query within each shard of the leaves it is sent to."""
+    key = ["dim", "leaf", "sub"]
+    wanted = F.broadcast(sent.select("dim", "leaf").distinct())  # no more than there are leaves
+    rows = placed.join(wanted, ["dim", "leaf"], "left_semi").select(*key, F.lit(None).cast("long").alias("q_row"), F.col("vec_id").alias("id"), "v", F.lit(0.0).alias("kth"))
+    queries = sent.join(F.broadcast(leaves), ["dim", "leaf"]).select("dim", "leaf", F.explode(F.expr("sequence(0, subs - 1)")).alias("sub"), "q_row", F.col("vec_id").alias("id"), "v", "kth")
+    both = rows.unionByName(queries).repartition(*key).sortWithinPartitions(*key, F.col("q_row").asc_nulls_first())
+    return both.mapInArrow(_search(k), _RESULT)
