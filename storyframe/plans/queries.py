@@ -529,10 +529,18 @@ _SHARE = "greatest(0, least(bx1, px1) - greatest(bx0, px0)) * greatest(0, least(
 
 
 def _bodies_panels(spark, d, repeated=False):
-    rows = boxes(spark, d).withColumn("k", F.col("l_partkey") * 10 + F.col("l_linenumber"))
-    bodies = rows.where("l_returnflag = 'A'").select("page", F.col("k").alias("body"), *[F.col(c).alias("b_" + c) for c in ("x0", "y0", "x1", "y1")])
-    panels = rows.where("l_returnflag <> 'A'").select("page", F.col("k").alias("panel"), (F.col("x0") - 100).alias("p_x0"), (F.col("y0") - 200).alias("p_y0"), (F.col("x1") + 300).alias("p_x1"), (F.col("y1") + 300).alias("p_y1"))
-    return (bodies, panels) if repeated else (bodies.dropDuplicates(["page", "body"]), panels.dropDuplicates(["page", "panel"]))
+    """Bodies and panels; of those that share a page and a number the first row of the file counts, unless ``repeated``."""
+    rows = boxes(spark, d, place=not repeated).withColumn("k", F.col("l_partkey") * 10 + F.col("l_linenumber"))
+    grown = {"x0": F.col("x0") - 100, "y0": F.col("y0") - 200, "x1": F.col("x1") + 300, "y1": F.col("y1") + 300}
+
+    def listed(found, key, sides):
+        found = found.withColumnRenamed("k", key)
+        if repeated:
+            return found.select("page", key, *[v.alias(n) for n, v in sides.items()])
+        return found.groupBy("page", key).agg(*[F.min_by(v, "place").alias(n) for n, v in sides.items()])
+
+    return (listed(rows.where("l_returnflag = 'A'"), "body", {"b_" + c: F.col(c) for c in grown}),
+            listed(rows.where("l_returnflag <> 'A'"), "panel", {"p_" + c: v for c, v in grown.items()}))
 
 
 _DISTINCT = ", b1 as (select distinct on (page, body) * from b), p1 as (select distinct on (page, panel) * from p)"

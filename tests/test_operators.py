@@ -2,6 +2,8 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +292,19 @@ def test_an_evaluation_without_extras_or_confusions(spark):
     got = outputs.evaluation_text("v", "e", "mixed", 0.05, gallery.evaluate(found, truth, "?"), gallery.per_name(found, truth, "?"), gallery.confusions(found, truth, "?"), steps).first().document
     assert got.splitlines()[4:] == ["**Acurácia de nomeação: 50.0%** · desconhecido: 50.0%", "", "| Personagem | recortes | acertos | desconhecido |", "|---|---|---|---|", "| A | 1 | 1 | 0 |", "| B | 1 | 0 | 1 |", "",
         "| aceite | acurácia | desconhecido | figurantes rejeitados |", "|---|---|---|---|", "| 0.80 | 50.0% | 50.0% | — |"]
+
+
+def test_the_first_row_of_the_files_is_kept(spark, tmp_path):
+    """Of rows that share a page and a number: by name of the file, then by place in it, whatever the sizes of the files."""
+    import __spark_entry__ as e
+
+    def rows(first, n):
+        return [(p, 5, first + p % 7, 1, float(first % 40), flag) for p in range(n) for flag in ("A", "N")]
+
+    for name, made in (("a", rows(3, 20) + rows(900, 20)), ("b", rows(500, 4000))):
+        table = pa.Table.from_pylist([dict(zip(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"), r)) for r in made])
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        pq.write_table(table, tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    expected = {p: ((3 if p < 20 else 500) + p % 7) * 53 % 1300 - 200 for p in range(4000)}
+    got = {r.page: r.y0 for r in e.queries()["box_unions"](spark, str(tmp_path)).collect()}
+    assert got == expected
