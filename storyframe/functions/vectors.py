@@ -20,5 +20,6 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Divided by its length, 1e-12 at least."""
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / n)
+    # The pair makes the length once for a vector; named inside the lambda alone it would be made for every component.
+    pair = F.array(F.struct(v.alias("v"), F.greatest(norm(v), F.lit(1e-12)).alias("n")))
+    return F.get(F.transform(pair, lambda p: F.transform(p["v"], lambda x: x / p["n"])), F.lit(0))

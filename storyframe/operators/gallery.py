@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot, doubles, unit
 
@@ -15,40 +16,77 @@ def exemplars(crops: DataFrame, name: str, vector: str, key: str) -> DataFrame:
     return crops.select(F.col(key).alias("id"), F.col(name).cast("string").alias("name"), unit(doubles(F.col(vector))).alias("v"))
 
 
-BLOCK = 2048
-
-
-def _products(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-    """Per query and name of a pair of blocks: the largest product, their sum and number, without the query itself."""
-    if q.empty or g.empty:
-        return pd.DataFrame({"id": [], "name": [], "nearest": [], "along": [], "n": []})
-    g = g.sort_values(["g_name", "g_id"], na_position="last")
-    names, first, part = np.unique(g["g_name"].fillna("\x00").to_numpy(str), return_index=True, return_inverse=True)
-    product = np.stack(q["v"].tolist()) @ np.stack(g["g_v"].tolist()).T
-    self_ = q["id"].to_numpy()[:, None] == g["g_id"].to_numpy()[None, :]
-    count = np.add.reduceat((~self_).astype(np.int64), first, 1)
-    along = np.add.reduceat(np.where(self_, 0.0, product), first, 1)
-    nearest = np.maximum.reduceat(np.where(self_, -np.inf, product), first, 1)
-    row, col = np.nonzero(count)
-    name = g["g_name"].to_numpy(object)[first]
-    return pd.DataFrame({"id": q["id"].to_numpy()[row], "name": name[col], "nearest": nearest[row, col], "along": along[row, col], "n": count[row, col]})
+TILE = 2048
+BLOCKS = 12  # a side, as long as none is larger than LARGEST
+SMALLEST, LARGEST = 256, 1 << 16
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
+def _products(kind: pa.DataType):
+    schema = pa.schema([("id", kind), ("name", pa.string()), ("nearest", pa.float64()), ("along", pa.float64()), ("n", pa.int64())])
+
+    def run(q: pa.Table, g: pa.Table) -> pa.Table:
+        """Per query and name of a pair of blocks: the largest product, their sum and number, without the query itself."""
+        if not q.num_rows or not g.num_rows:
+            return schema.empty_table()
+        g = g.sort_by([("g_name", "ascending"), ("g_id", "ascending")])
+        names, vectors, ids = g["g_name"].combine_chunks(), _matrix(g["g_v"]), g["g_id"].to_numpy()
+        code = names.dictionary_encode("encode").indices.to_numpy()
+        queries, asked = _matrix(q["v"]), q["id"].to_numpy()
+        part = np.cumsum(np.r_[False, code[1:] != code[:-1]])
+        labels = names.take(pa.array(np.unique(part, return_index=True)[1]))
+        out = []
+        for i in range(0, len(asked), TILE):
+            mine = asked[i : i + TILE]
+            shape = len(mine), len(labels)
+            nearest, along, count = np.full(shape, -np.inf), np.zeros(shape), np.zeros(shape, np.int64)
+            for j in range(0, len(ids), TILE):
+                product, now = queries[i : i + TILE] @ vectors[j : j + TILE].T, part[j : j + TILE]
+                first = np.flatnonzero(np.r_[True, now[1:] != now[:-1]])
+                at = now[first]
+                row, col = np.nonzero(mine[:, None] == ids[None, j : j + TILE])
+                product[row, col] = 0.0
+                along[:, at] += np.add.reduceat(product, first, 1)
+                product[row, col] = -np.inf
+                nearest[:, at] = np.maximum(nearest[:, at], np.maximum.reduceat(product, first, 1))
+                count[:, at] += np.diff(np.r_[first, len(now)])
+                np.subtract.at(count, (row, now[col]), 1)
+            row, col = np.nonzero(count)
+            keys = q["id"].slice(i, TILE).combine_chunks().take(pa.array(row)), labels.take(pa.array(col))
+            out.append(pa.Table.from_arrays([*keys, *[pa.array(x[row, col]) for x in (nearest, along, count)]], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def sides(queries: int, gallery: int, names: int) -> tuple[int, int]:
+    """Blocks of each side: ``BLOCKS`` at most, unless a block would hold too many rows, or a pair give too many."""
+    most = min(LARGEST, max(TILE, TILE * TILE // max(1, names)))
+    return tuple(max(1, min(BLOCKS, -(-n // SMALLEST)), -(-n // most)) for n in (queries, gallery))
 
 
 def products(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     """(id, name, nearest, along, n): of each query's products with a name's exemplars the largest, the sum, the number.
 
-    Both sides go in blocks by hash; a pair of blocks is one matrix product in one task, reduced to a row for each query
-    and name before anything else is shuffled.  Every query meets the whole gallery but itself, as the evaluation is
-    defined, so each side is copied once for each block of the other.  Null vectors meet nothing.
+    Both sides go in blocks by hash; a pair of blocks is one task's work, a matrix product in tiles, reduced to a row for
+    each query and name before anything else is shuffled.  Every query meets the whole gallery but itself, as the
+    evaluation is defined, so each side is copied once for each block of the other: ``BLOCKS`` times, whatever the size,
+    until blocks reach the rows that a task can hold.  Where names are many, blocks are smaller, down to a tile, so that
+    a pair gives few rows.  Null vectors meet nothing.
     """
     queries, gallery = queries.where("v is not null"), gallery.where("v is not null")
-    n_q, n_g = (max(1, -(-df.count() // BLOCK)) for df in (queries, gallery))
+    rows_g, names = gallery.agg(F.count("*"), F.approx_count_distinct("name")).first()
+    n_q, n_g = sides(queries.count(), rows_g, names)
     block = F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")
     q = queries.select("id", "v", block.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))).alias("gb"))
     other = F.pmod(F.xxhash64("id"), F.lit(n_g)).cast("int")
     g = gallery.select(F.col("id").alias("g_id"), F.col("name").alias("g_name"), F.col("v").alias("g_v"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), other.alias("gb"))
-    kind = dict(queries.dtypes)["id"]
-    met = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInPandas(_products, f"id {kind}, name string, nearest double, along double, n long")
+    kind = queries.schema["id"].dataType
+    met = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(_products(to_arrow_type(kind)), f"id {kind.simpleString()}, name string, nearest double, along double, n long")
     return met.groupBy("id", "name").agg(F.max("nearest").alias("nearest"), F.sum("along").alias("along"), F.sum("n").alias("n"))
 
 

@@ -308,3 +308,31 @@ def test_the_first_row_of_the_files_is_kept(spark, tmp_path):
     expected = {p: ((3 if p < 20 else 500) + p % 7) * 53 % 1300 - 200 for p in range(4000)}
     got = {r.page: r.y0 for r in e.queries()["box_unions"](spark, str(tmp_path)).collect()}
     assert got == expected
+
+
+def test_each_side_of_the_gallery_is_copied_a_fixed_number_of_times():
+    assert [gallery.sides(n, n, 10) for n in (1, 2000, 50_000, 700_000)] == [(1, 1), (8, 8), (12, 12), (12, 12)]
+    assert gallery.sides(6_553_600, 1, 10) == (100, 1) and gallery.sides(20_480, 20_480, 20_480) == (12, 12) and gallery.sides(204_800, 204_800, 204_800) == (100, 100)
+
+
+def test_products_of_a_pair_of_blocks_in_tiles():
+    rng = np.random.default_rng(3)
+    v, w = rng.normal(size=(2500, 4)), rng.normal(size=(5000, 4))
+    names = [None if k % 9 == 8 else f"n{k % 9}" for k in range(5000)]
+    names[4999] = "alone"
+    q = pa.table({"id": pa.array(np.arange(2500) * 2 + 1), "v": pa.array(list(v))})
+    g = pa.table({"g_id": pa.array(np.arange(5000)), "g_name": names, "g_v": pa.array(list(w))})
+    got = {(r["id"], r["name"]): r for r in gallery._products(pa.int64())(q, g).to_pylist()}
+    product, label = v @ w.T, np.array([str(n) for n in names])
+    itself = (np.arange(2500) * 2 + 1)[:, None] == np.arange(5000)
+    for name in set(names):
+        mine = label == str(name)
+        count = (mine & ~itself).sum(1)
+        for k in range(2500):
+            r = got.pop((2 * k + 1, name), None)
+            if not count[k]:
+                assert r is None
+                continue
+            x = product[k][mine & ~itself[k]]
+            assert r["n"] == count[k] and np.isclose(r["nearest"], x.max()) and np.isclose(r["along"], x.sum())
+    assert not got
