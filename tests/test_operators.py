@@ -336,3 +336,16 @@ def test_products_of_a_pair_of_blocks_in_tiles():
             x = product[k][mine & ~itself[k]]
             assert r["n"] == count[k] and np.isclose(r["nearest"], x.max()) and np.isclose(r["along"], x.sum())
     assert not got
+
+
+@pytest.mark.parametrize("rtl", [True, False])
+def test_few_boxes_are_read_like_many(monkeypatch, rtl):
+    rng = np.random.default_rng(5)
+    pages = []
+    for k in range(1500):
+        low = rng.integers(0, 12 if k % 2 else 60, (rng.integers(0, 12), 2))
+        page = np.c_[low, low + rng.integers(0, 20, low.shape)]
+        pages.append([tuple(b) for b in (page / 7 if k % 3 == 0 else page).tolist()])
+    few = [layout.reading(p, rtl) for p in pages]
+    monkeypatch.setattr(layout, "FEW", -1)
+    assert few == [layout.reading(p, rtl) for p in pages]
