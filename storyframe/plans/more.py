@@ -244,16 +244,20 @@ def audio_suggestions(spark, d):
     return suggestions(rows, _TAGS, ["coin"], 0.3, 2).select("file", "tag", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _lines(spark, d):
+    """Order lines as segments of their order's track; renamed before they are dealt, so that they are dealt once."""
+    w = Window.partitionBy("volume").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "volume").withColumn("block_index", F.row_number().over(w))
+
+
 @query("""with s as (select l_orderkey as volume, trunc((l_quantity / 100.0)::float::double * 32767)::bigint as x, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as k from lineitem)
 select volume, sum(x * (3 * (5 * k) + 6))::bigint as weighted, sum(3 * x)::bigint as total from s group by volume""")
 def mix_samples(spark, d):
     """The samples of each track, weighted by their place (from 1): three of a segment, two of a gap."""
-    one = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: (F.col("l_quantity") / 100.0).cast("float"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("volume"), F.row_number().over(w).alias("block_index"), F.lit("A").alias("speaker_id"), one.alias("samples"))
-    x = F.transform("pcm", lambda v, i: v.cast("long") * (F.col("block") * 4 + i + 1))
-    found = mixing.levelled(mixing.narration(rows, 2, size=4)).select("volume", *[F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b).alias(n) for n, c in (("w", x), ("t", F.col("pcm")))])
-    return found.groupBy(F.col("volume").cast("long").alias("volume")).agg(F.sum("w").cast("long").alias("weighted"), F.sum("t").cast("long").alias("total"))
+    x = (F.col("l_quantity") / 100.0).cast("float")
+    rows = _lines(spark, d).select("volume", "block_index", F.lit("A").alias("speaker_id"), F.array(x, x, x).alias("samples"))
+    found = mixing.levelled(mixing.narration(rows, 2, size=4)).select("volume", mixing.weighted("pcm", F.col("block") * 4 + 1).alias("w"), F.aggregate("pcm", F.lit(0).cast("long"), lambda a, b: a + b).alias("t"))
+    return found.groupBy("volume").agg(F.sum("w").cast("long").alias("weighted"), F.sum("t").cast("long").alias("total"))
 
 
 @query("""with s as (select l_orderkey as volume, (l_quantity / 100.0)::float::double as y, l_partkey % 5 = 0 as effect, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as j from lineitem),
@@ -266,15 +270,12 @@ p as (select *, max(abs(x)) over (partition by volume) as peak from f)
 select volume, count(*) as frames, sum(k * trunc(x * case when peak > 0.99::double then 0.99::double / peak else 1.0 end * 32767))::bigint as weighted, round(max(peak), 6) as peak from p group by volume""")
 def mix_with_music(spark, d):
     """Narration and effects over music that is repeated, fades in and out and keeps its headroom; blocks of 8."""
-    samples = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: ((F.col("l_quantity") / 100.0).cast("float").cast("double") * k))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("volume"), F.row_number().over(w).alias("block_index"), F.when(F.col("l_partkey") % 5 == 0, "SFX").otherwise("A").alias("speaker_id"), samples.alias("samples"))
+    x = (F.col("l_quantity") / 100.0).cast("float").cast("double")
+    rows = _lines(spark, d).select("volume", "block_index", F.when(F.col("l_partkey") % 5 == 0, "SFX").otherwise("A").alias("speaker_id"), F.array(*[x * k for k in range(1, 5)]).alias("samples"))
     music = rows.select("volume").distinct().withColumn("samples", F.array(F.lit(0.25), F.lit(-0.5), F.lit(1.0)))
     blocks = mixing.with_music(mixing.narration(rows, 2, 1.5, 0.5, 8), music, 0.3, 5, 8)
-    peaks = blocks.groupBy("volume").agg(F.round(F.max(F.array_max(F.transform("x", F.abs))), 6).alias("peak"))
-    weighted = F.aggregate(F.transform("pcm", lambda v, i: v * (F.col("block") * 8 + i)), F.lit(0).cast("long"), lambda a, b: a + b)
-    tracks = mixing.levelled(blocks).select("volume", F.size("pcm").alias("n"), weighted.alias("w"))
-    return tracks.groupBy("volume").agg(F.sum("n").cast("long").alias("frames"), F.sum("w").cast("long").alias("weighted")).join(peaks, "volume")
+    tracks = mixing.levelled(blocks).select("volume", F.size("pcm").alias("n"), mixing.weighted("pcm", F.col("block") * 8).alias("w"), "peak")
+    return tracks.groupBy("volume").agg(F.sum("n").cast("long").alias("frames"), F.sum("w").cast("long").alias("weighted"), F.round(F.max("peak"), 6).alias("peak"))
 
 
 @query("""with r as (select * from (values (8000, 11025), (44100, 24000), (3, 1), (24000, 24000)) r(source, target)),

@@ -88,6 +88,30 @@ def test_tracks_are_written_by_block(spark, tmp_path):
     assert got["v.wav"][0][:4].tolist() == pytest.approx([0.5, 0.5, 0.5, 0.0], abs=1e-4) and got["w.wav"][0].max() == pytest.approx(0.99, abs=1e-4)
 
 
+@pytest.mark.parametrize("gap,size,batch", [(0, 3, 1), (2, 4, 3), (5, 2, 10_000)])
+def test_segments_are_dealt_once_and_laid_out_like_plain_lists(spark, gap, size, batch):
+    n = [[(7 * v + 5 * k + v * k) % 6 for k in range(1 + v % 5)] for v in range(60)]
+    rows = [(v, k, "SFX" if (v + k) % 3 == 0 else "A", None if m == 5 else [float(v + i) for i in range(m)]) for v, lengths in enumerate(n) for k, m in enumerate(lengths)]
+    want = {}
+    for v, _, who, x in rows:
+        if x is not None:
+            want.setdefault(v, []).append([y * (0.5 if who == "SFX" else 2.0) for y in x])
+    want = {v: sum(([0.0] * gap + part for part in parts[1:]), parts[0]) for v, parts in want.items()}
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        blocks = mixing.narration(spark.createDataFrame(rows, "volume long, block_index int, speaker_id string, samples array<float>"), gap, 2.0, 0.5, size)
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in blocks.orderBy("volume", "block").collect():
+            assert r.total == len(want[r.volume]) and r.block * size == len(got.setdefault(r.volume, []))
+            got[r.volume] += r.x
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == {v: x for v, x in want.items() if x}
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
 def test_transcripts_are_written_together(spark, tmp_path):
     rows = spark.createDataFrame([("f", 2.0, 3.0, "b"), ("f", 0.0, 1.0, "a"), ("g", 0.0, 1.0, "ü")], "file string, start double, `end` double, text string")
     document = outputs.excerpt_document(rows.withColumn("arc", F.lit(None).cast("string")).withColumn("score", F.lit(0.5)))
