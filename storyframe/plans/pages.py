@@ -103,7 +103,9 @@ def transcript_files(spark, d):
     document = outputs.excerpt_document(marked.groupBy("file").agg(F.min_by(F.struct("start", "end", "text"), F.struct("start", "text")).alias("x")).select("file", "x.*", F.lit(None).cast("string").alias("arc"), F.lit(0.5).alias("score")))
     at = f"{folder(spark)}/transcripts-{uuid.uuid4().hex}"
     outputs.write_transcript(at, marked, pacing.statistics(rows.withColumn("words", F.lit(1))), document)
-    lines = spark.read.text(f"{sinks.current(spark, at)}/*/transcript.md", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("k", "line"))
+    now = sinks.current(spark, at)
+    texts = sinks.read_files(sinks.listing(spark, now).where(F.col("path").endswith("/transcript.md")), now)
+    lines = texts.select("path", F.posexplode(F.split(F.regexp_replace(F.col("content").cast("string"), "\n$", ""), "\n")).alias("k", "line"))
     return lines.select(F.regexp_extract("path", r"([^/]+)/transcript\.md$", 1).alias("file"), (F.col("k") + 1).cast("long").alias("line"), F.substring("line", 11, 100).alias("text"))
 
 
@@ -168,7 +170,7 @@ def resumable_runs(spark, d):
         left = left.unionByName(runs.where(which).select(F.concat("run", F.lit(name)).alias("path"), F.lit("[]").cast("binary").alias("content")))
     at = f"{folder(spark)}/runs-{uuid.uuid4().hex}"
     sinks.write_files(left.withColumn("part", F.lit(0)), at)
-    return checkpoint.resumable(stored, current, segments_.select("run", "path"), checkpoint.listing(spark, sinks.current(spark, at)))
+    return checkpoint.resumable(stored, current, segments_.select("run", "path"), sinks.listing(spark, sinks.current(spark, at)))
 
 
 @query(r"""with f as (select doc_id, replace(replace(strip_accents(lower(coalesce(text, ''))), 'ß', 'ss'), 'ŀ', 'l') as t from documents)

@@ -1,4 +1,5 @@
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,21 @@ def test_files_appear_together_and_a_failed_write_leaves_the_old_ones(spark, tmp
         rows.withColumn("part", F.col("part").cast("long")).withColumn("name", F.lit("n")).select("path", "part", "name", "content").write.format("whole_files").mode("append").save(at)
 
 
+def test_attempts_are_flat_and_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(taskAttemptId=lambda: 1)))
+    at = f"file://{tmp_path}/o"
+    w = sinks._Versions(at, False, ["path", "part", "name", "content"])
+    rows = [(f"run{k // 3}/audio/{k}.wav", 0, None, b"%d" % k) for k in range(9)] + [("top.txt", p, None, c) for p, c in enumerate((b"a", b"b"))]
+    message = w.write(iter(rows))
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_dir()) == sorted([".attempt-1", w.version, "o"])
+    w.commit([message, None])
+    now = sinks.current(spark, at)
+    (tmp_path / "o" / w.version / "run0/.hidden").write_bytes(b"no")
+    found = sinks.listing(spark, now)
+    assert sorted(r.path for r in found.collect()) == sorted({r[0] for r in rows})
+    assert {r.path: bytes(r.content) for r in sinks.read_files(found, now).collect()} == {r[0]: r[3] for r in rows[:9]} | {"top.txt": b"ab"}
+
+
 def test_pages_of_archives(spark, tmp_path):
     for volume, n in (("one", 10), ("two", 3), ("none", 0)):
         with zipfile.ZipFile(tmp_path / f"{volume}.cbz", "w") as z:
