@@ -350,6 +350,25 @@ def _marks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(np.left_shift(1, bit & 31))], ["word", "bit"])
 
 
+def _gathered(df: DataFrame) -> list[np.ndarray]:
+    """The columns of ``df``, numbers below 2**32, on the driver: 4 bytes a number, a row for each task.
+
+    As rows of their own two million numbers take the driver hundreds of MB.
+    """
+
+    def run(batches):
+        held = [[] for _ in range(columns)]
+        for batch in batches:
+            for k, x in enumerate(held):
+                x.append(batch.column(k).to_numpy().astype("<u4"))
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in held], [f"c{k}" for k in range(columns)])
+
+    columns = len(df.columns)
+    rows = df.mapInArrow(run, ", ".join(f"c{k} binary" for k in range(columns))).collect()
+    return [np.frombuffer(b"".join(r[k] for r in rows), "<u4") for k in range(columns)]
+
+
 def _verify(num: int, den: int):
     """The pairs whose overlap, with all tokens that weren't sent taken as shared, is enough."""
 
@@ -407,8 +426,7 @@ def near_duplicates(
     level = 0
     while sum(c for k, c in by_level.items() if k >= level) > capacity:
         level += 1
-    tokens = np.sort(often.where(F.col("df") >= least << level).select("token").toPandas()["token"].to_numpy().astype(np.uint32))
-    frequent = spark.sparkContext.broadcast(tokens)
+    frequent = spark.sparkContext.broadcast(np.sort(_gathered(often.where(F.col("df") >= least << level).select("token"))[0]))
 
     # A set without an id can't be named, so it must not become the centre of a long posting list.
     signed = docs.where("doc_id is not null").mapInArrow(_signatures(width, num, den, counted, parts, frequent), "p int, payload binary")
@@ -433,9 +451,9 @@ def near_duplicates(
         ids = written(ids.toDF("doc_id").distinct(), "ids")
         if ids.count() > _MARKS // 8:
             return written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width, share, None), "doc_id long, n long, tokens binary"), name)
-        words = ids.mapInArrow(_marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        word, bits = _gathered(ids.mapInArrow(_marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")))
         marks = np.zeros(_MARKS >> 5, "<u4")
-        marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+        marks[word] = bits
         wanted = spark.sparkContext.broadcast(marks.tobytes())
         return written(docs.mapInArrow(_sets(width, share, wanted), "doc_id long, n long, tokens binary"), name)
 

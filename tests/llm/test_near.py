@@ -155,3 +155,21 @@ def test_a_shingle_of_every_document_is_one_entry_a_block(spark):
     assert len(blocks) == 1 and len(np.unique(blocks[0][0])) == len(blocks[0][0]) and (blocks[0][1] == 400).sum() == 7
     found = ngram_jaccard.near_duplicates(docs).collect()
     assert all(r.component_id == r.doc_id for r in found) and len(found) == 400
+
+
+def test_frequent_shingles_and_wanted_ids_come_to_the_driver_as_blocks(spark, monkeypatch):
+    rows = [(100 * c + j, " ".join(f"d{j}w{k}" for k in range(200)) + f" e{c}") for j in range(40) for c in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kind, most = type(docs), []
+    for name in ("collect", "toPandas"):
+
+        def counted(self, f=getattr(kind, name)):
+            got = f(self)
+            most.append(len(got))
+            return got
+
+        monkeypatch.setattr(kind, name, counted)
+    found = near_duplicates(docs, least=3)
+    assert most and max(most) <= 50  # 7,840 shingles are in three documents each, 120 documents are compared
+    monkeypatch.undo()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == {100 * c + j: (197, j) for j in range(40) for c in range(3)}
