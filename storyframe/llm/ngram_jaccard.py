@@ -14,8 +14,11 @@ Frequencies are counted over all documents.  Exact copies (equal sets) are one c
 doc_id.  A posting list up to ``small`` classes gives its pairs; a longer one gives a star around the class with the
 fewest class-1 tokens (the least edited copy).  All long lists of one centre are one group, in which a member stands
 once however many lists it shares, so the many lists of a group of near copies cost the group's size.  A later round
-tries a further centre against members that aren't connected yet; what no round connects is compared member by member
-between the components of its group, each pair once.
+tries a further centre against members that aren't connected yet.  For what no round connects, each pair once: two
+members share at most as many tokens of the centre as the one with fewer of them has, so a link that asks for more than
+that shares a token that the centre lacks.  Such tokens come from edits and are rare; members meet by them, and a member
+that must share r of them meets by all but the r - 1 most frequent ones in the group.  Only pairs that the centre's tokens
+alone could link are compared member by member.
 
 Identity of hashes.  Shingles are told by 64 bits, a set in the posting lists by the 64-bit sum of its mixed shingles
 (two sets that meet there are both followed, and both are verified), exact copies by 128 bits, and verification compares
@@ -369,21 +372,37 @@ def _gathered(df: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(r[k] for r in rows), "<u4") for k in range(columns)]
 
 
+def _tokens(x: bytes) -> np.ndarray:
+    """The tokens of 6 bytes that ``_sets`` gives."""
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def _beside(batches):
+    """(row of a member, inside, keys) from (row, its tokens, its centre's): how many it shares, and the others."""
+    for batch in batches:
+        x, y = batch.column(1), batch.column(2)
+        inside, keys = [], []
+        for i in range(len(x)):
+            s, t = _tokens(x[i].as_py()), _tokens(y[i].as_py())
+            own = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] != s
+            inside.append(len(s) - int(own.sum()))
+            keys.append(s[own].view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(inside, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "inside", "keys"])
+    release()
+
+
 def _verify(num: int, den: int):
     """The pairs whose overlap, with all tokens that weren't sent taken as shared, is enough."""
 
-    def tokens(x: bytes) -> np.ndarray:
-        out = np.zeros((len(x) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        return out.reshape(-1).view("<u8")
-
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))
             nx, ny = (batch.column(k).to_pylist() for k in (4, 5))
             keep = []
             for i in range(len(a)):
-                s, t = tokens(x[i].as_py()), tokens(y[i].as_py())
+                s, t = _tokens(x[i].as_py()), _tokens(y[i].as_py())
                 small, large = (s, t) if len(s) < len(t) else (t, s)
                 both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
                 both += min(nx[i] - len(s), ny[i] - len(t))
@@ -462,7 +481,7 @@ def near_duplicates(
 
     def passed(df: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
         left, right = tokens.toDF("a", "nx", "x"), tokens.toDF("b", "ny", "y")
-        return written(df.join(right, "b").join(left, "a").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_verify(num, den), "a long, b long"), name)
+        return written(df.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_verify(num, den), "a long, b long"), name)
 
     def verified(df: DataFrame) -> DataFrame:
         """First on the start of the sets, which bounds the overlap; what that leaves on whole sets."""
@@ -472,13 +491,51 @@ def near_duplicates(
     same = member.where("n > 0 and doc_id is not null").join(node.select("lo", "hi", "node"), ["lo", "hi"]).select("doc_id", "node")
     several = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
     links = same.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    links = _resolved(group, written(links.union(verified(pairs)), "links"), verified, rounds, num, den)
+    links = _resolved(group, written(links.union(verified(pairs)), "links"), verified, sets, rounds, num, den)
     base = member.join(node.select("lo", "hi", "node"), ["lo", "hi"], "left").select("doc_id", "n", "node").join(components(links), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return base.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _resolved(group: DataFrame, links: DataFrame, verified, rounds: int, num: int, den: int) -> DataFrame:
+def _between(state: DataFrame, sets, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of untried members in different components of a group that may link; all that do are among them.
+
+    state: hub, id, component, flag, size, tried.  With n and m tokens, i and j of them in the centre, a pair shares at
+    most min(i, j) tokens of the centre.
+    """
+    facts = state.groupBy("hub").agg(F.min("size").alias("least"), F.max(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("own"))
+    rest = state.where("not tried").select("hub", "id", "component", "flag", "size").join(facts, "hub")
+    rest = rest.withColumn("other", F.coalesce(F.col("component") != F.col("own"), F.lit(True))).drop("own")
+    ids = state.where("not tried").select("id").union(state.select("hub"))
+    tokens = sets(ids, 1.0, "family")
+    # Files of sets that are alike are small, what they hold isn't: no side is to be broadcast for the size of its file.
+    rows = rest.join(tokens.toDF("id", "n", "x").hint("merge"), "id").join(tokens.select(F.col("doc_id").alias("hub"), F.col("tokens").alias("y")).hint("merge"), "hub")
+    rows = rows.select(F.struct("hub", "id", "component", "flag", "size", "least", "other", "n").alias("row"), "x", "y")
+    kind = rows.schema["row"].dataType.simpleString()
+    rows = written(rows.mapInArrow(_beside, f"row {kind}, inside long, keys array<long>").select("row.*", "inside", "keys"), "beside")
+    # At least this many of its other tokens a member shares with any partner that the centre's tokens alone don't link.
+    due = F.greatest(F.lit(1), F.ceil(num * (F.col("n") + F.col("least")) / (num + den)) - F.col("inside"))
+    each = rows.select("hub", "id", "component", "flag", "size", "other", due.cast("int").alias("due"), F.explode("keys").alias("key"))
+    many = each.groupBy("hub", "key").agg(F.count("*").alias("df"), F.max("other").alias("met")).where("df > 1 and met").select("hub", "key", "df")
+    each = written(each.hint("merge").join(many, ["hub", "key"]), "keys")
+    mine = each.where("other").groupBy("hub", "id", "component", "flag", "size").agg(F.min("due").alias("due"), F.array_sort(F.collect_set(F.struct("df", "key"))).alias("keys"))
+    mine = mine.where(F.size("keys") >= F.col("due")).withColumn("key", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("due") + 1)["key"])).drop("due", "keys")
+    fits = f"a <> b and ca <> cb and (fa or sb < sa) and (fb or sa < sb) and {den} * least(sa, sb) >= {num} * greatest(sa, sb)"
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+    def sided(df: DataFrame, side: str, *more) -> DataFrame:
+        names = {"id": side, "component": f"c{side}", "flag": f"f{side}", "size": f"s{side}"}
+        return df.select("hub", *more, *[F.col(k).alias(v) for k, v in names.items()])
+
+    met = sided(mine, "a", "key").hint("merge").join(sided(each, "b", "key"), ["hub", "key"]).where(fits).select(*pair)
+    close = rows.where(f"{den} * inside >= {num} * (n + least - inside)")
+    left = sided(close.where("other"), "a", F.col("n").alias("na"), F.col("inside").alias("ia"))
+    right = sided(close, "b", F.col("n").alias("nb"), F.col("inside").alias("ib"))
+    enough = f"{den} * least(ia, ib) >= {num} * (na + nb - least(ia, ib))"
+    return met.union(left.hint("merge").join(right, "hub").where(f"{fits} and {enough}").select(*pair)).distinct()
+
+
+def _resolved(group: DataFrame, links: DataFrame, verified, sets, rounds: int, num: int, den: int) -> DataFrame:
     """All links, with those between members of a group (of one centre) that the centre leaves unconnected."""
     state = group.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.struct("rare", "b").alias("rank"), "flag", F.col("sb").alias("size"), (F.col("a") == F.col("b")).alias("tried"))
     for k in range(rounds + 1):
@@ -489,10 +546,7 @@ def _resolved(group: DataFrame, links: DataFrame, verified, rounds: int, num: in
         if not state.head(1):
             break
         if k == rounds:
-            rest = state.where("not tried").select("hub", "id", "component", "flag", "size")
-            a, b = rest.toDF("hub", "a", "ca", "fa", "sa"), rest.toDF("hub", "b", "cb", "fb", "sb")
-            fits = f"a < b and ca <> cb and (fa or sb < sa) and (fb or sa < sb) and {den} * least(sa, sb) >= {num} * greatest(sa, sb)"
-            return links.union(verified(a.join(b, "hub").where(fits).select("a", "b").distinct()))
+            return links.union(verified(written(_between(state, sets, num, den), "between")))
         by_part = state.groupBy("hub", "component").agg(F.max("tried").alias("done"), F.min(F.when(~F.col("tried"), F.col("rank"))).alias("best"))
         best = by_part.groupBy("hub").agg(F.min(F.when(~F.col("done"), F.col("best"))).alias("x"), F.min("best").alias("y"))
         centre = written(best.select("hub", F.coalesce("x", "y")["b"].alias("centre")).where("centre is not null"), "centre")

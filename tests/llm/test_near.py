@@ -173,3 +173,38 @@ def test_frequent_shingles_and_wanted_ids_come_to_the_driver_as_blocks(spark, mo
     assert most and max(most) <= 50  # 7,840 shingles are in three documents each, 120 documents are compared
     monkeypatch.undo()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == {100 * c + j: (197, j) for j in range(40) for c in range(3)}
+
+
+def test_members_that_miss_the_centre_narrowly_are_not_compared_with_all(spark):
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(150)]
+
+    def changed(words, n):
+        at = set(rng.sample(range(len(words)), n))
+        return [f"w{rng.randrange(10**9)}" if k in at else w for k, w in enumerate(words)]
+
+    texts = [changed(base, rng.choice((0, 0, 1))) for _ in range(150)]
+    far = [changed(base, 5) for _ in range(80)]
+    # Some of them link with each other, and some reach the rest that way.
+    texts += far + [changed(x, 1) for x in far[:20]] + [base[:75] + x[75:] for x in far[20:40]] + [x[: rng.randrange(100, 150)] for x in far[40:]]
+    rows = [(k, " ".join(x)) for k, x in enumerate([base, *texts])]
+    check(spark, rows, least=4, small=4, rounds=0)
+
+    # The last step by itself: the first row is the centre, what it links is one component, the others are their own.
+    shingles = [{tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)} for _, x in rows]
+
+    def linked(s, t):
+        return 100 * len(s & t) >= 75 * len(s | t)
+
+    component = [0 if linked(s, shingles[0]) else k for k, s in enumerate(shingles)]
+    state = spark.createDataFrame([(0, k, component[k], True, len(s), k == 0) for k, s in enumerate(shingles)], "hub long, id long, component long, flag boolean, size long, tried boolean")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def sets(ids, share, name):
+        return docs.join(ids.toDF("doc_id").distinct(), "doc_id").mapInArrow(ngram_jaccard._sets(5, share, None), "doc_id long, n long, tokens binary")
+
+    got = {tuple(r) for r in ngram_jaccard._between(state, sets, 75, 100).collect()}
+    apart = [(a, b) for a in range(1, len(rows)) for b in range(a + 1, len(rows)) if component[a] != component[b]]
+    links = {(a, b) for a, b in apart if linked(shingles[a], shingles[b])}
+    assert links and links <= got <= set(apart)
+    assert len(got) < len(apart) / 10, (len(links), len(got), len(apart))
