@@ -386,7 +386,7 @@ def _beside(batches):
         inside, keys = [], []
         for i in range(len(x)):
             s, t = _tokens(x[i].as_py()), _tokens(y[i].as_py())
-            own = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] != s
+            own = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] != s if len(t) else np.ones(len(s), bool)
             inside.append(len(s) - int(own.sum()))
             keys.append(s[own].view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(inside, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "inside", "keys"])
@@ -503,13 +503,17 @@ def _between(state: DataFrame, sets, num: int, den: int) -> DataFrame:
     state: hub, id, component, flag, size, tried.  With n and m tokens, i and j of them in the centre, a pair shares at
     most min(i, j) tokens of the centre.
     """
-    facts = state.groupBy("hub").agg(F.min("size").alias("least"), F.max(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("own"))
+    itself = F.col("id") == F.col("hub")
+    facts = state.groupBy("hub").agg(F.min("size").alias("least"), F.max(F.when(itself, F.col("component"))).alias("own"), F.max(F.when(itself, F.col("size"))).alias("around"))
     rest = state.where("not tried").select("hub", "id", "component", "flag", "size").join(facts, "hub")
-    rest = rest.withColumn("other", F.coalesce(F.col("component") != F.col("own"), F.lit(True))).drop("own")
+    rest = rest.withColumn("other", F.coalesce(F.col("component") != F.col("own"), F.lit(True))).drop("own", "around")
     ids = state.where("not tried").select("id").union(state.select("hub"))
     tokens = sets(ids, 1.0, "family")
+    # Of a centre whose id stands for several texts one is taken: any set serves, the centre's own best.
+    other = tokens.toDF("hub", "many", "y").join(facts.select("hub", "around"), "hub")
+    centre = other.groupBy("hub").agg(F.min_by("y", F.struct(F.abs(F.col("many") - F.col("around")), "y")).alias("y"))
     # Files of sets that are alike are small, what they hold isn't: no side is to be broadcast for the size of its file.
-    rows = rest.join(tokens.toDF("id", "n", "x").hint("merge"), "id").join(tokens.select(F.col("doc_id").alias("hub"), F.col("tokens").alias("y")).hint("merge"), "hub")
+    rows = rest.join(tokens.toDF("id", "n", "x").hint("merge"), "id").join(centre.hint("merge"), "hub")
     rows = rows.select(F.struct("hub", "id", "component", "flag", "size", "least", "other", "n").alias("row"), "x", "y")
     kind = rows.schema["row"].dataType.simpleString()
     rows = written(rows.mapInArrow(_beside, f"row {kind}, inside long, keys array<long>").select("row.*", "inside", "keys"), "beside")

@@ -198,7 +198,7 @@ def test_members_that_miss_the_centre_narrowly_are_not_compared_with_all(spark):
 
     component = [0 if linked(s, shingles[0]) else k for k, s in enumerate(shingles)]
     state = spark.createDataFrame([(0, k, component[k], True, len(s), k == 0) for k, s in enumerate(shingles)], "hub long, id long, component long, flag boolean, size long, tried boolean")
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([*rows, (0, ""), (0, "b b b"), (rows[-1][0], None)], "doc_id long, text string")
 
     def sets(ids, share, name):
         return docs.join(ids.toDF("doc_id").distinct(), "doc_id").mapInArrow(ngram_jaccard._sets(5, share, None), "doc_id long, n long, tokens binary")
